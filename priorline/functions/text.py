@@ -164,21 +164,21 @@ def category_text(text: Column) -> Column:
     return F.when(~F.lower(squeezed).isin(NULL_LIKE), squeezed)
 
 
+def _mode_rule(mode: Column) -> Column:
+    return F.when(mode.isin("bus", "streetcar"), mode).otherwise(F.lit(UNKNOWN))
+
+
 def normalize_mode(text: Column, strict: bool = False) -> Column:
     mode = F.lower(category_text(text))
-    if strict:
-        otherwise = F.raise_error(
-            F.concat(F.lit("Unsupported mode: "), F.coalesce(text, F.lit("NULL")))
-        ).cast("string")
-    else:
-        otherwise = F.lit(UNKNOWN)
-    return F.when(mode.isin("bus", "streetcar"), mode).otherwise(otherwise)
+    if not strict:
+        return _mode_rule(mode)
+    problem = F.concat(F.lit("Unsupported mode: "), F.coalesce(text, F.lit("NULL")))
+    return F.when(mode.isin("bus", "streetcar"), mode).otherwise(F.raise_error(problem).cast("string"))
 
 
-def normalize_route(text: Column) -> Column:
-    cleaned = category_text(text)
+def _route_rule(cleaned: Column) -> Column:
     whole = F.regexp_replace(F.regexp_replace(cleaned, r"\.0+$", ""), r"^0+(?=[0-9])", "")
-    compact = F.regexp_replace(F.upper(cleaned), " ", "")
+    compact = F.replace(F.upper(cleaned), F.lit(" "), F.lit(""))
     return (
         F.when(cleaned.isNull(), F.lit(UNKNOWN))
         .when(cleaned.rlike(r"^[0-9]+(\.0+)?$"), whole)
@@ -187,12 +187,19 @@ def normalize_route(text: Column) -> Column:
     )
 
 
+def normalize_route(text: Column) -> Column:
+    return _route_rule(category_text(text))
+
+
 def is_route_like(text: Column) -> Column:
     return normalize_route(text) != UNKNOWN
 
 
-def normalize_direction(text: Column) -> Column:
-    letters = F.regexp_replace(F.upper(category_text(text)), "[^A-Z]", "")
+def direction_letters(text: Column) -> Column:
+    return F.regexp_replace(F.upper(category_text(text)), "[^A-Z]", "")
+
+
+def _direction_rule(letters: Column) -> Column:
     compass = sum((letters.contains(c).cast("int") for c in "NESW"), F.lit(0))
     result = F.when(letters.isNull(), F.lit(UNKNOWN))
     for code, spellings in DIRECTION_SPELLINGS.items():
@@ -202,6 +209,10 @@ def normalize_direction(text: Column) -> Column:
     )
 
 
+def normalize_direction(text: Column) -> Column:
+    return _direction_rule(direction_letters(text))
+
+
 def incident_key(text: Column) -> Column:
     """Canonical spelling used to look incidents up."""
     key = F.regexp_replace(F.upper(text), "&", " AND ")
@@ -210,8 +221,7 @@ def incident_key(text: Column) -> Column:
     return squeeze(key)
 
 
-def normalize_incident(text: Column) -> Column:
-    key = incident_key(category_text(text))
+def _incident_rule(key: Column) -> Column:
     # A category name is its own alias; its key differs from the name when it holds a slash.
     lookup = {name.upper().replace("/", " "): name for name in INCIDENT_CATEGORIES}
     lookup.update(INCIDENT_ALIASES)
@@ -226,17 +236,29 @@ def normalize_incident(text: Column) -> Column:
     return result.otherwise(F.lit(OTHER))
 
 
+def normalize_incident(text: Column) -> Column:
+    return _incident_rule(incident_key(category_text(text)))
+
+
+def location_words(text: Column, strip_punctuation: bool = False) -> Column:
+    upper = F.regexp_replace(F.upper(category_text(text)), "[&@/]", " AND ")
+    marks = r"[.,;:()\[\]{}]" if strip_punctuation else r"[.,;:()\[\\]\{\}\]"
+    return squeeze(F.regexp_replace(upper, marks, " "))
+
+
+def _location_rule(words: Column) -> Column:
+    return F.coalesce(
+        F.nullif(_expand_tokens(words, LOCATION_ABBREVIATIONS), F.lit("")), F.lit(UNKNOWN)
+    )
+
+
 def normalize_location(text: Column, strip_punctuation: bool = False) -> Column:
     """Upper case, separators to AND, abbreviations expanded.
 
     By default punctuation stays (only a punctuation mark followed by ``{}]`` goes), which
     leaves ``ST.`` unexpanded. ``strip_punctuation`` removes the marks first.
     """
-    upper = F.regexp_replace(F.upper(category_text(text)), "[&@/]", " AND ")
-    marks = r"[.,;:()\[\]{}]" if strip_punctuation else r"[.,;:()\[\\]\{\}\]"
-    upper = squeeze(F.regexp_replace(upper, marks, " "))
-    expanded = squeeze(_expand_tokens(upper, LOCATION_ABBREVIATIONS))
-    return F.coalesce(F.nullif(expanded, F.lit("")), F.lit(UNKNOWN))
+    return _location_rule(location_words(text, strip_punctuation))
 
 
 NORMALIZERS = {
@@ -248,8 +270,22 @@ NORMALIZERS = {
 }
 
 
+# What each rule looks at, and the rule.
+_STAGES = {
+    "mode": (lambda text: F.lower(category_text(text)), _mode_rule),
+    "route": (category_text, _route_rule),
+    "direction": (direction_letters, _direction_rule),
+    "incident": (lambda text: incident_key(category_text(text)), _incident_rule),
+    "location": (location_words, _location_rule),
+}
+
+
 def normalize_categories(df: DataFrame) -> DataFrame:
-    """Overwrite the five categories by their normal form; keep the raw text once."""
+    """Overwrite the five categories by their normal form; keep the raw text once.
+
+    Two projections: the rules read their prepared text many times, and a projection of its own
+    makes Spark compute it once per row.
+    """
     present = set(df.columns)
     raw = {
         f"{name}_raw": F.col(name)
@@ -257,9 +293,10 @@ def normalize_categories(df: DataFrame) -> DataFrame:
         if name in present and f"{name}_raw" not in present
     }
     df = df.withColumns(raw) if raw else df
-    return df.withColumns(
-        {name: rule(F.col(name)) for name, rule in NORMALIZERS.items() if name in present}
-    )
+    names = [name for name in _STAGES if name in present]
+    df = df.withColumns({f"_{name}_text": _STAGES[name][0](F.col(name)) for name in names})
+    df = df.withColumns({name: _STAGES[name][1](F.col(f"_{name}_text")) for name in names})
+    return df.drop(*[f"_{name}_text" for name in names])
 
 
 def match_text(text: Column) -> Column:

@@ -30,7 +30,7 @@ from priorline.contract import HISTORY_FEATURES, ROLES, SEVERE_THRESHOLDS, Roles
 from priorline.functions.calendar import MICROS_PER_DAY, micros
 from priorline.operators.prefix import sums_before
 
-BUCKET_MICROS = 3_600 * 1_000_000
+BUCKET_MICROS = MICROS_PER_DAY
 EXPANDING = ["v_sum", "v_known", "v_rows"]
 ROLLING = ["w_sum", "w_known", "w_rows", "w_sev30", "w_sev60"]
 KEY_NAMES = ["mode", "route", "direction", "incident", "location", "hour"]
@@ -125,8 +125,10 @@ def _key_id(grouping: Grouping, keys: Sequence[str]) -> int:
     return int("".join(bits) or "0", 2)
 
 
-def _sums(df: DataFrame, keys: Sequence[str], roles: Roles, detail: DataFrame | None, width: int):
-    """Rows reduced to (at, keys) and exact whole-number values.
+def _past(
+    df: DataFrame, keys: Sequence[str], roles: Roles, detail: DataFrame | None = None, width: int = 1
+) -> DataFrame:
+    """Rows as (at, keys, y).
 
     ``detail`` lists the time buckets in which single timestamps matter; in all others the rows
     count at the start of the bucket, which lets partial aggregation shrink them early.
@@ -146,6 +148,11 @@ def _sums(df: DataFrame, keys: Sequence[str], roles: Roles, detail: DataFrame |
     ).drop("_start", "_hit")
 
 
+def _key(grouping: Column, values: Sequence[Column], keys: Sequence[str]) -> Column:
+    """One comparable key; absent and missing values inside a struct compare as equal."""
+    return F.struct(grouping.alias("grouping"), *[v.alias(k) for v, k in zip(values, keys)])
+
+
 def _per_grouping(rows: DataFrame, groupings: Sequence[Grouping], keys: Sequence[str], scale: int):
     """Sums per (grouping, key values, timestamp) in one shuffle."""
     sets = [[F.col("at"), *[F.col(k) for k in g.keys]] for g in groupings]
@@ -157,29 +164,29 @@ def _per_grouping(rows: DataFrame, groupings: Sequence[Grouping], keys: Sequence
         F.count(F.lit(1)).alias("v_rows"),
         *[F.count_if(F.col("y") >= t).alias(f"v_sev{t}") for t in SEVERE_THRESHOLDS],
     )
-    return sums
+    key = _key(F.col("grouping"), [F.col(k) for k in keys], keys)
+    return sums.select("at", key.alias("key"), *[c for c in sums.columns if c.startswith("v_")])
 
 
 def _events(sums: DataFrame, groupings: Sequence[Grouping], keys: Sequence[str]) -> DataFrame:
     """Expanding values, and rolling values that are taken back one horizon later."""
-    ids = ["grouping", *keys]
     horizons = [g for g in groupings if g.horizon_days]
     if not horizons:
-        return sums.select(*ids, "at", *EXPANDING)
+        return sums.select("key", "at", *EXPANDING)
     horizon = F.coalesce(
         *[
-            F.when(F.col("grouping") == _key_id(g, keys), F.lit(g.horizon_days * MICROS_PER_DAY))
+            F.when(F.col("key.grouping") == _key_id(g, keys), F.lit(g.horizon_days * MICROS_PER_DAY))
             for g in horizons
         ]
     )
     sources = [c.replace("w_", "v_") for c in ROLLING]
     zero = F.lit(0).cast("bigint")
     arriving = sums.select(
-        *ids, "at", *EXPANDING,
+        "key", "at", *EXPANDING,
         *[F.when(horizon.isNotNull(), F.col(v)).otherwise(zero).alias(w) for w, v in zip(ROLLING, sources)],
     )
     leaving = sums.where(horizon.isNotNull()).select(
-        *ids, (F.col("at") + horizon).alias("at"),
+        "key", (F.col("at") + horizon).alias("at"),
         *[zero.alias(v) for v in EXPANDING],
         *[F.negative(v).alias(w) for w, v in zip(ROLLING, sources)],
     )
@@ -187,20 +194,19 @@ def _events(sums: DataFrame, groupings: Sequence[Grouping], keys: Sequence[str])
 
 
 def _spread(tuples: DataFrame, groupings: Sequence[Grouping], keys: Sequence[str]) -> DataFrame:
-    """One line per tuple and grouping; key columns outside the grouping are NULL."""
-    lookups = F.array(
-        *[
-            F.struct(
-                F.lit(_key_id(g, keys)).alias("grouping"),
-                *[
-                    (F.col(k) if k in g.keys else F.lit(None).cast("int" if k == "hour" else "string")).alias(f"k_{k}")
-                    for k in keys
-                ],
-            )
-            for g in groupings
-        ]
-    )
-    return tuples.select("at", *keys, F.inline(lookups))
+    """One line per tuple and grouping; key values outside the grouping are NULL."""
+    lookups = [
+        _key(
+            F.lit(_key_id(g, keys)),
+            [
+                F.col(k) if k in g.keys else F.lit(None).cast("int" if k == "hour" else "string")
+                for k in keys
+            ],
+            keys,
+        )
+        for g in groupings
+    ]
+    return tuples.select("at", *keys, F.explode(F.array(*lookups)).alias("key"))
 
 
 def _value(feature: Feature, scale: int) -> Column:
@@ -222,9 +228,8 @@ def _bucketed(
     groupings: Sequence[Grouping], roles: Roles, width: int,
 ) -> DataFrame:
     if any(g.horizon_days and g.horizon_days * MICROS_PER_DAY % width for g in groupings):
-        raise ValueError("The bucket width must divide a day.")
+        raise ValueError("Every horizon must be a multiple of the bucket width.")
     keys = _keys_in_use(groupings)
-    ids = ["grouping", *keys]
     named = _role_columns(roles)
     tuples = (
         rows.select(micros(F.col(roles.ts)).alias("at"), *[named[k].alias(k) for k in keys])
@@ -233,8 +238,8 @@ def _bucketed(
     )
     lookups = _spread(tuples, groupings, keys)
     if history is None:
-        sums = _per_grouping(_sums(rows, keys, roles, None, width), groupings, keys, roles.value_scale)
-        events = _events(sums, groupings, keys)
+        past = _past(rows, keys, roles)
+        events = _events(_per_grouping(past, groupings, keys, roles.value_scale), groupings, keys)
     else:
         start = F.col("at") - F.pmod("at", F.lit(width))
         shifts = sorted({0, *[g.horizon_days for g in groupings if g.horizon_days]})
@@ -244,47 +249,41 @@ def _bucketed(
             .select(F.explode(F.array(*[F.col("_start") - d * MICROS_PER_DAY for d in shifts])).alias("_start"))
             .distinct()
         )
-        sums = _per_grouping(_sums(history, keys, roles, detail, width), groupings, keys, roles.value_scale)
-        events = _events(sums, groupings, keys).drop("wanted")
+        past = _past(history, keys, roles, detail, width)
+        events = _events(_per_grouping(past, groupings, keys, roles.value_scale), groupings, keys)
+        values = [c for c in events.columns if c[:2] in ("v_", "w_")]
         points = lookups.select(
-            "grouping", *[F.col(f"k_{k}").alias(k) for k in keys], "at",
-            *[F.lit(0).cast("bigint").alias(v) for v in events.columns if v[:2] in ("v_", "w_")],
+            "key", "at", *[F.lit(0).cast("bigint").alias(v) for v in values], F.lit(True).alias("wanted")
         ).distinct()
-        events = events.withColumn("wanted", F.lit(False)).unionByName(points.withColumn("wanted", F.lit(True)))
+        events = events.withColumn("wanted", F.lit(False)).unionByName(points)
     values = [c for c in events.columns if c[:2] in ("v_", "w_")]
-    prior = sums_before(events, ids, "at", F.floor(F.col("at") / F.lit(width)), values, suffix="")
+    prior = sums_before(events, ["key"], "at", F.floor(F.col("at") / F.lit(width)), values, suffix="")
     if "wanted" in events.columns:
         prior = prior.where("wanted")
 
-    pairs = [("grouping", "grouping"), ("at", "at"), *[(f"k_{k}", k) for k in keys]]
     found = lookups.alias("l").join(
-        prior.alias("p"),
-        reduce(
-            lambda a, b: a & b, [F.col(f"l.{a}").eqNullSafe(F.col(f"p.{b}")) for a, b in pairs]
-        ),
-        "inner",
+        prior.alias("p"), (F.col("l.at") == F.col("p.at")) & (F.col("l.key") == F.col("p.key")), "inner"
     )
-    by_name = {g.name: _key_id(g, keys) for g in groupings}
+    ids = {g.name: _key_id(g, keys) for g in groupings}
     table = (
         found.select(
-            "l.at", *[F.col(f"l.{k}").alias(k) for k in keys], "l.grouping",
+            F.struct("l.at", *[f"l.{k}" for k in keys]).alias("_tuple"),
+            F.col("l.key.grouping").alias("grouping"),
             *[F.col(f"p.{v}").alias(v) for v in values],
         )
-        .groupBy("at", *keys)
+        .groupBy("_tuple")
         .agg(
             *[
-                F.max(F.when(F.col("grouping") == by_name[f.grouping], _value(f, roles.value_scale))).alias(f.name)
+                F.max(F.when(F.col("grouping") == ids[f.grouping], _value(f, roles.value_scale))).alias(f.name)
                 for f in features
             ]
         )
     )
-    table = table.select(
-        F.col("at").alias("_at"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[f.name for f in features]
+    row_tuple = F.struct(micros(F.col(roles.ts)).alias("at"), *[named[k].alias(k) for k in keys])
+    joined = rows.withColumn("_row_tuple", row_tuple).join(
+        table, F.col("_row_tuple") == F.col("_tuple"), "left"
     )
-    on = micros(F.col(roles.ts)).eqNullSafe(F.col("_at"))
-    for k in keys:
-        on = on & named[k].eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(table, on, "left").select(*rows.columns, *[f.name for f in features])
+    return joined.select(*rows.columns, *[f.name for f in features])
 
 
 def _ranged(

@@ -1,26 +1,19 @@
 """Prefix sums per key that stay balanced when a key holds a large share of the rows.
 
 A plain ordered window puts every row of a key into one task. Here each key is cut into
-buckets of the ordering column. A window inside a bucket covers one (key, bucket), a window
-over bucket totals covers one small row per bucket, and adding both gives the exact prefix.
-Neither window ever sees all the rows of a key.
+buckets of the ordering column. A window over bucket totals (one small row per bucket) gives
+what lies before a bucket; that number enters the bucket as a row of its own, ahead of the
+others, and a window over the bucket adds the rest. Neither window sees all rows of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys of two aliased tables."""
-    tests = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
-    return reduce(lambda a, b: a & b, tests)
-
-
 def sums_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -28,32 +21,37 @@ def sums_before(
     bucket: Column,
     values: Sequence[str],
     suffix: str = "_before",
+    unique: bool = False,
 ) -> DataFrame:
     """Add, per value column, its sum over rows of the same keys with a smaller ``order``.
 
-    ``bucket`` must not decrease when ``order`` grows. Rows that share keys and ``order`` do not
-    see each other. Missing history gives 0. With an empty ``suffix`` the sums replace the values.
+    ``bucket`` must not decrease when ``order`` grows; ``order`` is never NULL. Rows that share
+    keys and ``order`` do not see each other: a whole-number ``order`` is required for that,
+    unless keys and ``order`` are ``unique``. Missing history gives 0. With an empty ``suffix``
+    the sums replace the values.
     """
     keys = list(keys)
     cut = df.withColumn("_bucket", bucket)
-    totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = totals.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}_base") for v in values]
+    totals = cut.groupBy("_bucket", *keys).agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    opening = totals.select("_bucket", *keys, *[F.sum(v).over(before).alias(v) for v in values])
+    others = [c for c in df.columns if c not in {*keys, *values}]
+    opening = opening.where(F.col(values[0]).isNotNull()).select(
+        "_bucket", *keys,
+        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in others],
+        *values,
+        F.lit(True).alias("_opening"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rangeBetween(
-        Window.unboundedPreceding, -1
-    )
-    local = cut.withColumns(
-        {f"_{v}_local": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
-    )
-    joined = local.alias("l").join(
-        totals.alias("t"), same_keys("l", "t", [*keys, "_bucket"]), "inner"
+    rows = cut.withColumn("_opening", F.lit(False)).unionByName(opening)
+    # The opening row has no order value and NULL sorts first; the bucket leads the sort.
+    window = Window.partitionBy("_bucket", *keys).orderBy(F.col(order).asc_nulls_first())
+    window = (
+        window.rowsBetween(Window.unboundedPreceding, -1)
+        if unique
+        else window.rangeBetween(Window.unboundedPreceding, -1)
     )
+    summed = rows.withColumns(
+        {f"_{v}_sum": F.coalesce(F.sum(v).over(window), F.lit(0)) for v in values}
+    ).where(~F.col("_opening"))
     kept = [c for c in df.columns if suffix or c not in values]
-    return joined.select(
-        *[F.col(f"l.{c}") for c in kept],
-        *[(F.col(f"l._{v}_local") + F.col(f"t._{v}_base")).alias(f"{v}{suffix}") for v in values],
-    )
+    return summed.select(*kept, *[F.col(f"_{v}_sum").alias(f"{v}{suffix}") for v in values])
