@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 # Accepted date and time-of-day notations, tried in order.
 DATE_FORMATS = [
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd",
-    "M/d/yyyy", "M/d/yyyy H:mm", "d-MMM-yy", "d-MMM-yyyy", "MMM d yyyy", "MMMM d, yyyy",
+    "M/d/yyyy", "M/d/yyyy H:mm", "d-MMM-yyyy", "MMM d yyyy", "MMMM d, yyyy",
 ]
+# Two-digit years: 69 to 99 belong to the 1900s.
+SHORT_YEAR_FORMATS = ["d-MMM-yy", "M/d/yy"]
 TIME_FORMATS = [
     "H:mm", "H:mm:ss", "H:mm:ss.SSS", "h:mm a", "h:mm:ss a", "h a",
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
@@ -41,7 +43,10 @@ def micros(ts: Column) -> Column:
 
 def parse_date(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Zone-less timestamp of a date text, NULL when no notation fits."""
-    return _first_parse(F.trim(text), formats)
+    trimmed = F.trim(text)
+    short = F.when(trimmed.rlike("[-/][0-9]{2}$"), _first_parse(trimmed, SHORT_YEAR_FORMATS))
+    century = F.when(F.year(short) > 2068, F.make_ym_interval(F.lit(100))).otherwise(F.make_ym_interval(F.lit(0)))
+    return F.coalesce(short - century, _first_parse(trimmed, formats))
 
 
 def parse_time_seconds(text: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
