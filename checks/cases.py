@@ -974,3 +974,456 @@ def _experiment_pick(spark, sf):
         metrics.regression_metrics(long, ["experiment", "split", "mode"]),
     )
     return rounded(best.select("experiment", "mae", "high_delay_mae", "streetcar_mae"))
+
+
+# --- category audit -------------------------------------------------------------------------
+
+
+def _sql_list(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _words(values) -> str:
+    return "regexp_matches(lower(value), '\\b(" + "|".join(values) + ")\\b')"
+
+
+_CURATED = _sql_list(audit.CURATED_INCIDENTS)
+_AUDIT = f"""
+cells AS (
+  SELECT unnest(['mode', 'route', 'direction', 'incident', 'location']) AS col,
+    unnest([mode, route, direction, incident, location]) AS cell FROM raw
+),
+cleaned AS (
+  SELECT col, CASE WHEN lower({sql.squeeze('cell')}) IN ('', 'nan', 'none', 'null', 'unknown', 'n/a', 'na') THEN NULL
+    ELSE {sql.squeeze('cell')} END AS value FROM cells
+),
+counts AS (SELECT col, value, count(*) AS n FROM cleaned GROUP BY ALL),
+places AS (SELECT lower(value) AS lv, list(DISTINCT col) AS cols FROM counts WHERE value IS NOT NULL GROUP BY 1),
+variants AS (SELECT * FROM (VALUES ('mechanical', 'mech'), ('mechanical', 'mechanical'), ('mechanical', 'mechanical delay'),
+  ('general_delay', 'general'), ('general_delay', 'general delay'), ('general_delay', 'delay'),
+  ('operations', 'operations'), ('operations', 'operation'), ('operations', 'operator'), ('operations', 'operations - operator')) v(g, variant)),
+used AS (SELECT DISTINCT g, variant FROM variants JOIN counts ON col = 'incident' AND lower(value) = variant),
+active AS (SELECT g, variant FROM used QUALIFY count(*) OVER (PARTITION BY g) >= 2),
+judged AS (
+  SELECT c.col, c.value, n, ({sql.norm_route('c.value')}) <> 'Unknown' AS rl, cols, g
+  FROM counts c JOIN places ON lower(c.value) = lv LEFT JOIN active ON lower(c.value) = variant WHERE c.value IS NOT NULL
+),
+reasoned AS (
+  SELECT col, value, n, list_filter(CASE col
+    WHEN 'mode' THEN [CASE WHEN lower(value) NOT IN ('bus', 'streetcar') THEN 'unexpected mode value' END]
+    WHEN 'direction' THEN [
+      CASE WHEN value <> upper(value) AND upper(value) IN ('N','S','E','W','B','UNKNOWN') THEN 'lowercase direction variant should be normalized' END,
+      CASE WHEN length(value) > 3 THEN 'longer than 3 characters' END,
+      CASE WHEN regexp_matches(value, '[0-9]') THEN 'contains digits' END,
+      CASE WHEN regexp_matches(lower(value), '{"|".join(audit.DIRECTION_POLLUTION)}') THEN 'contains incident or location word' END,
+      CASE WHEN upper(value) NOT IN ('N','S','E','W','B','UNKNOWN') AND length(value) <= 3 AND value <> upper(value) THEN 'lowercase or mixed-case uncommon direction' END]
+    WHEN 'route' THEN CASE WHEN rl THEN [] WHEN length(value) <= 8 AND NOT contains(value, ' ') AND NOT {_words(audit.LOCATION_WORDS)} AND NOT {_words(audit.INCIDENT_WORDS)} THEN ['not route-like'] ELSE [
+      CASE WHEN length(value) > 8 THEN 'long route value' END, CASE WHEN contains(value, ' ') THEN 'many-word route value' END,
+      CASE WHEN {_words(audit.LOCATION_WORDS)} THEN 'looks like a location or intersection' END,
+      CASE WHEN {_words(audit.INCIDENT_WORDS)} THEN 'looks like an incident label' END] END
+    WHEN 'incident' THEN CASE WHEN lower(value) IN {_CURATED} THEN [] ELSE [
+      CASE WHEN rl THEN 'route-like incident value' END, CASE WHEN {_words(audit.LOCATION_WORDS)} THEN 'location-like incident value' END,
+      CASE WHEN n <= 2 AND length(value) > 2 THEN 'extremely rare incident label' END,
+      CASE WHEN g IS NOT NULL THEN 'possible fragmented incident label: ' || g END] END
+    ELSE [CASE WHEN length(value) <= 2 THEN 'too short for a useful location' END, CASE WHEN rl THEN 'route-like location value' END,
+      CASE WHEN {_words(audit.INCIDENT_WORDS)} THEN 'incident-like location value' END] END, lambda x: x IS NOT NULL) AS reasons,
+    CASE WHEN col = 'mode' OR (col = 'incident' AND lower(value) IN {_CURATED}) THEN [] ELSE
+      list_sort(list_distinct(list_filter(list_concat(cols, [CASE WHEN rl THEN 'route' END,
+        CASE WHEN upper(value) IN ('N','S','E','W','B') THEN 'direction' END]), lambda x: x IS NOT NULL AND x <> col))) END AS fields
+  FROM judged
+),
+audited AS (
+  SELECT col, value, n, round(n * 100.0 / (SELECT count(*) FROM raw), 4) AS percent, len(reasons) > 0 OR len(fields) > 0 AS suspicious,
+    array_to_string(reasons, '; ') AS reasons, array_to_string(fields, '; ') AS looks_like_fields FROM reasoned
+)"""
+
+
+@case(
+    "audit_values",
+    sql.with_ctes(sql.RAW, _AUDIT)
+    + """SELECT col AS "column", value, n AS count, CAST(percent AS DOUBLE) AS percent, suspicious, reasons, looks_like_fields FROM audited""",
+)
+def _audit_values(spark, sf):
+    return rounded(audit.audit_values(raw_incidents(spark, sf)))
+
+
+@case(
+    "suspicious_values",
+    sql.with_ctes(sql.RAW, _AUDIT)
+    + """SELECT col AS "column", value, n AS count, reasons, looks_like_fields FROM audited WHERE suspicious""",
+)
+def _suspicious_values(spark, sf):
+    return audit.suspicious_values(raw_incidents(spark, sf)).drop("percent", "suspicious")
+
+
+@case(
+    "category_audit",
+    sql.with_ctes(sql.RAW, _AUDIT)
+    + """SELECT c.col AS "column", CAST(sum(c.n) AS BIGINT) AS total_rows,
+       CAST(coalesce(sum(c.n) FILTER (WHERE c.value IS NULL), 0) AS BIGINT) AS missing_count, count(c.value) AS unique_count,
+       (SELECT count(*) FROM audited a WHERE a.col = c.col AND suspicious) AS suspicious_values_count,
+       (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM audited a WHERE a.col = c.col AND suspicious) AS suspicious_rows_count,
+       CAST(round(coalesce(sum(c.n) FILTER (WHERE c.value IS NULL), 0) * 100.0 / sum(c.n), 4) AS DOUBLE) AS missing_percent
+       FROM counts c GROUP BY c.col""",
+)
+def _category_audit(spark, sf):
+    return rounded(audit.category_audit(raw_incidents(spark, sf)))
+
+
+@case(
+    "top_values",
+    sql.with_ctes(sql.RAW, _AUDIT)
+    + """SELECT col AS "column", value, n AS count, CAST(row_number() OVER w AS INTEGER) AS place,
+       CAST(round(n * 100.0 / (SELECT count(*) FROM raw), 4) AS DOUBLE) AS percent FROM counts WHERE value IS NOT NULL
+       WINDOW w AS (PARTITION BY col ORDER BY n DESC, value) QUALIFY row_number() OVER w <= 25""",
+)
+def _top_values(spark, sf):
+    return rounded(audit.top_values(raw_incidents(spark, sf)))
+
+
+@case(
+    "suspicious_examples",
+    sql.with_ctes(sql.RAW, _AUDIT)
+    + """SELECT col AS "column", value, n AS count, CAST(row_number() OVER w AS INTEGER) AS place FROM audited WHERE suspicious
+       WINDOW w AS (PARTITION BY col ORDER BY n DESC, value) QUALIFY row_number() OVER w <= 10""",
+)
+def _suspicious_examples(spark, sf):
+    return audit.suspicious_examples(raw_incidents(spark, sf)).select("column", "value", "count", "place")
+
+
+def _events_as_labels(spark, sf) -> DataFrame:
+    """Incident spellings that split one meaning, spread over the events."""
+    spellings = ["Mech", "MECHANICAL", "mechanical delay", "delay", "operator", "operations"]
+    k = (F.col("event_id") % len(spellings)).cast("int")
+    return table(spark, sf, "events").select(
+        F.lit("bus").alias("mode"), F.col("user_id").cast("string").alias("route"), F.lit("N").alias("direction"),
+        F.element_at(F.array(*[F.lit(s) for s in spellings]), k + 1).alias("incident"),
+        F.col("event_type").alias("location"),
+    )
+
+
+@case(
+    "fragment_groups",
+    """SELECT DISTINCT CASE event_id % 6 WHEN 4 THEN 'operations' WHEN 5 THEN 'operations' ELSE 'mechanical' END AS fragment_group,
+      CASE event_id % 6 WHEN 0 THEN 'mech' WHEN 1 THEN 'mechanical' WHEN 2 THEN 'mechanical delay' WHEN 4 THEN 'operator'
+        ELSE 'operations' END AS variant FROM events WHERE event_id % 6 <> 3""",
+)
+def _fragment_groups(spark, sf):
+    return audit.active_fragment_groups(audit.value_counts(_events_as_labels(spark, sf)))
+
+
+# --- support of candidate groupings ---------------------------------------------------------
+
+_EVAL = "split IN ('validation', 'test')"
+_SUPPORTED = "supported AS (SELECT unnest([%s]) AS \"grouping\", unnest([%s]) AS prior_count FROM (SELECT split, %s FROM model) WHERE %s)" % (
+    ", ".join("'" + " + ".join(g) + "'" for g in support.SUPPORT_GROUPINGS),
+    ", ".join(f"n{i}" for i in range(len(support.SUPPORT_GROUPINGS))),
+    ", ".join(f"count(*) {sql.over(', '.join(g))} AS n{i}" for i, g in enumerate(support.SUPPORT_GROUPINGS)),
+    _EVAL,
+)
+
+
+@case(
+    "support_by_group",
+    sql.modeled(
+        """SELECT "grouping", count(*) AS row_count, """
+        + ", ".join(
+            f"round(count(*) FILTER (WHERE prior_count >= {n}) / count(*) * 100, 6) AS pct_with_prior_{n}"
+            for n in (1, 5, 20, 50)
+        )
+        + """, max(prior_count) AS max_prior_count, CAST(quantile_cont(prior_count, 0.5) AS DOUBLE) AS median_prior_count,
+           CAST(quantile_cont(prior_count, 0.25) AS DOUBLE) AS p25_prior_count,
+           CAST(quantile_cont(prior_count, 0.75) AS DOUBLE) AS p75_prior_count FROM supported GROUP BY 1""",
+        _SUPPORTED,
+    ),
+)
+def _support_by_group(spark, sf):
+    return rounded(support.support_by_grouping(modeled_incidents(spark, sf)))
+
+
+_CANDIDATES = support.CANDIDATE_GROUPINGS
+
+
+@case(
+    "candidate_scores",
+    sql.modeled(
+        """SELECT feature_name, "grouping", count(*) AS row_count, round(count(own) / count(*) * 100, 6) AS coverage_percent,
+         round(avg(abs(own - min_delay)), 6) AS mae_where_available, round(avg(abs(filled - min_delay)), 6) AS fallback_mae
+         FROM (SELECT min_delay, feature_name, "grouping", own, coalesce(own, fr, fm, fg) AS filled FROM candidate) GROUP BY ALL""",
+        "candidate AS (SELECT min_delay, fr, fm, fg, unnest([%s]) AS feature_name, unnest([%s]) AS \"grouping\", unnest([%s]) AS own FROM (SELECT split, min_delay, avg(min_delay) %s AS fr, avg(min_delay) %s AS fm, avg(min_delay) %s AS fg, %s FROM model) WHERE %s)"
+        % (
+            ", ".join(f"'{n}'" for n in _CANDIDATES),
+            ", ".join("'" + " + ".join(g) + "'" for g in _CANDIDATES.values()),
+            ", ".join(f"c{i}" for i in range(len(_CANDIDATES))),
+            sql.over("route"), sql.over("mode"), sql.over(""),
+            ", ".join(f"avg(min_delay) {sql.over(', '.join(g))} AS c{i}" for i, g in enumerate(_CANDIDATES.values())),
+            _EVAL,
+        ),
+    ),
+)
+def _candidate_scores(spark, sf):
+    return rounded(support.candidate_scores(modeled_incidents(spark, sf)))
+
+
+_ROLLING = [
+    ("prior_route_30d_mean_delay", "route", "route", None),
+    ("prior_incident_30d_mean_delay", "incident", "incident", None),
+    ("prior_route_hour_30d_mean_delay", "route + hour", "route, hour", None),
+    ("prior_route_30d_severe_rate_30", "route", "route", 30),
+    ("prior_incident_30d_severe_rate_30", "incident", "incident", 30),
+    ("prior_route_30d_severe_rate_60", "route", "route", 60),
+    ("prior_incident_30d_severe_rate_60", "incident", "incident", 60),
+]
+
+
+@case(
+    "rolling_opportunity",
+    sql.modeled(
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS feature_name, '{"rolling_rate" if t else "rolling_mean"}' AS feature_type,
+              '{label}' AS "grouping", '{f"severe_{t}" if t else "regression"}' AS target,
+              round(count(v{i}) / count(*) * 100, 6) AS coverage_percent,
+              round(count(*) FILTER (WHERE v{i} IS NULL) / count(*) * 100, 6) AS missing_fallback_rate,
+              {"CAST(NULL AS DOUBLE)" if t else f"round(avg(abs(v{i} - min_delay)), 6)"} AS mae_where_available,
+              {f"round(avg((v{i} - CAST(min_delay >= {t} AS INTEGER)) ** 2), 6)" if t else "CAST(NULL AS DOUBLE)"}
+                AS brier_score_where_available FROM rolled WHERE {_EVAL}"""
+            for i, (name, label, keys, t) in enumerate(_ROLLING)
+        ),
+        "rolled AS (SELECT split, min_delay, "
+        + ", ".join(
+            f"avg({f'CAST(min_delay >= {t} AS INTEGER)' if t else 'min_delay'}) {sql.over(keys, sql.recent(30))} AS v{i}"
+            for i, (_, _, keys, t) in enumerate(_ROLLING)
+        )
+        + " FROM model)",
+    ),
+)
+def _rolling_opportunity(spark, sf):
+    return rounded(support.rolling_opportunity(modeled_incidents(spark, sf)))
+
+
+# --- transit feed ---------------------------------------------------------------------------
+
+_FEED = f"""
+routes AS (
+  SELECT 'r' || s_suppkey AS route_id, CASE s_suppkey % 5 WHEN 0 THEN s_suppkey || 'a' WHEN 4 THEN 'Blue Line' ELSE CAST(s_suppkey AS VARCHAR) END AS short,
+    CASE WHEN s_suppkey % 11 = 0 THEN 'Deep Line' ELSE s_name END AS long, CASE s_suppkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '3' ELSE CASE WHEN s_suppkey % 2 = 0 THEN '3' ELSE '1' END END AS kind
+  FROM supplier
+),
+surface AS (
+  SELECT route_id, ({sql.norm_route('short')}) AS route, CASE kind WHEN '3' THEN 'bus' ELSE 'streetcar' END AS mode,
+    ({sql.norm_route('short')}) || ' - ' || long AS label
+  FROM routes WHERE kind IN ('0', '3') AND ({sql.norm_route('short')}) <> 'Unknown' AND NOT ends_with(upper(long), ' LINE')
+),
+trips AS (SELECT 'r' || (o_custkey % (SELECT count(*) FROM supplier)) AS route_id, 't' || o_orderkey AS trip_id FROM orders),
+stop_times AS (SELECT 't' || l_orderkey AS trip_id, 's' || l_partkey AS stop_id,
+  CASE WHEN l_linenumber = 5 THEN 'x' ELSE CAST(l_linenumber AS VARCHAR) END AS seq FROM lineitem),
+stops AS (SELECT 's' || p_partkey AS stop_id, p_name || ' St' AS stop_name, 43.0 + (p_partkey % 97) / 100.0 AS lat,
+  -79.0 - (p_partkey % 89) / 100.0 AS lon FROM part),
+visits AS (SELECT route, trip_id, stop_id, seq FROM stop_times JOIN trips USING (trip_id) JOIN surface USING (route_id)),
+ends AS (
+  SELECT trip_id, route, arg_min(stop_id, (CAST(seq AS BIGINT), stop_id)) AS first_stop, arg_min(stop_id, (-CAST(seq AS BIGINT), stop_id)) AS last_stop
+  FROM visits WHERE seq <> 'x' GROUP BY ALL HAVING first_stop <> last_stop
+),
+listed AS (SELECT route, ({sql.norm_location('stop_name')}) AS location, min(stop_name) AS label FROM visits JOIN stops USING (stop_id) GROUP BY 1, 2),
+moved AS (
+  SELECT DISTINCT route, (b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)) AS x, b.lat - a.lat AS y
+  FROM ends JOIN stops a ON first_stop = a.stop_id JOIN stops b ON last_stop = b.stop_id WHERE a.lat <> b.lat OR a.lon <> b.lon
+),
+ways AS (SELECT DISTINCT route, CASE WHEN abs(x) >= abs(y) THEN CASE WHEN x > 0 THEN 'E' ELSE 'W' END WHEN y > 0 THEN 'N' ELSE 'S' END AS d FROM moved),
+directions AS (SELECT route, list_sort(list(d)) AS ds FROM ways GROUP BY route)"""
+
+
+def feed_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """A transit feed out of the given tables: routes, trips, stop times and stops."""
+    supplier, key = table(spark, sf, "supplier"), F.col("s_suppkey")
+    part, p = table(spark, sf, "part"), F.col("p_partkey")
+    number = key.cast("string")
+    routes = supplier.select(
+        F.concat(F.lit("r"), number).alias("route_id"),
+        F.when(key % 5 == 0, F.concat(number, F.lit("a"))).when(key % 5 == 4, "Blue Line").otherwise(number).alias("route_short_name"),
+        F.when(key % 11 == 0, "Deep Line").otherwise(F.col("s_name")).alias("route_long_name"),
+        F.when(key % 3 == 0, "0").when(key % 3 == 1, "3").when(key % 2 == 0, "3").otherwise("1").alias("route_type"),
+    )
+    size = supplier.agg(F.count(F.lit(1))).scalar()
+    trips = table(spark, sf, "orders").select(
+        F.concat(F.lit("r"), (F.col("o_custkey") % size).cast("string")).alias("route_id"),
+        F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("trip_id"),
+    )
+    stop_times = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("trip_id"),
+        F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("stop_id"),
+        F.when(F.col("l_linenumber") == 5, "x").otherwise(F.col("l_linenumber").cast("string")).alias("stop_sequence"),
+    )
+    stops = part.select(
+        F.concat(F.lit("s"), p.cast("string")).alias("stop_id"),
+        F.concat("p_name", F.lit(" St")).alias("stop_name"),
+        (F.lit(43.0) + (p % 97) / 100.0).cast("string").alias("stop_lat"),
+        (F.lit(-79.0) - (p % 89) / 100.0).cast("string").alias("stop_lon"),
+    )
+    return {"routes": routes, "trips": trips, "stop_times": stop_times, "stops": stops}
+
+
+@case(
+    "feed_routes",
+    sql.with_ctes(_FEED) + "SELECT route, arg_max(label, route_id) AS label, arg_max(mode, route_id) AS mode FROM surface GROUP BY route",
+)
+def _feed_routes(spark, sf):
+    return feed.route_options(feed.feed_routes(feed_tables(spark, sf)["routes"]))
+
+
+@case("trip_endpoints", sql.with_ctes(_FEED) + "SELECT trip_id, route, first_stop, last_stop FROM ends")
+def _trip_endpoints(spark, sf):
+    t = feed_tables(spark, sf)
+    return feed.trip_endpoints(feed.feed_routes(t["routes"]), t["trips"], t["stop_times"])
+
+
+@case("route_stops", sql.with_ctes(_FEED) + "SELECT route, location, label FROM listed")
+def _route_stops(spark, sf):
+    t = feed_tables(spark, sf)
+    return feed.ordered_stops(feed.route_stops(feed.feed_routes(t["routes"]), t["trips"], t["stop_times"], t["stops"]))
+
+
+@case(
+    "route_directions",
+    sql.with_ctes(_FEED)
+    + "SELECT route, array_to_string(list_filter(['N', 'E', 'S', 'W'], lambda x: list_contains(ds, x)), ',') AS directions FROM directions",
+)
+def _route_directions(spark, sf):
+    index = feed.route_index(**feed_tables(spark, sf))
+    return index.directions.select("route", F.array_join("directions", ",").alias("directions"))
+
+
+_ROUTE_REQUESTS = f"""
+asked AS (
+  SELECT l_orderkey AS request_id, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey || 'B' ELSE CAST(l_suppkey AS VARCHAR) END AS route,
+    p_name || ' St' AS location FROM lineitem JOIN part ON l_partkey = p_partkey
+),
+resolved AS (
+  SELECT request_id, route AS asked_route, ({sql.norm_location('location')}) AS location,
+    CASE WHEN route IN (SELECT route FROM listed) THEN route
+      WHEN regexp_extract(route, '^([0-9]+)[A-Z]+$', 1) IN (SELECT route FROM listed) THEN regexp_extract(route, '^([0-9]+)[A-Z]+$', 1) END AS listed_route,
+    CASE WHEN route IN (SELECT route FROM directions) THEN route
+      WHEN regexp_extract(route, '^([0-9]+)[A-Z]+$', 1) IN (SELECT route FROM directions) THEN regexp_extract(route, '^([0-9]+)[A-Z]+$', 1) END AS way_route
+  FROM asked
+)"""
+
+
+def route_requests(spark: SparkSession, sf: str) -> DataFrame:
+    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    key = F.col("l_suppkey").cast("string")
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("request_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(key, F.lit("B"))).otherwise(key).alias("route"),
+        F.concat("p_name", F.lit(" St")).alias("location"),
+    )
+
+
+@case(
+    "validate_route_location",
+    sql.with_ctes(_FEED, _ROUTE_REQUESTS)
+    + """SELECT request_id, asked_route AS route, coalesce(listed_route, asked_route) AS matched_route, r.location AS normalized_location,
+       label AS route_location_label, label IS NOT NULL AS accepted_for_prediction,
+       CASE WHEN listed_route IS NULL THEN 'Route ' || asked_route || ' was not found in the route-stop index.'
+         WHEN label IS NULL THEN 'Location ''' || r.location || ''' is not a stop on route ' || listed_route || '. Choose a location from the selected route stop list.'
+         WHEN listed_route <> asked_route THEN 'Using base route ' || listed_route || ' stop list for branch route ' || asked_route || '.' END AS warning
+       FROM resolved r LEFT JOIN listed l ON l.route = listed_route AND l.location = r.location""",
+)
+def _validate_route_location(spark, sf):
+    index = feed.route_index(**feed_tables(spark, sf))
+    out = feed.validate_route_locations(route_requests(spark, sf), index)
+    return out.drop("location", "route_location")
+
+
+@case(
+    "resolve_routes",
+    sql.with_ctes(_FEED, _ROUTE_REQUESTS)
+    + """, options AS (SELECT route, arg_max(mode, route_id) AS mode FROM surface WHERE route IN (SELECT route FROM listed) GROUP BY route)
+       SELECT request_id, asked_route AS route,
+       coalesce((SELECT mode FROM options o WHERE o.route = asked_route), (SELECT mode FROM options o WHERE o.route = regexp_extract(asked_route, '^([0-9]+)[A-Z]+$', 1))) AS route_mode,
+       coalesce(array_to_string(list_filter(['N', 'E', 'S', 'W'], lambda x: list_contains(ds, x)), ',') || CASE WHEN len(ds) >= 2 THEN ',B' ELSE '' END, '') AS direction_options,
+       way_route IS NULL OR way_route <> asked_route AS warned
+       FROM resolved LEFT JOIN directions d ON d.route = way_route""",
+)
+def _resolve_routes(spark, sf):
+    index = feed.route_index(**feed_tables(spark, sf))
+    out = feed.resolve_routes(route_requests(spark, sf), index)
+    return out.select(
+        "request_id", "route", "route_mode", F.array_join("direction_options", ",").alias("direction_options"),
+        F.col("direction_warning").isNotNull().alias("warned"),
+    )
+
+
+# --- requests -------------------------------------------------------------------------------
+
+
+@case(
+    "known_categories",
+    sql.modeled(
+        """SELECT DISTINCT unnest(['mode', 'route', 'direction', 'incident', 'location']) AS field,
+         unnest([mode, route, direction, incident, location]) AS value FROM model WHERE split = 'train'"""
+    ),
+)
+def _known_categories(spark, sf):
+    return requests.known_categories(modeled_incidents(spark, sf).where("split = 'train'"))
+
+
+@case(
+    "option_catalogue",
+    sql.with_ctes(sql.RAW)
+    + f"""SELECT field, option, dropped_values FROM (
+        SELECT 'route' AS field, value, nullif({sql.norm_route('value')}, 'Unknown') AS option FROM (SELECT DISTINCT trim(route) AS value FROM raw)
+        UNION ALL SELECT 'location', value, nullif({sql.norm_location('value')}, 'Unknown') FROM (SELECT DISTINCT trim(location) AS value FROM raw)
+      ) JOIN (SELECT 'route' AS field, count(*) - count(DISTINCT nullif({sql.norm_route('value')}, 'Unknown')) AS dropped_values FROM (SELECT DISTINCT trim(route) AS value FROM raw)
+        UNION ALL SELECT 'location', count(*) - count(DISTINCT nullif({sql.norm_location('value')}, 'Unknown')) FROM (SELECT DISTINCT trim(location) AS value FROM raw)) USING (field)
+      WHERE option IS NOT NULL GROUP BY ALL""",
+)
+def _option_catalogue(spark, sf):
+    return requests.option_catalogue(requests.known_categories(raw_incidents(spark, sf)))
+
+
+@case(
+    "validate_incidents",
+    sql.modeled(
+        """SELECT request_id, r.mode, r.route, r.direction, r.incident, r.location,
+         CAST((r.direction = 'Unknown')::INT + (r.incident = 'Unknown')::INT + (r.location = 'Unknown')::INT
+           + (r.route NOT IN (SELECT route FROM model WHERE split = 'train'))::INT
+           + (r.direction <> 'Unknown' AND r.direction NOT IN (SELECT direction FROM model WHERE split = 'train'))::INT
+           + (r.incident <> 'Unknown' AND r.incident NOT IN (SELECT incident FROM model WHERE split = 'train'))::INT
+           + (r.location <> 'Unknown' AND r.location NOT IN (SELECT location FROM model WHERE split = 'train'))::INT AS INTEGER) AS warnings
+         FROM request r""",
+        _ASKED,
+    ),
+)
+def _validate_incidents(spark, sf):
+    known = requests.known_categories(modeled_incidents(spark, sf).where("split = 'train'"))
+    out = requests.validate_requests(order_requests(spark, sf).drop("ts"), known)
+    return out.withColumn("warnings", F.size("validation_warnings")).drop("validation_warnings")
+
+
+@case(
+    "fuzzy_location",
+    sql.with_ctes(sql.RAW, sql.NORM)
+    + """, known AS (SELECT DISTINCT location, lower(trim(regexp_replace(regexp_replace(location, '[^A-Za-z0-9&@/ ]', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM norm WHERE location <> 'Unknown'),
+       asked AS (SELECT DISTINCT s_name || ' ' || p_name AS location, lower(regexp_replace(s_name, '[^A-Za-z0-9]', ' ', 'g') || ' ' || p_name) AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2
+          UNION SELECT DISTINCT p_name || ' st west', p_name || ' street west' FROM part UNION SELECT DISTINCT p_name || ' at queen', p_name || ' at queen' FROM part),
+       pairs AS (SELECT a.location AS asked, k.location, string_split(a.t, ' ') AS x, string_split(k.t, ' ') AS y, a.t AS s, k.t AS o FROM asked a, known k),
+       scored AS (SELECT *, CASE WHEN s = o THEN 100.0 WHEN contains(o, s) OR contains(s, o) THEN greatest(80.0, 100.0 * least(length(s), length(o)) / greatest(length(s), length(o)))
+         WHEN len(list_filter(x, lambda w: w NOT IN ('and', 'at', 'the', 'of') AND NOT list_contains(y, w))) = 0 THEN 85.0
+         ELSE 200.0 * len(list_intersect(x, y)) / (len(list_distinct(x)) + len(list_distinct(y))) END AS score FROM pairs)
+       SELECT asked AS location, CASE WHEN score > 0 THEN location END AS matched_location, CAST(round(score, 1) AS DOUBLE) AS score,
+         CASE WHEN score = 100 THEN 'exact' WHEN score >= 75 THEN 'fuzzy' ELSE 'none' END AS match_type, score >= 90 AS accepted_for_prediction
+       FROM scored QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, lower(location), location) = 1""",
+)
+def _fuzzy_location(spark, sf):
+    known = modeled_incidents(spark, sf).where("location != 'Unknown'").select("location")
+    line, supplier, part = (table(spark, sf, n) for n in ("lineitem", "supplier", "part"))
+    joined = (
+        line.where("l_linenumber <= 2").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select(F.concat("s_name", F.lit(" "), "p_name").alias("location"))
+    )
+    asked = joined.union(part.select(F.concat("p_name", F.lit(" st west")))).union(
+        part.select(F.concat("p_name", F.lit(" at queen")))
+    )
+    out = match.match_locations(asked.distinct(), known)
+    return out.select("location", "matched_location", "score", "match_type", "accepted_for_prediction")
