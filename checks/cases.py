@@ -1404,7 +1404,7 @@ def _validate_incidents(spark, sf):
     "fuzzy_location",
     sql.with_ctes(sql.RAW, sql.NORM)
     + """, known AS (SELECT DISTINCT location, lower(trim(regexp_replace(regexp_replace(location, '[^A-Za-z0-9&@/ ]', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM norm WHERE location <> 'Unknown'),
-       asked AS (SELECT DISTINCT s_name || ' ' || p_name AS location, lower(regexp_replace(s_name, '[^A-Za-z0-9]', ' ', 'g') || ' ' || p_name) AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2
+       asked AS (SELECT DISTINCT s_name || ' ' || p_name AS location, lower(regexp_replace(s_name, '[^A-Za-z0-9]', ' ', 'g') || ' ' || p_name) AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
           UNION SELECT DISTINCT p_name || ' st west', p_name || ' street west' FROM part UNION SELECT DISTINCT p_name || ' at queen', p_name || ' at queen' FROM part),
        pairs AS (SELECT a.location AS asked, k.location, string_split(a.t, ' ') AS x, string_split(k.t, ' ') AS y, a.t AS s, k.t AS o FROM asked a, known k),
        scored AS (SELECT *, CASE WHEN s = o THEN 100.0 WHEN contains(o, s) OR contains(s, o) THEN greatest(80.0, 100.0 * least(length(s), length(o)) / greatest(length(s), length(o)))
@@ -1418,7 +1418,7 @@ def _fuzzy_location(spark, sf):
     known = modeled_incidents(spark, sf).where("location != 'Unknown'").select("location")
     line, supplier, part = (table(spark, sf, n) for n in ("lineitem", "supplier", "part"))
     joined = (
-        line.where("l_linenumber <= 2").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(F.concat("s_name", F.lit(" "), "p_name").alias("location"))
     )
