@@ -23,6 +23,7 @@ from priorline.functions.rows import (
 from priorline.operators import metrics
 from priorline.operators.metrics import CALIBRATION_CUTOFFS
 from priorline.operators.reports import high_delay
+from priorline.sources.durable import durable
 
 METHODS = ["uncalibrated", "sigmoid", "isotonic"]
 MODES = ["bus", "streetcar"]
@@ -186,7 +187,8 @@ def run_experiments(
 
     Predictions of all experiments are one long table, graded in one pass per report.
     """
-    train = df.where("split = 'train'").persist()
+    df = durable(df)
+    train = df.where("split = 'train'")
     graded = df.where("split in ('validation', 'test')")
     models, long = {}, None
     for name in names:
@@ -195,8 +197,7 @@ def run_experiments(
             F.lit(name).alias("experiment"), "split", "mode", F.col("min_delay").alias("actual"), "prediction"
         )
         long = part if long is None else long.unionByName(part)
-    train.unpersist()
-    long = with_residuals(long)
+    long = with_residuals(durable(long))
     result = ExperimentResult(
         metrics.extended_metrics(long, ["experiment", "split"]),
         metrics.extended_metrics(long, ["experiment", "split", "mode"]),
@@ -219,7 +220,7 @@ def fit_classifier(
     rows = training_rows(train, features, target).withColumn(
         "_label", (F.col(target) >= threshold).cast("double")
     )
-    positives, negatives = rows.agg(F.count_if("_label = 1"), F.count_if("_label = 0")).first()
+    positives, negatives = rows.agg(F.count_if(F.col("_label") == 1), F.count_if(F.col("_label") == 0)).first()
     if not positives or not negatives:
         raise ValueError(f"Cannot train a risk classifier for {target} >= {threshold}: both classes are needed.")
     weight = F.when(F.col("_label") == 1, negatives / positives).otherwise(1.0)
@@ -405,8 +406,9 @@ def run_calibration(
     All (split, threshold, method) scores form one long table; every report is one aggregation
     over it, instead of one per combination.
     """
+    df = durable(df)
     train = check_calibration_split(df.where("split = 'train'"), calibration_start, calibration_end)
-    base_rows = train.where("calibration_split = 'base'").drop("calibration_split").persist()
+    base_rows = train.where("calibration_split = 'base'").drop("calibration_split")
     held = train.where("calibration_split = 'calibration'").drop("calibration_split")
     held = held.withColumn("split", F.lit("calibration"))
     graded = held.unionByName(df.where("split in ('validation', 'test')"))
@@ -422,9 +424,8 @@ def run_calibration(
                 "split", "threshold_minutes", F.lit(method).alias("calibration_method"), "y", "p"
             )
             long = part if long is None else long.unionByName(part)
-    base_rows.unpersist()
-    # Read by five reports below; recomputed from the models if an executor is lost.
-    long = long.persist()
+    # Read by five reports below.
+    long = durable(long)
     by = ["split", "threshold_minutes", "calibration_method"]
     choice = ["threshold_minutes", "calibration_method"]
     cutoffs = metrics.cutoff_table(long.where("split = 'validation'"), by, "y", "p", CALIBRATION_CUTOFFS)
