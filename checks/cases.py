@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from checks import sql
 from checks.incidents import modeled_incidents, raw_incidents, table, with_time
-from priorline.contract import BASELINES, HISTORY_FEATURES
+from priorline.contract import BASELINES, HISTORY_FEATURES, feature_projection
 from priorline.functions import calendar, rows, text
 from priorline.operators import audit, history, lookup, match, metrics, reports, requests, support
+from priorline.plans import explain, models, score
 from priorline.plans.clean import clean_incidents, dropped_rows
 from priorline.sources import feed
+from priorline.sources.durable import durable
 from priorline.sources.files import normalize_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1427,3 +1429,81 @@ def _fuzzy_location(spark, sf):
     )
     out = match.match_locations(asked.distinct(), known)
     return out.select("location", "matched_location", "score", "match_type", "accepted_for_prediction")
+
+
+# --- models (rows only: fits differ between engines) ----------------------------------------
+
+# Few, shallow trees: what is checked is the job, over whole tables.
+QUICK = models.TreeConfig(rounds=3, depth=3)
+_ARTIFACTS: dict[tuple[str, str], models.Artifact] = {}
+
+
+def model_table(spark: SparkSession, sf: str) -> DataFrame:
+    return durable(history.add_history_features(with_time(modeled_incidents(spark, sf))))
+
+
+def artifact(spark: SparkSession, sf: str) -> models.Artifact:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ARTIFACTS:
+        df = model_table(spark, sf)
+        train = df.where("split = 'train'")
+        risk = models.run_calibration(df, "1999-01-01", "2000-01-01", QUICK).risks
+        delay = models.fit_regressor(train, QUICK, log_target=True)
+        _ARTIFACTS[key] = models.Artifact(delay, risk, feature_projection(df.columns)[0])
+    return _ARTIFACTS[key]
+
+
+def _fit_case(name: str, fit):
+    @case(name)
+    def _query(spark, sf):
+        df = model_table(spark, sf)
+        model = fit(df.where("split = 'train'"))
+        scored = models.predict(model, df.where("split in ('validation', 'test')"))
+        return metrics.regression_metrics(scored, ["split", "mode"], "min_delay")
+
+
+_fit_case("gbt_delay", lambda train: models.fit_regressor(train, QUICK))
+_fit_case("weighted_delay", lambda train: models.fit_regressor(train, QUICK, weighted=True))
+_fit_case("log_target", lambda train: models.fit_regressor(train, QUICK, log_target=True))
+_fit_case("mode_specific", lambda train: models.fit_mode_models(train, QUICK))
+
+
+@case("experiments")
+def _experiments(spark, sf):
+    return models.run_experiments(model_table(spark, sf), QUICK).selected
+
+
+@case("risk_calibrated")
+def _risk_calibrated(spark, sf):
+    return models.run_calibration(model_table(spark, sf), "1999-01-01", "2000-01-01", QUICK).metrics
+
+
+@case("two_output_predictions")
+def _two_output(spark, sf):
+    return models.two_output_frame(model_table(spark, sf).where("split = 'test'"), artifact(spark, sf))
+
+
+@case("permutation_importance")
+def _permutation(spark, sf):
+    key = ["ts", "mode", "route", "direction", "incident", "location", "min_delay"]
+    return explain.explain(model_table(spark, sf), artifact(spark, sf), key, repeats=2)[0]
+
+
+@case("representative_examples")
+def _examples(spark, sf):
+    frame = models.two_output_frame(model_table(spark, sf).where("split = 'validation'"), artifact(spark, sf))
+    return explain.representative_examples(frame, ["route", "incident"])
+
+
+@case("sampled")
+def _sampled(spark, sf):
+    key = ["ts", "mode", "route", "direction", "incident", "location", "min_delay"]
+    return explain.deterministic_sample(modeled_incidents(spark, sf), key)
+
+
+@case("scored_incidents")
+def _scored_incidents(spark, sf):
+    known = requests.known_categories(modeled_incidents(spark, sf).where("split = 'train'"))
+    return score.score_incidents(
+        order_requests(spark, sf), _past_model(spark, sf), artifact(spark, sf), known, history_is_normalized=True
+    )
