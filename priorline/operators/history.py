@@ -279,10 +279,15 @@ def _bucketed(
             ]
         )
     )
-    row_tuple = F.struct(micros(F.col(roles.ts)).alias("at"), *[named[k].alias(k) for k in keys])
-    joined = rows.withColumn("_row_tuple", row_tuple).join(
-        table, F.col("_row_tuple") == F.col("_tuple"), "left"
+    # Other key columns than the aggregation's: the table gets a shuffle of its own, without which
+    # adaptive execution could not split the rows of a hot tuple.
+    table = table.select(
+        F.col("_tuple.at").alias("_at"), F.struct(F.lit(0), *[F.col(f"_tuple.{k}") for k in keys]).alias("_keys"),
+        *[f.name for f in features],
     )
+    joined = rows.withColumns(
+        {"_row_at": micros(F.col(roles.ts)), "_row_keys": F.struct(F.lit(0), *[named[k].alias(k) for k in keys])}
+    ).join(table, (F.col("_row_at") == F.col("_at")) & (F.col("_row_keys") == F.col("_keys")), "left")
     return joined.select(*rows.columns, *[f.name for f in features])
 
 
