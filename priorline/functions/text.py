@@ -158,10 +158,13 @@ def clean_text(text: Column) -> Column:
     )
 
 
+def _without_null_words(squeezed: Column) -> Column:
+    return F.when(~F.lower(squeezed).isin(NULL_LIKE), squeezed)
+
+
 def category_text(text: Column) -> Column:
     """Squeezed text, NULL when it only says that there is no value."""
-    squeezed = squeeze(text)
-    return F.when(~F.lower(squeezed).isin(NULL_LIKE), squeezed)
+    return _without_null_words(squeeze(text))
 
 
 def _mode_rule(mode: Column) -> Column:
@@ -195,8 +198,8 @@ def is_route_like(text: Column) -> Column:
     return normalize_route(text) != UNKNOWN
 
 
-def direction_letters(text: Column) -> Column:
-    return F.regexp_replace(F.upper(category_text(text)), "[^A-Z]", "")
+def _direction_letters(cleaned: Column) -> Column:
+    return F.regexp_replace(F.upper(cleaned), "[^A-Z]", "")
 
 
 def _direction_rule(letters: Column) -> Column:
@@ -210,7 +213,7 @@ def _direction_rule(letters: Column) -> Column:
 
 
 def normalize_direction(text: Column) -> Column:
-    return _direction_rule(direction_letters(text))
+    return _direction_rule(_direction_letters(category_text(text)))
 
 
 def incident_key(text: Column) -> Column:
@@ -240,8 +243,8 @@ def normalize_incident(text: Column) -> Column:
     return _incident_rule(incident_key(category_text(text)))
 
 
-def location_words(text: Column, strip_punctuation: bool = False) -> Column:
-    upper = F.regexp_replace(F.upper(category_text(text)), "[&@/]", " AND ")
+def _location_words(cleaned: Column, strip_punctuation: bool = False) -> Column:
+    upper = F.regexp_replace(F.upper(cleaned), "[&@/]", " AND ")
     marks = r"[.,;:()\[\]{}]" if strip_punctuation else r"[.,;:()\[\\]\{\}\]"
     return squeeze(F.regexp_replace(upper, marks, " "))
 
@@ -258,7 +261,7 @@ def normalize_location(text: Column, strip_punctuation: bool = False) -> Column:
     By default punctuation stays (only a punctuation mark followed by ``{}]`` goes), which
     leaves ``ST.`` unexpanded. ``strip_punctuation`` removes the marks first.
     """
-    return _location_rule(location_words(text, strip_punctuation))
+    return _location_rule(_location_words(category_text(text), strip_punctuation))
 
 
 NORMALIZERS = {
@@ -270,21 +273,21 @@ NORMALIZERS = {
 }
 
 
-# What each rule looks at, and the rule.
+# What each rule looks at (made from the cleaned text), and the rule.
 _STAGES = {
-    "mode": (lambda text: F.lower(category_text(text)), _mode_rule),
-    "route": (category_text, _route_rule),
-    "direction": (direction_letters, _direction_rule),
-    "incident": (lambda text: incident_key(category_text(text)), _incident_rule),
-    "location": (location_words, _location_rule),
+    "mode": (F.lower, _mode_rule),
+    "route": (lambda cleaned: cleaned, _route_rule),
+    "direction": (_direction_letters, _direction_rule),
+    "incident": (incident_key, _incident_rule),
+    "location": (_location_words, _location_rule),
 }
 
 
 def normalize_categories(df: DataFrame) -> DataFrame:
     """Overwrite the five categories by their normal form; keep the raw text once.
 
-    Two projections: the rules read their prepared text many times, and a projection of its own
-    makes Spark compute it once per row.
+    Three projections: each step reads the result of the one before several times, and a
+    projection of its own makes Spark compute it once per row.
     """
     present = set(df.columns)
     raw = {
@@ -294,9 +297,12 @@ def normalize_categories(df: DataFrame) -> DataFrame:
     }
     df = df.withColumns(raw) if raw else df
     names = [name for name in _STAGES if name in present]
-    df = df.withColumns({f"_{name}_text": _STAGES[name][0](F.col(name)) for name in names})
+    df = df.withColumns({f"_{name}_squeezed": squeeze(F.col(name)) for name in names})
+    df = df.withColumns(
+        {f"_{name}_text": _STAGES[name][0](_without_null_words(F.col(f"_{name}_squeezed"))) for name in names}
+    )
     df = df.withColumns({name: _STAGES[name][1](F.col(f"_{name}_text")) for name in names})
-    return df.drop(*[f"_{name}_text" for name in names])
+    return df.drop(*[f"_{name}_{step}" for name in names for step in ("squeezed", "text")])
 
 
 def match_text(text: Column) -> Column:
