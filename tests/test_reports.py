@@ -97,10 +97,10 @@ def test_audit_reasons(spark):
         [("bus", "29", "N", "Mechanical", "Main St"), ("bus", "Queen Station", "mechanical delay", "501", "29")],
         "mode string, route string, direction string, incident string, location string",
     )
-    bad = {r["column"]: r for r in audit.suspicious_values(df).collect() if r["column"] != "mode"}
-    assert bad["route"]["reasons"].startswith("long route value; many-word route value; looks like a location")
-    assert bad["direction"]["reasons"] == "longer than 3 characters; contains incident or location word"
-    assert bad["incident"]["looks_like_fields"] == "route" and bad["location"]["looks_like_fields"] == "route"
+    bad = {(r["column"], r["value"]): r for r in audit.suspicious_values(df).collect()}
+    assert bad["route", "Queen Station"]["reasons"].startswith("long route value; many-word route value; looks like a location")
+    assert bad["direction", "mechanical delay"]["reasons"] == "longer than 3 characters; contains incident or location word"
+    assert bad["incident", "501"]["looks_like_fields"] == "route" and bad["location", "29"]["looks_like_fields"] == "route"
 
 
 def test_location_match_blocks_agree(spark):
