@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the session names in ``spark.checkpoint.dir``; where it is unset, one in the warehouse.
 
-    Only a local session without that setting (tests) gets a temporary folder; a cluster without
-    it is an error.
+    Both are shared by the driver and all executors, whatever the master is.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a shared folder.")
-    folder = tempfile.mkdtemp(prefix="checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
     """Materialize a table that many jobs read, and cut its lineage.
 
     Parquet rather than a checkpointed RDD: later reads prune columns and push filters down.
+    ``drop_durable`` removes the tables of this process.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partitions_by) if partitions_by else df.write
+    writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_durable(spark: SparkSession) -> None:
+    """Delete the tables that ``durable`` wrote in this process, once their readers are done."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
