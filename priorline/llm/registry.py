@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from priorline.llm.fingerprints import edit_fingerprints
 from priorline.llm.secrets import scan_secrets
 
 
@@ -17,7 +18,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op8_secret_scan,)
+    query.__name__: query for query in (op2_document_fingerprints, op8_secret_scan)
 }
 SQL: dict[str, str] = {}
