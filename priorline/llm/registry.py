@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm.bpe import round_trip
 from priorline.llm.fingerprints import edit_fingerprints
+from priorline.llm.quality import select_documents
 from priorline.llm.secrets import scan_secrets
 
 
@@ -20,6 +21,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,6 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op8_secret_scan)
+    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op5_quality_classifier, op8_secret_scan)
 }
 SQL: dict[str, str] = {}
