@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm.bpe import round_trip
 from priorline.llm.fingerprints import edit_fingerprints
+from priorline.llm.lines import dedup_lines
 from priorline.llm.quality import select_documents
 from priorline.llm.secrets import scan_secrets
 
@@ -25,6 +26,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,6 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op5_quality_classifier, op8_secret_scan)
+    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op5_quality_classifier, op6_line_dedup, op8_secret_scan)
 }
 SQL: dict[str, str] = {}
