@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm.components import connected_components
-from priorline.llm.rows import id_and_text
+from priorline.llm.rows import id_and_text, sized
 from priorline.llm.similarity import (
     WordHashes, cells_of, joined_labels, meet, mixed, signed, similar_in_cell, single_cells, whole_cells,
 )
@@ -308,8 +308,10 @@ def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
             F.struct("d0", "d1").alias("id"), "place", "component"
         )
     )
-    wanted = candidates.groupBy(F.col("place.doc_id").alias("key")).agg(F.collect_list("place.line").alias("lines"))
-    sets = durable(token_sets(rows, wanted, min_words).dropDuplicates(["d0", "d1"]))
+    wanted = durable(
+        candidates.groupBy(F.col("place.doc_id").alias("key")).agg(F.collect_list("place.line").alias("lines"))
+    )
+    sets = durable(token_sets(rows, sized(wanted), min_words).dropDuplicates(["d0", "d1"]))
     found = candidates.select(F.col("id").alias("of"), "place", "component").join(
         sets.select(F.struct("d0", "d1").alias("id"), "size", "elements"), F.col("of") == F.col("id")
     )

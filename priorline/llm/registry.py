@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from priorline.llm.bpe import round_trip
 from priorline.llm.fingerprints import edit_fingerprints
 from priorline.llm.lines import dedup_lines
+from priorline.llm.near_duplicates import near_duplicate_classes
 from priorline.llm.quality import select_documents
 from priorline.llm.secrets import scan_secrets
 
@@ -22,6 +23,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +44,6 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op5_quality_classifier, op6_line_dedup, op8_secret_scan)
+    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op8_secret_scan)
 }
 SQL: dict[str, str] = {}

@@ -21,3 +21,15 @@ def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
     """The (id, text) pairs of a batch, one Python string alive at a time."""
     for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
         yield key.as_py(), text.as_py()
+
+
+#: A side of a join is broadcast only if it has at most so many rows of a few numbers each.
+BROADCAST_ROWS = 500_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if a count shows that it is small; otherwise Spark shuffles it.
+
+    small: written before, so that counting it is cheap, with rows of bounded width.
+    """
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
