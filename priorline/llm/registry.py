@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm.bpe import round_trip
+from priorline.llm.decontamination import leaks
 from priorline.llm.fingerprints import edit_fingerprints
 from priorline.llm.lines import dedup_lines
 from priorline.llm.near_duplicates import near_duplicate_classes
@@ -35,6 +36,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,6 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op8_secret_scan)
+    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan)
 }
 SQL: dict[str, str] = {}
