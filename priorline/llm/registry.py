@@ -12,6 +12,7 @@ from priorline.llm.decontamination import leaks
 from priorline.llm.fingerprints import edit_fingerprints
 from priorline.llm.lines import dedup_lines
 from priorline.llm.near_duplicates import near_duplicate_classes
+from priorline.llm.personal_data import find_personal_data
 from priorline.llm.quality import select_documents
 from priorline.llm.secrets import scan_secrets
 
@@ -48,7 +49,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan)
+    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data)
 }
 SQL: dict[str, str] = {}
