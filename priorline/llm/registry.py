@@ -15,6 +15,7 @@ from priorline.llm.near_duplicates import near_duplicate_classes
 from priorline.llm.personal_data import find_personal_data
 from priorline.llm.quality import select_documents
 from priorline.llm.secrets import scan_secrets
+from priorline.llm.url_filter import JUDGE_SQL, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).drop("component")
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,6 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data)
+    query.__name__: query for query in (op1_url_filter, op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_url_filter": JUDGE_SQL}

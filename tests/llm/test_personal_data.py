@@ -62,7 +62,7 @@ def test_revealing_terms(frame):
     for k in range(400):
         text = rng.choices(words, k=20)
         if k % 40 == 0:
-            text[10:10] = ["Zorblatt", f"wrote{k}", "boss@corp.example.com", "himself"]
+            text[10:10] = ["Zorblatt", f"no {k}", "boss@corp.example.com", "himself"]
         if k % 40 == 1:
             text.insert(3, "himself")
         rows.append((k, " ".join(text)))
