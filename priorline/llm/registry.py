@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from priorline.llm.bpe import round_trip
 from priorline.llm.decontamination import leaks
 from priorline.llm.fingerprints import edit_fingerprints
+from priorline.llm.html_text import extract_main_text
 from priorline.llm.lines import dedup_lines
 from priorline.llm.near_duplicates import near_duplicate_classes
 from priorline.llm.personal_data import find_personal_data
@@ -58,7 +59,15 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_url_filter, op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier, op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data)
+    query.__name__: query
+    for query in (
+        op1_url_filter, op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier,
+        op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data, op10_html_extraction,
+    )
 }
 SQL: dict[str, str] = {"op1_url_filter": JUDGE_SQL}
