@@ -7,7 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from priorline import messages
 from priorline.functions.rows import with_residuals
+from priorline.functions.text import match_text
 from priorline.operators import audit, match, metrics, reports
 from priorline.operators.quantiles import exact_quantiles
 from priorline.plans.clean import clean_all
@@ -103,15 +105,41 @@ def test_audit_reasons(spark):
     assert bad["incident", "501"]["looks_like_fields"] == "route" and bad["location", "29"]["looks_like_fields"] == "route"
 
 
-def test_location_match_blocks_agree(spark):
+def test_location_match(spark):
     known = spark.createDataFrame([(v,) for v in ["QUEEN STREET AND SPADINA AVENUE", "KING STREET", "UNION STATION"]], "location string")
     asked = spark.createDataFrame([(v,) for v in ["Queen and Spadina", "king st", "Mars Base", "", None]], "location string")
     one = {r["location"]: r for r in match.match_locations(asked, known).collect()}
     assert (one["king st"]["match_type"], one["king st"]["score"]) == ("exact", 100.0)
     assert (one["Queen and Spadina"]["score"], one["Queen and Spadina"]["accepted_for_prediction"]) == (85.0, False)
     assert one["Mars Base"]["match_type"] == "none" and one[""]["warning"].startswith("Location is empty")
-    many = {r["location"]: r for r in match.match_locations(asked, known, block_rows=1).collect()}
-    assert one == many
+    nothing = match.match_locations(asked, known.limit(0)).where("location = 'Mars Base'").first()
+    assert nothing["warning"] == messages.NO_KNOWN_LOCATION
+
+
+def test_location_match_against_all_pairs(spark):
+    rng = random.Random(1)
+    words = ["queen", "st", "king", "and", "of", "a", "at", "bay", "union", "main", "stmain", "w"]
+    texts = lambda n: sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(n)})
+    known, asked = texts(60), texts(80)
+    got = match.match_locations(
+        spark.createDataFrame([(v,) for v in asked], "location string"), spark.createDataFrame([(v,) for v in known], "location string")
+    ).collect()
+    plain = dict(spark.createDataFrame([(v,) for v in {*known, *asked}], "location string").select("location", match_text(F.col("location"))).collect())
+
+    def score(one, other):
+        if one == other:
+            return 100.0
+        if one in other or other in one:
+            return max(80.0, 100.0 * min(len(one), len(other)) / max(len(one), len(other)))
+        x, y = set(one.split()), set(other.split())
+        weighty = x - set(match.STOPWORDS)
+        return 85.0 if weighty and weighty <= y else 200.0 * len(x & y) / (len(x) + len(y))
+
+    for row in got:
+        best = max(score(plain[row.location], plain[k]) for k in known)
+        assert row.score == round(best, 1) or abs(row.score - best) < 0.06, row
+        if best:
+            assert abs(score(plain[row.location], plain[row.matched_location]) - best) < 1e-9, row
 
 
 def write(folder, name, content):
