@@ -1480,13 +1480,14 @@ def _risk_calibrated(spark, sf):
 
 @case("two_output_predictions")
 def _two_output(spark, sf):
-    return models.two_output_frame(model_table(spark, sf).where("split = 'test'"), artifact(spark, sf))
+    graded = model_table(spark, sf).where("split IN ('validation', 'test')")
+    return models.two_output_frame(graded, artifact(spark, sf))
 
 
 @case("permutation_importance")
 def _permutation(spark, sf):
     key = ["ts", "mode", "route", "direction", "incident", "location", "min_delay"]
-    return explain.explain(model_table(spark, sf), artifact(spark, sf), key, repeats=2)[0]
+    return explain.explain(model_table(spark, sf), artifact(spark, sf), key)[0]
 
 
 @case("representative_examples")

@@ -31,8 +31,8 @@ from priorline.functions.calendar import MICROS_PER_DAY, micros
 from priorline.operators.prefix import sums_before
 
 BUCKET_MICROS = MICROS_PER_DAY
-EXPANDING = ["v_sum", "v_known", "v_rows"]
-ROLLING = ["w_sum", "w_known", "w_rows", "w_sev30", "w_sev60"]
+EXPANDING = ["v_sum", "v_part", "v_known", "v_rows"]
+ROLLING = ["w_sum", "w_part", "w_known", "w_rows", "w_sev30", "w_sev60"]
 KEY_NAMES = ["mode", "route", "direction", "incident", "location", "hour"]
 
 
@@ -156,10 +156,13 @@ def _key(grouping: Column, values: Sequence[Column], keys: Sequence[str]) -> Col
 def _per_grouping(rows: DataFrame, groupings: Sequence[Grouping], keys: Sequence[str], scale: int):
     """Sums per (grouping, key values, timestamp) in one shuffle."""
     sets = [[F.col("at"), *[F.col(k) for k in g.keys]] for g in groupings]
-    whole = F.round(F.col("y") * scale).cast("bigint")
+    # Whole units and the rest are summed apart: neither comes near the range of a long.
+    whole = F.floor("y").cast("bigint")
+    part = F.round((F.col("y") - F.floor("y")) * scale).cast("bigint")
     sums = rows.groupingSets(sets, "at", *keys).agg(
         F.grouping_id("at", *keys).cast("int").alias("grouping"),
         F.coalesce(F.sum(whole), F.lit(0)).alias("v_sum"),
+        F.coalesce(F.sum(part), F.lit(0)).alias("v_part"),
         F.count("y").alias("v_known"),
         F.count(F.lit(1)).alias("v_rows"),
         *[F.count_if(F.col("y") >= t).alias(f"v_sev{t}") for t in SEVERE_THRESHOLDS],
@@ -211,11 +214,11 @@ def _spread(tuples: DataFrame, groupings: Sequence[Grouping], keys: Sequence[str
 
 def _value(feature: Feature, scale: int) -> Column:
     if feature.kind == "mean":
-        return F.try_divide(F.col("v_sum") / F.lit(float(scale)), F.col("v_known"))
+        return F.try_divide(F.col("v_sum") + F.col("v_part") / F.lit(float(scale)), F.col("v_known"))
     if feature.kind == "count":
         return F.col("v_rows")
     if feature.kind == "rolling_mean":
-        return F.try_divide(F.col("w_sum") / F.lit(float(scale)), F.col("w_known"))
+        return F.try_divide(F.col("w_sum") + F.col("w_part") / F.lit(float(scale)), F.col("w_known"))
     if feature.kind == "rolling_count":
         return F.col("w_rows")
     if feature.kind in ("rate_30", "rate_60"):
@@ -308,7 +311,9 @@ def _ranged(
             F.lit(1).alias("_past"), F.lit(False).alias("_asked"),
         )
         both = both.unionByName(past, allowMissingColumns=True)
-    both = both.withColumn("_at", micros(F.col(roles.ts))).where(F.col("_at").isNotNull())
+    both = both.withColumn("_at", micros(F.col(roles.ts)))
+    undated = both.where(F.col("_at").isNull() & F.col("_asked"))
+    both = both.where(F.col("_at").isNotNull())
     shape = {g.name: g for g in groupings}
     outputs = {}
     for feature in features:
@@ -325,7 +330,11 @@ def _ranged(
         else:
             severe = F.coalesce((F.col("_y") >= int(feature.kind[-2:])).cast("int"), F.lit(0))
             outputs[feature.name] = F.avg(F.when(F.col("_past") == 1, severe)).over(window)
-    return both.withColumns(outputs).where("_asked").select(*columns, *outputs)
+    dated = both.withColumns(outputs).where("_asked").select(*columns, *outputs)
+    # Rows without a time have no history: what the other strategy gives them, too.
+    kinds = {field.name: field.dataType for field in dated.schema}
+    empty = [F.lit(None).cast(kinds[f.name]).alias(f.name) for f in features]
+    return dated.union(undated.select(*columns, *empty))
 
 
 def with_history(
@@ -339,7 +348,8 @@ def with_history(
 ) -> DataFrame:
     """Add prior features to ``rows``, from themselves or from a separate ``history`` table.
 
-    Means and rates are NULL without history, counts are 0. Strategies: ``bucketed`` (default,
+    Means and rates are NULL without history, counts are 0; so they are for rows without a time.
+    Strategies: ``bucketed`` (default,
     no task owns a key) and ``range`` (plain windows); both give the same values.
     """
     used = {f.grouping for f in features}
@@ -348,10 +358,15 @@ def with_history(
     # A horizon nobody reads would only double the events.
     groupings = [g if g.name in rolling else Grouping(g.name, g.keys) for g in groupings]
     if strategy == "range":
-        return _ranged(rows, history, features, groupings, roles)
-    if strategy == "bucketed":
-        return _bucketed(rows, history, features, groupings, roles, bucket_micros)
-    raise ValueError(f"Unknown history strategy: {strategy}")
+        table = _ranged(rows, history, features, groupings, roles)
+    elif strategy == "bucketed":
+        table = _bucketed(rows, history, features, groupings, roles, bucket_micros)
+    else:
+        raise ValueError(f"Unknown history strategy: {strategy}")
+    # Rows without a time have no history either.
+    return table.withColumns(
+        {f.name: F.coalesce(f.name, F.lit(0)) for f in features if f.kind.endswith("count")}
+    )
 
 
 def add_history_features(

@@ -55,3 +55,24 @@ def sums_before(
     ).where(~F.col("_opening"))
     kept = [c for c in df.columns if suffix or c not in values]
     return summed.select(*kept, *[F.col(f"_{v}_sum").alias(f"{v}{suffix}") for v in values])
+
+
+def numbered(df: DataFrame, groups: Sequence[str], mark: Column, ties: Sequence[str], name: str, bits: int = 12) -> DataFrame:
+    """Number the rows of each group from 1 in the order of a hash, without a task that holds a group.
+
+    ``mark`` is an evenly spread long. Rows are numbered inside buckets of its highest ``bits``; a window
+    over the bucket counts (2**bits small rows for each group) gives what lies before a bucket. ``df`` is
+    read twice and must give the same rows both times.
+    """
+    groups = list(groups)
+    cut = df.withColumns({"_mark": mark, "_part": F.shiftright(mark, 64 - bits)})
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_part", *groups, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part", *groups).orderBy("_mark", *ties))
+    return (
+        cut.withColumn("_inside", inside)
+        .join(offsets, ["_part", *groups])
+        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .drop("_part", "_mark", "_inside", "_before")
+    )

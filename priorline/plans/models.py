@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
-    FeatureHasher, Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler,
+    FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
@@ -22,6 +22,7 @@ from priorline.functions.rows import (
 )
 from priorline.operators import metrics
 from priorline.operators.metrics import CALIBRATION_CUTOFFS
+from priorline.operators.quantiles import exact_quantiles
 from priorline.operators.reports import high_delay
 from priorline.sources.durable import durable
 
@@ -44,8 +45,9 @@ class TreeConfig:
     row_share: float = 0.8
     column_share: float = 0.8
     seed: int = 42
-    # Categories with more values than this are hashed: the index of a category lives on the driver.
-    one_hot_limit: int = 1_000
+    # Categories that the caller wants hashed; all others are one-hot encoded, whatever their size. The
+    # index of a one-hot encoded category lives on the driver.
+    hashed: tuple[str, ...] = ()
     hash_slots: int = 1_024
 
     def tree(self) -> dict:
@@ -66,27 +68,30 @@ def training_rows(df: DataFrame, features: Sequence[str], target: str = "min_del
     return df.where(F.col(target).isNotNull())
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """The exact median of each numeric column (the mean of the two middle values); None without values."""
+    if not columns:
+        return {}
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    long = df.select(values.alias("cell")).select("cell.name", "cell.value").where("value IS NOT NULL")
+    found = exact_quantiles(long, ["name"], "value", {"median": 0.5})
+    return dict.fromkeys(columns) | {row["name"]: row["median"] for row in found.collect()}
+
+
 def preprocessing(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[str], config: TreeConfig) -> list:
     """Stages: median for missing numbers, Unknown for missing categories, one-hot (unseen = zeros).
 
     Statistics come from ``df`` only, which must be the training rows. Numeric columns without
     any value carry nothing and are left out.
     """
-    sizes = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in numerics],
-        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in categoricals],
-    ).first()
-    numerics = [c for c in numerics if sizes[f"n_{c}"]]
-    small = [c for c in categoricals if sizes[f"d_{c}"] <= config.one_hot_limit]
-    large = [c for c in categoricals if c not in small]
-    columns = [f"CAST(`{c}` AS DOUBLE) AS `x_{c}`" for c in numerics]
+    medians = exact_medians(df, numerics)
+    numerics = [c for c in numerics if medians[c] is not None]
+    small = [c for c in categoricals if c not in config.hashed]
+    large = [c for c in categoricals if c in config.hashed]
+    columns = [f"COALESCE(CAST(`{c}` AS DOUBLE), {medians[c]!r}D) AS `x_{c}`" for c in numerics]
     columns += [f"COALESCE(`{c}`, '{UNKNOWN}') AS `x_{c}`" for c in categoricals]
     stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
-    inputs = []
-    if numerics:
-        filled = [f"f_{c}" for c in numerics]
-        stages.append(Imputer(strategy="median", inputCols=[f"x_{c}" for c in numerics], outputCols=filled))
-        inputs += filled
+    inputs = [f"x_{c}" for c in numerics]
     if small:
         index, hot = [f"i_{c}" for c in small], [f"h_{c}" for c in small]
         stages.append(StringIndexer(inputCols=[f"x_{c}" for c in small], outputCols=index, handleInvalid="keep"))
@@ -142,13 +147,13 @@ class ModeModels:
         if "mode" not in df.columns:
             raise ValueError("Mode-specific prediction requires column 'mode'.")
         left_over = df.where(F.col("mode").isNotNull() & ~F.col("mode").isin(list(self.models)))
-        unknown = sorted(row["mode"] for row in left_over.select("mode").distinct().limit(20).collect())
+        unknown = left_over.agg(F.sort_array(F.collect_set("mode"))).first()[0]
         if unknown:
             raise ValueError(f"No mode-specific model is available for modes: {unknown}")
-        out = None
+        # Rows without a mode stay, without a prediction.
+        out = df.where(F.col("mode").isNull()).withColumn("prediction", F.lit(None).cast("double"))
         for mode, model in self.models.items():
-            part = predict(model, df.where(F.col("mode") == mode))
-            out = part if out is None else out.unionByName(part)
+            out = out.unionByName(predict(model, df.where(F.col("mode") == mode)))
         return out
 
 

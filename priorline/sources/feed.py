@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from priorline.contract import UNKNOWN
 from priorline.functions.text import base_route, normalize_location, normalize_route, route_sort_keys
+from priorline.sources.files import CSV_DIALECT
 
 # Columns read per feed table; everything is text until it is used.
 FEED_COLUMNS = {
@@ -17,11 +18,6 @@ FEED_COLUMNS = {
     "stop_times": ["trip_id", "stop_id", "stop_sequence"],
     "stops": ["stop_id", "stop_name", "stop_lat", "stop_lon"],
 }
-DIRECTION_LABELS = {
-    "N": "North", "E": "East", "S": "South", "W": "West", "B": "Both / bidirectional", "Unknown": "Unknown",
-}
-
-
 @dataclass(frozen=True)
 class RouteIndex:
     """Route table, (route, stop) table and (route, directions) table."""
@@ -33,7 +29,7 @@ class RouteIndex:
 
 def read_feed_table(spark: SparkSession, directory: str, name: str, suffix: str = ".txt") -> DataFrame:
     """One header CSV of a feed; a byte-order mark before the first header is tolerated."""
-    df = spark.read.option("header", True).csv(f"{directory}/{name}{suffix}")
+    df = spark.read.options(**CSV_DIALECT).csv(f"{directory}/{name}{suffix}")
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     return df.select(
         *[F.trim(c).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in FEED_COLUMNS[name]]

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.contract import CATEGORICAL_FEATURES, CLEANED_SCHEMA
+from priorline.contract import CLEANED_SCHEMA
+from priorline.sources.files import CSV_DIALECT
 
 
 def read_cleaned(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The cleaned table with its fixed schema: routes stay text, whatever they look like."""
     reader = spark.read.schema(CLEANED_SCHEMA)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+    return reader.options(**CSV_DIALECT).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
 def write_cleaned(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by mode."""
-    df.write.mode("overwrite").partitionBy("mode").parquet(path)
+    """Parquet partitioned by mode, each file ordered by time."""
+    df.sortWithinPartitions("mode", "ts").write.mode("overwrite").partitionBy("mode").parquet(path)
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -30,11 +31,6 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
     return df if split is None else df.where(F.col("split") == split)
 
 
-def read_audit_columns(spark: SparkSession, path: str) -> DataFrame:
-    """The five audited columns only."""
-    return spark.read.parquet(path).select(*CATEGORICAL_FEATURES)
-
-
 def strict_json(df: DataFrame) -> DataFrame:
     """NaN and infinities become NULL so that reports are strict JSON."""
     floats = [f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")]
@@ -55,10 +51,6 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt == "json":
         safe.option("ignoreNullFields", False).json(path)
     elif fmt == "csv":
-        safe.option("header", True).csv(path)
+        safe.options(header=True, quote='"', escape='"').csv(path)
     else:
         raise ValueError(f"Unknown report format: {fmt}")
-
-
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)

@@ -147,3 +147,17 @@ def test_modeling_table(spark):
         ("train", 0, None, "1", "1.0"), ("validation", 1, 10.0, "1", "1"), ("validation", 1, 15.0, "1", "1"),
         ("test", 1, 20.0, "1", "1"),
     ]
+
+
+@pytest.mark.parametrize("strategy", ["bucketed", "range"])
+def test_undated_rows_stay(spark, strategy):
+    df = incidents(spark, [("2024-01-01 08:00:00", "1", "Mechanical", "A", 10), ("2024-01-02 08:00:00", "1", "Mechanical", "A", 20)])
+    df = df.union(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    out = add_history_features(df, strategy=strategy).where("ts IS NULL").collect()
+    assert len(out) == 1 and out[0]["prior_route_mean_delay"] is None and out[0]["prior_route_incident_count"] == 0
+
+
+def test_sums_beyond_the_range_of_scaled_longs(spark):
+    df = incidents(spark, [(f"2024-01-0{d} 08:00:00", "1", "Mechanical", "A", 6e12 + d) for d in range(1, 5)])
+    out = by_time(add_history_features(df), "prior_route_mean_delay")
+    assert out[-1][0] == pytest.approx(6e12 + 2)

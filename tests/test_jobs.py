@@ -10,7 +10,7 @@ from checks.compare import compare, database
 from priorline.contract import feature_projection
 from priorline.operators.history import add_history_features
 from priorline.plans import models
-from priorline.plans.explain import deterministic_sample
+from priorline.plans.explain import _permuted, deterministic_sample
 from priorline.plans.modeling import add_time_features
 from priorline.plans.score import score_incidents
 from priorline.sources.durable import durable
@@ -102,3 +102,35 @@ def test_registered_query_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     query, check = CASES[name]
     assert compare(name, query(spark, sf), database(sf), check) == ""
+
+
+def test_rows_without_a_mode_stay(spark, table):
+    models_by_mode = models.fit_mode_models(table.where("split = 'train'"), TINY)
+    rows = table.limit(10).withColumn("mode", F.when(F.col("route") != "1", F.col("mode")))
+    out = models_by_mode.transform(rows).select("mode", "prediction").collect()
+    assert len(out) == rows.count() and all((r.mode is None) == (r.prediction is None) for r in out)
+
+
+def test_medians_are_exact_and_large_categories_one_hot(spark):
+    rows = [(float(k), f"c{k}", "bus", float(k)) for k in range(1002)] + [(None, None, "bus", 1.0)]
+    df = spark.createDataFrame(rows, "hour double, route string, mode string, y double")
+    assert models.exact_medians(df, ["hour"]) == {"hour": 500.5}
+    stages = models.preprocessing(df, ["route", "mode"], ["hour"], TINY)
+    out = models.Pipeline(stages=stages).fit(df).transform(df)
+    vector = out.where("hour = 7").select("features").first()[0]
+    # One number, 1,003 routes with the filled one, one mode.
+    assert vector.size == 1 + 1003 + 1 and vector.numNonzeros() == 3
+    assert out.where("hour IS NULL").select("features").first()[0][0] == 500.5
+
+
+def test_permuted_rows_hold_the_same_values(spark, table):
+    rows = table.select("hour", "route", "min_delay")
+    mixed = _permuted(rows, ["hour", "route"], 2, 7).persist()
+    assert mixed.count() == rows.count() * 4
+    want = sorted(r[0] for r in rows.select("hour").collect())
+    moved = mixed.where("feature = 'hour' AND repeat = 1")
+    assert sorted(r[0] for r in moved.select("hour").collect()) == want
+    kept = sorted(map(tuple, moved.select("route", "min_delay").collect()))
+    assert kept == sorted(map(tuple, rows.select("route", "min_delay").collect()))
+    other = mixed.where("feature = 'hour' AND repeat = 0").exceptAll(moved.withColumn("repeat", F.lit(0)))
+    assert other.count() > 0

@@ -174,7 +174,7 @@ def test_drifting_files_to_cleaned_table(spark, tmp_path):
     assert {r["source_file"] for r in raw.select("source_file").distinct().collect()} == {"a.csv", "b c.csv"}
     (tmp_path / "none").mkdir()
     cleaned = clean_all(spark, {"bus": str(tmp_path / "bus"), "streetcar": str(tmp_path / "none")})
-    got = [(str(r["ts"]), r["route"], r["min_delay"], r["hour"], r["is_holiday"], r["vehicle"]) for r in cleaned.collect()]
+    got = sorted((str(r["ts"]), r["route"], r["min_delay"], r["hour"], r["is_holiday"], r["vehicle"]) for r in cleaned.collect())
     assert got == [("2023-01-05 00:00:00", "7", 12.0, 0, 0, None), ("2024-07-01 08:30:00", "29", 10.0, 8, 1, "123")]
     write_cleaned(cleaned, str(tmp_path / "out"))
     assert read_cleaned(spark, str(tmp_path / "out")).count() == 2
@@ -182,6 +182,13 @@ def test_drifting_files_to_cleaned_table(spark, tmp_path):
         clean_all(spark, {"bus": str(tmp_path / "none")})
 
 
+def test_quotes_line_breaks_and_repeated_headers(spark, tmp_path):
+    write(tmp_path / "a", "q.csv", '\ufeffDate,date,Location,Min Delay,Delay\n2024-01-01,1999-01-01,"KING ""X"", ST",3,99\n2024-01-02,,"two\nlines",4,\n')
+    got = read_incident_files(spark, str(tmp_path / "a"), "bus").orderBy("date").collect()
+    assert [(r.date, r.location, r.min_delay) for r in got] == [("2024-01-01", 'KING "X", ST', "3"), ("2024-01-02", "two\nlines", "4")]
+    assert set(got[0].asDict()) == {"date", "location", "min_delay", "source_file", "source_mode", "source_sheet"}
+
+
 def test_split_and_report_sinks(spark, tmp_path):
     df = spark.createDataFrame([("train", float("nan")), ("test", 1.0)], "split string, v double")
     write_splits(df, str(tmp_path / "s"))
