@@ -6,6 +6,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 # History in both forms of request, one-pass reports, rank metrics, audit and the feed join.
 HEADLINE = [
     "all_history", "point_in_time_lookup", "error_contribution", "cutoff_table", "category_audit",
-    "support_by_group", "validate_route_location", "threshold_counts",
+    "support_by_group", "validate_route_location", "fuzzy_location", "threshold_counts",
 ]
 
 
@@ -28,6 +29,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(2 * int(cores)))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checkpoint-"))
         # The test tables are single small files: smaller splits use all cores.
         .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.sql.files.openCostInBytes", "0")
@@ -37,6 +39,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from checks.cases import CASES
+    from priorline.sources.durable import drop_durable
 
     CASES["rows_by_mode"][0](spark, sf_dir).collect()  # warm up the session
     seconds = {}
@@ -44,6 +47,7 @@ def main() -> None:
         start = time.time()
         CASES[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        drop_durable(spark)
     factor = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(

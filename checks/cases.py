@@ -1508,3 +1508,7 @@ def _scored_incidents(spark, sf):
     return score.score_incidents(
         order_requests(spark, sf), _past_model(spark, sf), artifact(spark, sf), known, history_is_normalized=True
     )
+
+
+# Registers its queries; it uses this module's helpers, so it comes last.
+from checks import files as _files  # noqa: E402,F401

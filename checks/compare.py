@@ -13,6 +13,7 @@ import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
 from checks.cases import CASES
+from priorline.sources.durable import drop_durable
 
 
 def session(cores: str = "8") -> SparkSession:
@@ -93,6 +94,7 @@ def main() -> int:
             note = compare(name, df, con, check) if check else f"rows only: {df.count()}"
         except Exception as error:  # report every query
             note = f"error {type(error).__name__}: {str(error)[:600]}"
+        drop_durable(spark)
         failed = bool(note) and not note.startswith("rows only")
         bad += failed
         print(f"{'BAD ' if failed else 'ok  '} {name} {time.time() - start:.1f}s {note}", flush=True)

@@ -18,17 +18,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
 
 
-def durable(df: DataFrame, partitions_by: list[str] | None = None) -> DataFrame:
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, which ``drop_durable`` removes."""
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
     """Materialize a table that many jobs read, and cut its lineage.
 
     Parquet rather than a checkpointed RDD: later reads prune columns and push filters down.
     ``drop_durable`` removes the tables of this process.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partitions_by) if partitions_by else df.write
-    writer.parquet(path)
-    _written.append(path)
+    path = scratch_folder(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
