@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorline import messages
 from priorline.functions.text import INCIDENT_CATEGORIES, is_route_like, squeeze
 from priorline.operators.quantiles import join_groups
 
@@ -96,31 +97,31 @@ def _reasons(column: Column, value: Column, count: Column, fragment: Column) ->
     long_route, wordy_route = size > 8, F.size(F.split(value, " ")) >= 2
     none_of_them = ~(long_route | wordy_route | location_word | incident_word)
     found = (
-        checks("mode", always, [(~lower.isin("bus", "streetcar"), "unexpected mode value")])
+        checks("mode", always, [(~lower.isin("bus", "streetcar"), messages.MODE_ODD)])
         + checks("direction", always, [
-            ((value != upper) & healthy, "lowercase direction variant should be normalized"),
-            (size > 3, "longer than 3 characters"),
-            (value.rlike("[0-9]"), "contains digits"),
-            (polluted, "contains incident or location word"),
-            (~healthy & (size <= 3) & (value != upper), "lowercase or mixed-case uncommon direction"),
+            ((value != upper) & healthy, messages.DIRECTION_LOWER),
+            (size > 3, messages.DIRECTION_LONG),
+            (value.rlike("[0-9]"), messages.DIRECTION_DIGITS),
+            (polluted, messages.DIRECTION_POLLUTED),
+            (~healthy & (size <= 3) & (value != upper), messages.DIRECTION_UNCOMMON),
         ])
         + checks("route", ~route_like, [
-            (long_route, "long route value"),
-            (wordy_route, "many-word route value"),
-            (location_word, "looks like a location or intersection"),
-            (incident_word, "looks like an incident label"),
-            (none_of_them, "not route-like"),
+            (long_route, messages.ROUTE_LONG),
+            (wordy_route, messages.ROUTE_WORDY),
+            (location_word, messages.ROUTE_LOCATION),
+            (incident_word, messages.ROUTE_INCIDENT),
+            (none_of_them, messages.ROUTE_ODD),
         ])
         + checks("incident", ~curated, [
-            (route_like, "route-like incident value"),
-            (location_word, "location-like incident value"),
-            ((count <= 2) & (size > 2), "extremely rare incident label"),
-            (fragment.isNotNull(), F.concat(F.lit("possible fragmented incident label: "), fragment)),
+            (route_like, messages.INCIDENT_ROUTE),
+            (location_word, messages.INCIDENT_LOCATION),
+            ((count <= 2) & (size > 2), messages.INCIDENT_RARE),
+            (fragment.isNotNull(), messages.fill(messages.INCIDENT_FRAGMENT, fragment=fragment)),
         ])
         + checks("location", always, [
-            (size <= 2, "too short for a useful location"),
-            (route_like, "route-like location value"),
-            (incident_word, "incident-like location value"),
+            (size <= 2, messages.LOCATION_SHORT),
+            (route_like, messages.LOCATION_ROUTE),
+            (incident_word, messages.LOCATION_INCIDENT),
         ])
     )
     return F.array_compact(F.array(*found))

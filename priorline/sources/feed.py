@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priorline import messages
 from priorline.contract import UNKNOWN
 from priorline.functions.text import base_route, normalize_location, normalize_route, route_sort_keys
+from priorline.messages import fill
 from priorline.sources.files import CSV_DIALECT
 
 # Columns read per feed table; everything is text until it is used.
@@ -154,15 +156,9 @@ def resolve_routes(requests: DataFrame, index: RouteIndex) -> DataFrame:
     out = out.join(modes, "_mode_route", "left").join(ways, "_direction_route", "left")
     both = (F.size("directions") >= 2) & ~F.array_contains("directions", "B")
     options = F.when(both, F.array_append("directions", F.lit("B"))).otherwise(F.col("directions"))
-    warning = F.when(
-        F.col("_direction_route").isNull(),
-        F.concat(F.lit("Route "), F.col("normalized_route"), F.lit(" directions were not found in the route index.")),
-    ).when(
-        F.col("_direction_route") != F.col("normalized_route"),
-        F.concat(
-            F.lit("Using base route "), F.col("_direction_route"),
-            F.lit(" direction list for branch route "), F.col("normalized_route"), F.lit("."),
-        ),
+    base, route = F.col("_direction_route"), F.col("normalized_route")
+    warning = F.when(base.isNull(), fill(messages.DIRECTIONS_UNKNOWN, route=route)).when(
+        base != route, fill(messages.DIRECTIONS_OF_BASE, base=base, route=route)
     )
     return out.select(
         *requests.columns, "normalized_route", "route_mode",
@@ -187,25 +183,11 @@ def validate_route_locations(requests: DataFrame, index: RouteIndex) -> DataFram
     out = out.join(hits, ["_list_route", "normalized_location"], "left")
     matched = F.coalesce("_list_route", "normalized_route")
     accepted = F.coalesce("_hit", F.lit(False))
+    base, route, place = F.col("_list_route"), F.col("normalized_route"), F.col("normalized_location")
     warning = (
-        F.when(
-            F.col("_list_route").isNull(),
-            F.concat(F.lit("Route "), F.col("normalized_route"), F.lit(" was not found in the route-stop index.")),
-        )
-        .when(
-            ~accepted,
-            F.concat(
-                F.lit("Location '"), F.col("normalized_location"), F.lit("' is not a stop on route "), matched,
-                F.lit(". Choose a location from the selected route stop list."),
-            ),
-        )
-        .when(
-            F.col("_list_route") != F.col("normalized_route"),
-            F.concat(
-                F.lit("Using base route "), F.col("_list_route"), F.lit(" stop list for branch route "),
-                F.col("normalized_route"), F.lit("."),
-            ),
-        )
+        F.when(base.isNull(), fill(messages.ROUTE_UNKNOWN, route=route))
+        .when(~accepted, fill(messages.NO_SUCH_STOP, location=place, route=matched))
+        .when(base != route, fill(messages.STOPS_OF_BASE, base=base, route=route))
     )
     return out.select(
         *requests.columns,
