@@ -1343,7 +1343,8 @@ def _validate_route_location(spark, sf):
        SELECT request_id, asked_route AS route,
        coalesce((SELECT mode FROM options o WHERE o.route = asked_route), (SELECT mode FROM options o WHERE o.route = regexp_extract(asked_route, '^([0-9]+)[A-Z]+$', 1))) AS route_mode,
        coalesce(array_to_string(list_filter(['N', 'E', 'S', 'W'], lambda x: list_contains(ds, x)), ',') || CASE WHEN len(ds) >= 2 THEN ',B' ELSE '' END, '') AS direction_options,
-       way_route IS NULL OR way_route <> asked_route AS warned
+       CASE WHEN way_route IS NULL THEN 'Route ' || asked_route || ' directions were not found in the route index.'
+         WHEN way_route <> asked_route THEN 'Using base route ' || way_route || ' direction list for branch route ' || asked_route || '.' END AS direction_warning
        FROM resolved LEFT JOIN directions d ON d.route = way_route""",
 )
 def _resolve_routes(spark, sf):
@@ -1351,7 +1352,7 @@ def _resolve_routes(spark, sf):
     out = feed.resolve_routes(route_requests(spark, sf), index)
     return out.select(
         "request_id", "route", "route_mode", F.array_join("direction_options", ",").alias("direction_options"),
-        F.col("direction_warning").isNotNull().alias("warned"),
+        "direction_warning",
     )
 
 
@@ -1387,11 +1388,14 @@ def _option_catalogue(spark, sf):
     "validate_incidents",
     sql.modeled(
         """SELECT request_id, r.mode, r.route, r.direction, r.incident, r.location,
-         CAST((r.direction = 'Unknown')::INT + (r.incident = 'Unknown')::INT + (r.location = 'Unknown')::INT
-           + (r.route NOT IN (SELECT route FROM model WHERE split = 'train'))::INT
-           + (r.direction <> 'Unknown' AND r.direction NOT IN (SELECT direction FROM model WHERE split = 'train'))::INT
-           + (r.incident <> 'Unknown' AND r.incident NOT IN (SELECT incident FROM model WHERE split = 'train'))::INT
-           + (r.location <> 'Unknown' AND r.location NOT IN (SELECT location FROM model WHERE split = 'train'))::INT AS INTEGER) AS warnings
+         array_to_string(list_filter([
+           CASE WHEN r.route <> 'Unknown' AND r.route NOT IN (SELECT route FROM model WHERE split = 'train') THEN 'Route ''' || r.route || ''' was not seen in the known category list.' END,
+           CASE WHEN r.direction = 'Unknown' THEN 'Direction is missing or unsupported and was set to Unknown.' END,
+           CASE WHEN r.direction <> 'Unknown' AND r.direction NOT IN (SELECT direction FROM model WHERE split = 'train') THEN 'Direction ''' || r.direction || ''' was not seen in the known category list.' END,
+           CASE WHEN r.incident = 'Unknown' THEN 'Incident is missing and was set to Unknown.' END,
+           CASE WHEN r.incident <> 'Unknown' AND r.incident NOT IN (SELECT incident FROM model WHERE split = 'train') THEN 'Incident ''' || r.incident || ''' was not seen in the known category list.' END,
+           CASE WHEN r.location = 'Unknown' THEN 'Location is missing and was set to Unknown.' END,
+           CASE WHEN r.location <> 'Unknown' AND r.location NOT IN (SELECT location FROM model WHERE split = 'train') THEN 'Location ''' || r.location || ''' was not seen in the known category list.' END], lambda x: x IS NOT NULL), ' | ') AS warnings
          FROM request r""",
         _ASKED,
     ),
@@ -1399,7 +1403,7 @@ def _option_catalogue(spark, sf):
 def _validate_incidents(spark, sf):
     known = requests.known_categories(modeled_incidents(spark, sf).where("split = 'train'"))
     out = requests.validate_requests(order_requests(spark, sf).drop("ts"), known)
-    return out.withColumn("warnings", F.size("validation_warnings")).drop("validation_warnings")
+    return out.withColumn("warnings", F.array_join("validation_warnings", " | ")).drop("validation_warnings")
 
 
 @case(
