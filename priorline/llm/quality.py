@@ -34,9 +34,9 @@ DIMENSIONS = 1 << 21
 #: A word also counts by its first so many letters.
 BEGINNINGS = (3, 4, 5)
 #: A feature needs so many fitted rows, and a shift of some grade's share by so many standard errors.
-LEAST_ROWS, LEAST_SHIFT = 5, 3.0
+LEAST_ROWS, LEAST_SHIFT = 5, 4.0
 PENALTY = 0.3
-STEPS, RATE = 250, 0.15
+STEPS, RATE = 500, 0.15
 #: Grades count what speaks for a text: 0 poor and toxic, 1 either, 2 neither. Kept: P(grade >= 2)
 #: of at least this.
 GRADES, SELECTED, LEAST_TAIL = 3, 2, 0.65
