@@ -20,8 +20,6 @@ remove.
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +30,19 @@ from pyspark.sql import functions as F
 from priorline.llm.components import connected_components
 from priorline.llm.rows import id_and_text, sized
 from priorline.llm.similarity import (
-    WordHashes, cells_of, joined_labels, meet, mixed, signed, similar_in_cell, single_cells, whole_cells,
+    HASH_BITS, cells_of, joined_labels, meet, mixed, signed, similar_rows, whole_cells, word_scanner,
 )
 from priorline.sources.durable import durable
 
 MIN_WORDS = 5
 THRESHOLD = 0.8
-WORD = re.compile(r"\w+")
 FIRST_KEY = -(2**63)
 #: The rarity table: so many counters in blocks, each stored as a rounded logarithm in one byte.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 #: A token's cell is cut into blocks of about so many lines.
 CELL_LINES = 20_000
+#: Lines of up to so many tokens have a smaller parity map.
+SHORT = 64
 #: Texts handled at a time, by characters.
 CHARS_AT_ONCE = 400_000
 #: Digests that a task remembers so as to index a repeated line once.
@@ -53,25 +52,23 @@ REMEMBERED = 1 << 18
 class LineBatch:
     """The countable lines of some texts as flat arrays: tokens sorted and distinct within a line."""
 
-    def __init__(self, keys: list[int], texts: list[str], hashes: WordHashes, min_words: int):
-        words: list[str] = []
-        sizes, self.keys, self.numbers = [], [], []
-        for key, text in zip(keys, texts):
-            for number, line in enumerate(text.split("\n")):
-                found = WORD.findall(line.lower())
-                if len(found) >= min_words:
-                    words += found
-                    sizes.append(len(found))
-                    self.keys.append(key)
-                    self.numbers.append(number)
-        tokens = hashes.of(words)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((tokens, owner))
-        tokens, owner = tokens[order], owner[order]
-        first = np.ones(len(tokens), dtype=bool)
-        first[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-        self.tokens, self.owner = tokens[first], owner[first]
-        self.sizes = np.bincount(self.owner, minlength=len(sizes))
+    def __init__(self, keys: list[int], texts: list[str], min_words: int):
+        tokens, starts, breaks = word_scanner().scan("\n".join(texts).lower())
+        line = np.searchsorted(breaks, starts)
+        n_lines = np.array([text.count("\n") + 1 for text in texts])
+        counts = np.bincount(line, minlength=n_lines.sum())
+        countable = counts >= min_words
+        text = np.repeat(np.arange(len(texts)), n_lines)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+        self.keys, self.numbers = np.array(keys, dtype=np.int64)[text[countable]], number[countable].astype(np.int32)
+        kept = countable[line]
+        place = (np.cumsum(countable) - 1)[line[kept]].astype(np.uint64)
+        # One number holds a token's line and hash: sorting it groups lines and shows repeated tokens.
+        both = np.sort(place << np.uint64(HASH_BITS) | tokens[kept])
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        self.tokens = both & np.uint64((1 << HASH_BITS) - 1)
+        self.owner = (both >> np.uint64(HASH_BITS)).astype(np.int64)
+        self.sizes = np.bincount(self.owner, minlength=len(self.keys))
         self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
 
     def reduced(self, values: np.ndarray, how=np.add) -> np.ndarray:
@@ -82,9 +79,7 @@ class LineBatch:
         return self.reduced(mixed(self.tokens, 1)), self.reduced(mixed(self.tokens, 2)) + self.sizes.astype(np.uint64)
 
 
-def line_batches(
-    batches: Iterator[pa.RecordBatch], hashes: WordHashes, min_words: int
-) -> Iterator[LineBatch]:
+def line_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[LineBatch]:
     keys, texts, chars = [], [], 0
     for batch in batches:
         for key, text in zip(batch.column("doc_id"), batch.column("text")):
@@ -92,10 +87,10 @@ def line_batches(
             texts.append(text.as_py())
             chars += len(texts[-1])
             if chars >= CHARS_AT_ONCE:
-                yield LineBatch(keys, texts, hashes, min_words)
+                yield LineBatch(keys, texts, min_words)
                 keys, texts, chars = [], [], 0
     if texts:
-        yield LineBatch(keys, texts, hashes, min_words)
+        yield LineBatch(keys, texts, min_words)
 
 
 def fresh(digest: np.ndarray, remembered: np.ndarray) -> np.ndarray:
@@ -111,13 +106,11 @@ def lines_and_counts(rows: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
-        hashes, remembered = WordHashes(), np.zeros(REMEMBERED, dtype=np.uint64)
-        for lines in line_batches(batches, hashes, min_words):
+        remembered = np.zeros(REMEMBERED, dtype=np.uint64)
+        for lines in line_batches(batches, min_words):
             d0, d1 = lines.digests()
             new = fresh(d0, remembered)
-            counts += np.bincount(
-                (lines.tokens[new[lines.owner]] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS
-            ).astype(np.uint32)
+            np.add.at(counts, (lines.tokens[new[lines.owner]] % np.uint64(COUNTERS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(d0)), pa.array(signed(d1)), pa.array(lines.keys, pa.int64()),
@@ -180,23 +173,30 @@ def prefix_index(rows: DataFrame, rarity: np.ndarray, threshold: float, min_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared_table.value
-        hashes, remembered = WordHashes(), np.zeros(REMEMBERED, dtype=np.uint64)
-        for lines in line_batches(batches, hashes, min_words):
+        remembered = np.zeros(REMEMBERED, dtype=np.uint64)
+        for lines in line_batches(batches, min_words):
             d0, _ = lines.digests()
             tokens, owner, sizes = lines.tokens, lines.owner, lines.sizes
             new = fresh(d0, remembered)
             steps = rarity[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
-            # By line, then rarity; ties by the hash, as tokens are sorted already.
-            order = np.argsort(owner.astype(np.int64) << 8 | steps, kind="stable")
+            # By line, then rarity, then hash (its last bits, in which a token's cell is named).
+            ranked = np.sort(
+                owner.astype(np.uint64) << np.uint64(HASH_BITS) | steps.astype(np.uint64) << np.uint64(HASH_BITS - 8)
+                | tokens & np.uint64((1 << (HASH_BITS - 8)) - 1)
+            )
             place = np.arange(len(tokens)) - lines.starts[owner]
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
             bit = np.uint64(1) << (tokens & np.uint64(63))
             high = (tokens >> np.uint64(6)) & np.uint64(1) == 1
+            # Short lines have a map of 64 bits: both halves of that of 128 folded.
+            high &= (sizes > SHORT)[owner]
             m0 = lines.reduced(np.where(high, np.uint64(0), bit), np.bitwise_xor)
             m1 = lines.reduced(np.where(high, bit, np.uint64(0)), np.bitwise_xor)
-            ranked, steps = tokens[order], steps[order]
+            steps = (ranked >> np.uint64(HASH_BITS - 8)) & np.uint64(255)
+            ranked &= np.uint64((1 << (HASH_BITS - 8)) - 1)
             chosen = np.flatnonzero((place < prefix[owner]) & new[owner] & (steps > 8))
-            blocks = np.maximum(1, np.ceil(2.0 ** (steps[chosen] / 8 - 1) / CELL_LINES)).astype(np.int64)
+            lines_there = 2.0 ** (steps[chosen].astype(float) / 8 - 1)
+            blocks = np.maximum(1, np.ceil(lines_there / CELL_LINES)).astype(np.int64)
             at = np.repeat(chosen, blocks)
             other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             who, blocks = owner[at], np.repeat(blocks, blocks)
@@ -220,16 +220,20 @@ def candidate_links(index: DataFrame, threshold: float) -> DataFrame:
         for rows in whole_cells(batches):
             columns = {name: rows.column(name).to_numpy() for name in rows.column_names}
             cells, d0 = columns["cell"], columns["d0"]
-            again = np.zeros(len(cells), dtype=bool)
-            again[1:] = (cells[1:] == cells[:-1]) & (d0[1:] == d0[:-1])
-            cells, d0, packed = cells[~again], d0[~again], columns["packed"][~again]
-            m0, m1 = (columns[m][~again].view(np.uint64) for m in ("m0", "m1"))
+            order = np.lexsort((d0, columns["packed"], cells))
+            cells, d0 = cells[order], d0[order]
+            order = order[np.append(True, (cells[1:] != cells[:-1]) | (d0[1:] != d0[:-1]))]
+            cells, d0, packed = columns["cell"][order], columns["d0"][order], columns["packed"][order]
+            m0, m1 = (columns[m][order].view(np.uint64) for m in ("m0", "m1"))
             size, place, side = packed >> 32, (packed >> 2) & ((1 << 30) - 1), packed & 3
 
             def plausible(u: np.ndarray, v: np.ndarray) -> np.ndarray:
                 need = np.ceil(threshold / (1 + threshold) * (size[u] + size[v]) - 1e-9)
                 around = np.minimum(place[u], place[v]) + 1 + np.minimum(size[u] - place[u], size[v] - place[v]) - 1
-                differ = np.bitwise_count(m0[u] ^ m0[v]).astype(np.int64) + np.bitwise_count(m1[u] ^ m1[v])
+                low, high = m0[u] ^ m0[v], m1[u] ^ m1[v]
+                fold = (size[u] <= SHORT) | (size[v] <= SHORT)
+                low, high = np.where(fold, low ^ high, low), np.where(fold, np.uint64(0), high)
+                differ = np.bitwise_count(low).astype(np.int64) + np.bitwise_count(high)
                 apart = (side[u] == 2) | (side[u] != side[v])
                 return apart & (around >= need) & ((size[u] + size[v] - differ) // 2 >= need)
 
@@ -242,14 +246,13 @@ def candidate_links(index: DataFrame, threshold: float) -> DataFrame:
 
     spark = index.sparkSession
     dealt = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
-    return dealt.sortWithinPartitions("cell", "packed", "d0").mapInArrow(run, "a long, b long").distinct()
+    return dealt.sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def token_sets(rows: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """(d0, d1, size, elements) of the lines at wanted places (key, lines: their numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for key, text, numbers in zip(batch.column("doc_id"), batch.column("text"), batch.column("lines")):
                 wanted_numbers = set(numbers.as_py())
@@ -257,7 +260,7 @@ def token_sets(rows: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                 text = "\n".join(
                     line if k in wanted_numbers else "" for k, line in enumerate(text.as_py().split("\n"))
                 )
-                lines = LineBatch([key.as_py()], [text], hashes, min_words)
+                lines = LineBatch([key.as_py()], [text], min_words)
                 d0, d1 = lines.digests()
                 ends = lines.starts + lines.sizes
                 elements = [lines.tokens[a:b].tobytes() for a, b in zip(lines.starts, ends)]
@@ -278,15 +281,16 @@ def matched_digests(cells: DataFrame, threshold: float) -> DataFrame:
     """(d0, d1) of the digests that have an earlier similar one. id: struct of both; rank: place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in single_cells(whole_cells(batches)):
-            rank = [(r["doc_id"], r["line"]) for r in cell.column("rank").to_pylist()]
-            ids = cell.column("id").to_pylist()
-            later = [ids[k] for k, near in similar_in_cell(cell, threshold) if any(rank[j] < rank[k] for j in near)]
+        for rows in whole_cells(batches):
+            rows = rows.combine_chunks().flatten().flatten()
+            doc_id, line, d0, d1 = (rows.column(c).to_numpy() for c in ("rank.doc_id", "rank.line", "id.d0", "id.d1"))
+            rank = np.empty(len(d0), dtype=np.int64)
+            order = np.lexsort((line, doc_id))
+            rank[order] = np.arange(len(d0))
+            later = [i[rank[j] < rank[i]] for i, j in similar_rows(rows, threshold)]
             if later:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i["d0"] for i in later], pa.int64()), pa.array([i["d1"] for i in later], pa.int64())],
-                    names=["d0", "d1"],
-                )
+                found = np.unique(np.concatenate(later))
+                yield pa.RecordBatch.from_arrays([pa.array(d0[found]), pa.array(d1[found])], names=["d0", "d1"])
 
     spark = cells.sparkSession
     dealt = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
@@ -296,7 +300,7 @@ def matched_digests(cells: DataFrame, threshold: float) -> DataFrame:
 def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, line, removed) of every countable line; key: the document id, null as the smallest long.
 
-    rows: (doc_id, text without nulls).
+    rows: (doc_id, text without nulls). A place has a row for each row of docs that has it.
     """
     counted = durable(lines_and_counts(rows, min_words))
     lines = counted.where("block IS NULL").select("d0", "d1", F.struct("doc_id", "line").alias("place"))
@@ -311,7 +315,7 @@ def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
     wanted = durable(
         candidates.groupBy(F.col("place.doc_id").alias("key")).agg(F.collect_list("place.line").alias("lines"))
     )
-    sets = durable(token_sets(rows, sized(wanted), min_words).dropDuplicates(["d0", "d1"]))
+    sets = durable(token_sets(rows, sized(wanted), min_words))
     found = candidates.select(F.col("id").alias("of"), "place", "component").join(
         sets.select(F.struct("d0", "d1").alias("id"), "size", "elements"), F.col("of") == F.col("id")
     )
@@ -322,7 +326,7 @@ def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
     kept = firsts.join(later, (F.col("d0") == F.col("m0")) & (F.col("d1") == F.col("m1")), "left_anti").select(
         F.col("place.doc_id").alias("k"), F.col("place.line").alias("l")
     )
-    places = lines.select(F.col("place.doc_id").alias("key"), F.col("place.line").alias("line")).distinct()
+    places = lines.select(F.col("place.doc_id").alias("key"), F.col("place.line").alias("line"))
     return places.join(kept, (F.col("key") == F.col("k")) & (F.col("line") == F.col("l")), "left").select(
         "key", "line", F.col("k").isNull().alias("removed")
     )
@@ -331,10 +335,9 @@ def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
 def per_document(verdicts: DataFrame) -> DataFrame:
     """(key, n_countable, n_removed, removed: sorted line numbers) of documents with countable lines."""
     return verdicts.groupBy("key").agg(
-        F.count("*").alias("n_countable"),
-        F.sum(F.col("removed").cast("long")).alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("gone"),
-    )
+        F.size(F.collect_set("line")).alias("n_countable"),
+        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("gone"),
+    ).withColumn("n_removed", F.size("gone").cast("long"))
 
 
 def dedup_lines(
@@ -352,7 +355,7 @@ def dedup_lines(
         .cast("long").alias("n_lines")
     )
     return counts.join(found, F.coalesce("doc_id", F.lit(FIRST_KEY)) == F.col("key"), "left").select(
-        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"),
     )
 

@@ -15,6 +15,7 @@ a cell, not its pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm.components import connected_components
-from priorline.llm.lines import WORD
 from priorline.llm.rows import id_and_text, sized
 from priorline.llm.similarity import (
-    WordHashes, cells_of, joined_labels, meet, mixed, signed, similar_in_cell, single_cells, whole_cells,
+    WordHashes, cells_of, joined_labels, meet, mixed, signed, similar_rows, whole_cells,
 )
 from priorline.sources.durable import durable
 
+WORD = re.compile(r"\w+")
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 8
 TARGET_RECALL = 0.999
@@ -59,7 +60,7 @@ def shingles(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
         digests.append(xxhash.xxh3_128_digest(" ".join(found).encode("utf-8", "surrogatepass")))
     sizes = np.array(sizes, dtype=np.int64)
     tokens = hashes.of(words)
-    padded = np.concatenate([tokens, np.zeros(WORDS, dtype=np.uint64)])
+    padded = np.append(tokens, np.zeros(WORDS, dtype=np.uint64))
     starts = np.cumsum(sizes) - sizes
     counts = np.where(sizes == 0, 0, np.maximum(sizes - WORDS + 1, 1))
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -233,13 +234,13 @@ def verified(cells: DataFrame, threshold: float) -> DataFrame:
     """(id, n, root): in each cell, a text's number of similar texts and a text that it is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in single_cells(whole_cells(batches)):
-            ids = cell.column("id").to_numpy()
+        for rows in whole_cells(batches):
+            rows = rows.combine_chunks()
+            ids = rows.column("id").to_numpy()
             found, counts = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
-            for k, near in similar_in_cell(cell, threshold):
-                counts[k] = len(near)
-                if len(near):
-                    found = joined_labels(found, np.full(len(near), k), near)
+            for i, j in similar_rows(rows, threshold):
+                counts += np.bincount(i, minlength=len(ids))
+                found = joined_labels(found, i, j)
             linked = np.flatnonzero(counts)
             if len(linked):
                 yield pa.RecordBatch.from_arrays(

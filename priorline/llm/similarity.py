@@ -8,6 +8,7 @@ members, and each pair of blocks is a cell of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorline.llm.rows import sized
+from priorline.sources.durable import durable
+
+
+#: Bits of a word's hash; the rest of a 64-bit number can hold a place, so one plain sort orders both.
+HASH_BITS = 44
+
 
 class WordHashes(dict):
-    """The 64-bit hash of each word, remembered for up to ``limit`` words."""
+    """The hash of each word, remembered for up to ``limit`` words."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
@@ -46,6 +54,50 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+class WordScanner:
+    """Words of a text and their hashes, computed over the whole array of code points at once.
+
+    A word is a longest run of letters, digits and underscores. Its hash is a polynomial in the code
+    points' random values: the difference of two prefix sums, moved to the word's start.
+    """
+
+    FACTOR = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        points = map(chr, range(0x110000))
+        self.is_word = np.fromiter((c.isalnum() or c == "_" for c in points), dtype=bool, count=0x110000)
+        self.values = mixed(np.arange(0x110000, dtype=np.uint64), 50)
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def power_tables(self, length: int) -> None:
+        if len(self.powers) < length:
+            size = max(length, 1 << 19)
+            inverse = pow(self.FACTOR, -1, 2**64)
+            for name, factor in (("powers", self.FACTOR), ("inverses", inverse)):
+                table = np.full(size, factor, dtype=np.uint64)
+                table[0] = 1
+                setattr(self, name, np.multiply.accumulate(table))
+
+    def scan(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the words, their starts, places of the line breaks)."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.power_tables(len(points) + 1)
+        inside = np.zeros(len(points) + 2, dtype=bool)
+        inside[1:-1] = self.is_word[points]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum(self.values[points] * self.powers[: len(points)], out=sums[1:])
+        hashes = mixed((sums[ends] - sums[starts]) * self.inverses[starts], 51) >> np.uint64(64 - HASH_BITS)
+        return hashes, starts, np.flatnonzero(points == 10)
+
+
+@lru_cache(maxsize=1)
+def word_scanner() -> WordScanner:
+    """One for each worker process."""
+    return WordScanner()
+
+
 def whole_cells(batches: Iterator[pa.RecordBatch], column: str = "cell") -> Iterator[pa.Table]:
     """Tables that hold whole cells, from batches sorted by cell; cells with one row are left out."""
     held: list[pa.RecordBatch] = []
@@ -112,20 +164,6 @@ def meet(cells: np.ndarray, plausible, ordered_sizes: np.ndarray | None = None,
     return labels
 
 
-def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set in turn: how many elements it shares with each of the sets."""
-    sizes = np.array([len(s) for s in sets])
-    values = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    owners = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    for k, own in enumerate(sets):
-        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-        counts = last - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        yield k, np.bincount(owners[at.astype(np.int64)], minlength=len(sets))
-
-
 #: Elements of the sets in one block of a component; a cell holds at most two blocks (or two sets).
 BLOCK_ELEMENTS = 100_000
 
@@ -140,12 +178,12 @@ def cells_of(members: DataFrame, sets: DataFrame, block_elements: int = BLOCK_EL
     totals = members.groupBy("component").agg(F.sum("size").alias("total")).select(
         F.col("component").alias("of"), F.ceil(F.col("total") / block_elements).cast("int").alias("blocks")
     )
-    placed = (
+    placed = durable(
         members.join(totals, F.col("component") == F.col("of"))
         .withColumn("block", F.expr("CAST(pmod(xxhash64(id), blocks) AS int)"))
         .select(F.col("id").alias("member"), "component", "blocks", "block")
     )
-    full = placed.join(sets, F.col("member") == F.col("id"))
+    full = sets.join(sized(placed), F.col("member") == F.col("id"))
     met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.select(
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
@@ -154,25 +192,61 @@ def cells_of(members: DataFrame, sets: DataFrame, block_elements: int = BLOCK_EL
     )
 
 
-def similar_in_cell(cell: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a cell in turn: the rows that it is compared with here and is similar to."""
-    sets = [np.frombuffer(value.as_py(), dtype=np.uint64) for value in cell.column("elements")]
+#: Pairs of equal elements expanded at a time.
+PAIRS_AT_ONCE = 4_000_000
+
+
+def shared_counts(
+    rows: np.ndarray, others: np.ndarray, cell_starts: np.ndarray, cell_sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, how often the pair occurs) of pairs of rows of one cell; rows come in order."""
+    first, width = rows[0], int(cell_sizes[rows[0] : rows[-1] + 1].max())
+    key = (rows - first) * width + (others - cell_starts[rows])
+    # Within a large cell most pairs occur, and counting them in place is cheaper than sorting.
+    if (rows[-1] - first + 1) * width <= 4 * len(key):
+        dense = np.bincount(key)
+        pair = np.flatnonzero(dense)
+        common = dense[pair]
+    else:
+        pair, common = np.unique(key, return_counts=True)
+    i = pair // width + first
+    return i, pair % width + cell_starts[i], common
+
+
+def similar_rows(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): rows of whole cells that are compared in their cell and similar, each pair both ways.
+
+    Rows are taken in order, so many at a time that memory is bounded, whatever the size of a cell.
+    """
+    sets = [np.frombuffer(value.as_py(), dtype=np.uint64) for value in rows.column("elements")]
     sizes = np.array([len(s) for s in sets])
-    side = cell.column("side").to_numpy()
-    for k, common in overlaps(sets):
+    side, cells = (rows.column(c).to_numpy() for c in ("side", "cell"))
+    cell = np.cumsum(np.append(0, cells[1:] != cells[:-1])).astype(np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # An element within its cell; a chance collision of the mixing would need equal 64-bit sums.
+    values = mixed(np.concatenate(sets) + mixed(cell[owner], 30), 31)
+    order = np.argsort(values, kind="stable")
+    sorted_values, holders = values[order], owner[order]
+    new = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
+    run = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(values))))
+    first = np.empty(len(values), dtype=np.int64)
+    count = np.empty(len(values), dtype=np.int64)
+    first[order] = new[run]
+    count[order] = np.diff(np.append(new, len(values)))[run]
+    starts = np.cumsum(sizes) - sizes
+    heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    lengths = np.diff(np.append(heads, len(cell)))
+    cell_starts, cell_sizes = np.repeat(heads, lengths), np.repeat(lengths, lengths)
+    work = np.add.reduceat(count, starts) if len(sets) else count
+    done = 0
+    for end in np.flatnonzero(np.append(np.diff(np.cumsum(work) // PAIRS_AT_ONCE) > 0, True)).tolist():
+        part = slice(starts[done], starts[end] + sizes[end])
+        counts = count[part]
+        at = np.repeat(first[part] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        i, j, common = shared_counts(np.repeat(owner[part], counts), holders[at], cell_starts, cell_sizes)
         # An integer comparison: a ratio of exactly the threshold counts.
-        near = common * 1_000_000 >= round(threshold * 1_000_000) * (sizes[k] + sizes - common)
-        near &= (common > 0) & ((side[k] < 0) | (side != side[k]))
-        near[k] = False
-        yield k, np.flatnonzero(near)
-
-
-def single_cells(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
-    """One table for each cell."""
-    for table in tables:
-        cells = table.column("cell").to_numpy()
-        ends = np.flatnonzero(np.append(cells[1:] != cells[:-1], True)) + 1
-        start = 0
-        for end in ends.tolist():
-            yield table.slice(start, end - start).combine_chunks()
-            start = end
+        near = common * 1_000_000 >= round(threshold * 1_000_000) * (sizes[i] + sizes[j] - common)
+        near &= (i != j) & ((side[i] < 0) | (side[i] != side[j]))
+        if near.any():
+            yield i[near], j[near]
+        done = end + 1
