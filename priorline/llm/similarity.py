@@ -165,7 +165,7 @@ def meet(cells: np.ndarray, plausible, ordered_sizes: np.ndarray | None = None,
 
 
 #: Elements of the sets in one block of a component; a cell holds at most two blocks (or two sets).
-BLOCK_ELEMENTS = 100_000
+BLOCK_ELEMENTS = 400_000
 
 
 def cells_of(members: DataFrame, sets: DataFrame, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
