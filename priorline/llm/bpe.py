@@ -37,6 +37,10 @@ REMEMBERED_BYTES, REMEMBERED_PIECES = 48, 300_000
 #: Bytes read into the buffer beyond the lookahead, and ids hashed at a time.
 BLOCK = 4096
 IDS_AT_ONCE = 8192
+#: Up to so many bytes a plain list of pairs is faster than a heap.
+SHORT_PIECE = 64
+#: A merge as one number that sorts by rank: rank << 24 | merged id.
+MERGED, NO_MERGE = (1 << 24) - 1, 1 << 62
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,6 +62,7 @@ class Vocabulary:
         self.added = added
         self.byte_ids = {b[0]: i for i, b in token_bytes.items() if len(b) == 1}
         self.merges = {(left, right): (rank, merged) for rank, (left, right, merged) in enumerate(merges)}
+        self.codes = {pair: rank << 24 | merged for pair, (rank, merged) in self.merges.items()}
         self.lookahead = sufficient_lookahead(merges, token_bytes)
         self.all_bytes = token_bytes | {i: content.encode() for content, i in added.items()}
 
@@ -103,16 +108,18 @@ def merged_ids(data: bytes, vocabulary: Vocabulary) -> list[int]:
     if len(ids) < 2:
         return ids
     merges = vocabulary.merges
-    if len(ids) <= 32:
-        while len(ids) > 1:
-            best, at = None, -1
-            for k, pair in enumerate(zip(ids, ids[1:])):
-                found = merges.get(pair)
-                if found is not None and (best is None or found < best):
-                    best, at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+    if len(ids) <= SHORT_PIECE:
+        # Ranks of neighbouring pairs; a merge changes those at its two sides only.
+        get, none = vocabulary.codes.get, NO_MERGE
+        codes = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while codes and (best := min(codes)) != none:
+            k = codes.index(best)
+            ids[k : k + 2] = [best & MERGED]
+            del codes[k]
+            if k < len(codes):
+                codes[k] = get((ids[k], ids[k + 1]), none)
+            if k:
+                codes[k - 1] = get((ids[k - 1], ids[k]), none)
         return ids
     n = len(ids)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
