@@ -52,7 +52,7 @@ def hashed(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=60_000)
 def piece_features(piece: str) -> tuple[int, ...]:
     """A word itself and its beginnings, so that inflected words share weights; a run of marks."""
     if piece[0].isalpha():

@@ -27,7 +27,7 @@ HASH_BITS = 44
 class WordHashes(dict):
     """The hash of each word, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -193,7 +193,7 @@ def cells_of(members: DataFrame, sets: DataFrame, block_elements: int = BLOCK_EL
 
 
 #: Pairs of equal elements expanded at a time.
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 500_000
 
 
 def shared_counts(
