@@ -3,9 +3,9 @@
 A text becomes a sequence of template tokens: lower-cased words, and typed placeholders for numbers,
 names (a capitalised word inside a sentence) and units (after a number). Windows of template tokens of
 all documents are hash-joined with those of the benchmark, so a question matches although its numbers
-and names were replaced. A document leaks an item if it holds enough of the item's windows and the
-slots are consistent: within the matched windows each value of the item stands for one value of the
-document and the reverse.
+and names were replaced. Matches are grouped by alignment into occurrences. A document leaks an item if an
+occurrence holds enough of the item's windows and its slots are consistent: within the matched windows
+each value of the item stands for one value of the document.
 
 The windows of a document are made and joined in one stage; only matches are shuffled. The benchmark's
 windows are broadcast if a count shows that they are few, and joined by their hash otherwise.
@@ -13,7 +13,7 @@ windows are broadcast if a count shows that they are few, and joined by their ha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorline.llm.rows import id_and_text, sized
@@ -69,14 +69,37 @@ def window_hashes(templates_column: str, window: int) -> Column:
     return F.when(count > 0, hashed).otherwise(F.array().cast("array<long>"))
 
 
-def windows(rows: DataFrame, key: str, place: str, window: int) -> DataFrame:
-    """(key, place, window hash) for each window of rows (key, text)."""
+def windows(rows: DataFrame, keys: tuple[str, ...], place: str, window: int) -> DataFrame:
+    """(keys, place, window hash) for each window of rows (keys, text)."""
     return (
-        rows.select(key, templates(raw_tokens(F.col("text"))).alias("templates"))
-        .select(key, F.posexplode(window_hashes("templates", window)).alias(place, "window"))
+        rows.select(*keys, templates(raw_tokens(F.col("text"))).alias("templates"))
+        .select(*keys, F.posexplode(window_hashes("templates", window)).alias(place, "window"))
     )
 
 
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(item, item_place, window hash) for each window of items (item, text).
+
+    What stands before an item in a document can make its first word a name or a unit there, so the
+    first window has a second hash for that.
+    """
+    tokens = raw_tokens(F.col("text"))
+    first = F.element_at("tokens", 1)
+    unit = F.array_contains(F.array(*[F.lit(u) for u in UNITS]), first)
+    slot = F.when(F.col("capital"), f"{OPEN}name").when(unit, f"{OPEN}unit")
+    began = (
+        items.select("item", tokens.alias("tokens"), F.col("text").rlike(r"^[^\p{L}\p{M}\p{Nd}]*\p{Lu}").alias("capital"))
+        .where(F.size("tokens") >= window)
+        .select("item", slot.alias("slot"), F.slice(templates(F.col("tokens")), 2, window - 1).alias("rest"))
+        .where("slot IS NOT NULL")
+        .select(
+            "item", F.lit(0).alias("item_place"),
+            F.xxhash64(F.concat(F.array(F.xxhash64("slot")), F.col("rest"))).alias("window"),
+        )
+    )
+    return windows(items, ("item",), "item_place", window).unionByName(began)
+
+
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, text) of the items that have an id and a text, each once."""
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
@@ -84,22 +107,71 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def covered_items(rows: DataFrame, items: DataFrame, window: int, least_covered: float) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, matches) of documents that hold enough of an item.
+#: A text under an id, and the digest of an item's text.
+PAIR = ("doc_id", "text_key", "item")
 
-    matches: (item_place, doc_place) of each matched window of the item, at its first place.
-    """
-    known = durable(windows(items, "item_id", "item_place", window))
-    sizes = known.groupBy(F.col("item_id").alias("sized_item")).agg(F.count("*").alias("n_windows"))
-    found = windows(rows, "doc_id", "doc_place", window).withColumnRenamed("window", "seen")
+
+def aligned_runs(rows: DataFrame, known: DataFrame, window: int) -> DataFrame:
+    """(pair, shift, places): the item's windows that a text holds, each ``shift`` places further on."""
+    keys = ("doc_id", "text_key")
+    found = windows(rows, keys, "doc_place", window).withColumnRenamed("window", "seen")
     hits = found.join(sized(known), F.col("seen") == F.col("window"))
-    matched = hits.groupBy("doc_id", "item_id", "item_place").agg(F.min("doc_place").alias("doc_place"))
+    return hits.groupBy(*PAIR, (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(
+        F.collect_set("item_place").alias("places")
+    )
+
+
+def covered_pairs(runs: DataFrame, sizes: DataFrame, least_covered: float) -> DataFrame:
+    """(pair, n_windows) of the texts that hold enough of an item's windows at all, wherever they stand."""
+    held = runs.select(*PAIR, F.explode("places").alias("place")).distinct().groupBy(*PAIR).agg(F.count("*").alias("held"))
     return (
-        matched.groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("n_matched"), F.collect_list(F.struct("item_place", "doc_place")).alias("matches"))
-        .join(sizes, F.col("item_id") == F.col("sized_item"))
-        .where(F.col("n_matched") >= least_covered * F.col("n_windows"))
-        .drop("sized_item")
+        held.join(sizes, F.col("item") == F.col("sized_item"))
+        .where(F.col("held") >= least_covered * F.col("n_windows"))
+        .select(*PAIR, "n_windows")
+    )
+
+
+def occurrences(runs: DataFrame, covered: DataFrame, least_covered: float) -> DataFrame:
+    """(pair, n_windows, matches): where a text may hold an item; enough of it each time.
+
+    matches: (item_place, doc_place), an item's place at most once. An occurrence is one run; or runs
+    one after another, where a text has more or fewer words than the item in between; or the first
+    place of each window, where parts of the item stand apart or in another order.
+    """
+    wanted = covered.select(*[F.col(c).alias(f"c_{c}") for c in PAIR], "n_windows")
+    same = [F.col(c) == F.col(f"c_{c}") for c in PAIR]
+    of_pairs = runs.join(wanted, same).select(*PAIR, "n_windows", "shift", "places")
+    match = F.struct("item_place", "doc_place")
+    single = of_pairs.select(
+        *PAIR, "n_windows",
+        F.transform(
+            "places", lambda p: F.struct(p.alias("item_place"), (p + F.col("shift")).alias("doc_place"))
+        ).alias("matches"),
+    )
+    hits = of_pairs.select(
+        *PAIR, "n_windows", "shift", F.size("places").alias("support"), F.explode("places").alias("item_place")
+    ).withColumn("doc_place", F.col("item_place") + F.col("shift"))
+    firsts = (
+        hits.groupBy(*PAIR, "n_windows", "item_place").agg(F.min("doc_place").alias("doc_place"))
+        .groupBy(*PAIR, "n_windows").agg(F.collect_list(match).alias("matches"))
+    )
+    # Of several windows of the item at one place of the text, that of the longest run counts.
+    best = hits.groupBy(*PAIR, "n_windows", "doc_place").agg(
+        F.max(F.struct("support", (-F.abs("shift")).alias("near"), "item_place", "shift")).alias("best")
+    ).select(*PAIR, "n_windows", "doc_place", "best.item_place", "best.shift")
+    in_text = Window.partitionBy(*PAIR).orderBy("doc_place")
+    begins = (
+        F.lag("item_place").over(in_text).isNull()
+        | (F.col("item_place") <= F.lag("item_place").over(in_text))
+        | (F.abs(F.col("shift") - F.lag("shift").over(in_text)) > F.col("n_windows"))
+    )
+    chained = (
+        best.withColumn("begins", begins.cast("int"))
+        .withColumn("chain", F.sum("begins").over(in_text))
+        .groupBy(*PAIR, "n_windows", "chain").agg(F.collect_list(match).alias("matches")).drop("chain")
+    )
+    return single.unionByName(chained).unionByName(firsts).where(
+        F.size("matches") >= least_covered * F.col("n_windows")
     )
 
 
@@ -125,27 +197,37 @@ def leaks(
     """(doc_id, item_id, n_matched, n_windows, n_slots) for each document and item that it leaks.
 
     Null and empty texts, null ids and items shorter than a window leak nothing. Of rows with one id
-    each is looked at; the windows of all of them count together. Repeated rows give one line.
+    each text is looked at by itself. A document and an item have one line: that of the occurrence
+    with the most windows.
     """
-    rows = id_and_text(docs).where("doc_id IS NOT NULL")
-    items = benchmark_items(benchmark)
-    covered = durable(covered_items(rows, items, window, least_covered))
-    doc_ids = durable(covered.select(F.col("doc_id").alias("leaking")).distinct())
-    doc_tokens = rows.join(sized(doc_ids), F.col("doc_id") == F.col("leaking")).select(
-        "leaking", raw_tokens(F.col("text")).alias("doc_tokens")
-    )
-    item_tokens = items.select(F.col("item_id").alias("known"), raw_tokens(F.col("text")).alias("item_tokens"))
+    rows = id_and_text(docs).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    items = benchmark_items(benchmark).select("item_id", F.xxhash64("text").alias("item"), "text")
+    texts = items.select("item", "text").distinct()
+    known = durable(item_windows(texts, window))
+    sizes = known.groupBy(F.col("item").alias("sized_item")).agg(F.countDistinct("item_place").alias("n_windows"))
+    runs = durable(aligned_runs(rows, known, window))
+    covered = durable(covered_pairs(runs, sizes, least_covered))
+    found = durable(occurrences(runs, covered, least_covered))
+    holding = durable(found.select(F.col("doc_id").alias("leaking"), F.col("text_key").alias("leaking_text")).distinct())
+    doc_tokens = rows.join(
+        sized(holding), (F.col("doc_id") == F.col("leaking")) & (F.col("text_key") == F.col("leaking_text"))
+    ).select("leaking", "leaking_text", raw_tokens(F.col("text")).alias("doc_tokens"))
+    item_tokens = texts.select(F.col("item").alias("known"), raw_tokens(F.col("text")).alias("item_tokens"))
     checked = (
-        covered.join(doc_tokens, F.col("doc_id") == F.col("leaking"))
-        .join(item_tokens, F.col("item_id") == F.col("known"))
-        .select("doc_id", "item_id", "n_matched", "n_windows", slot_pairs(window).alias("slots"))
+        found.join(doc_tokens, (F.col("doc_id") == F.col("leaking")) & (F.col("text_key") == F.col("leaking_text")))
+        .join(item_tokens, F.col("item") == F.col("known"))
+        .select("doc_id", "item", F.size("matches").alias("n_matched"), "n_windows", slot_pairs(window).alias("slots"))
     )
-    consistent = (F.size("slots") == F.size(F.array_distinct(F.col("slots.item")))) & (
-        F.size("slots") == F.size(F.array_distinct(F.col("slots.doc")))
+    # A value of the item stands for one value of the text; two of them may stand for the same.
+    consistent = F.size("slots") == F.size(F.array_distinct(F.col("slots.item")))
+    most = (
+        checked.where(consistent).groupBy("doc_id", "item")
+        .agg(F.max(F.struct("n_matched", "n_windows", F.size("slots").alias("n_slots"))).alias("most"))
     )
-    return checked.where(consistent).select(
-        "doc_id", "item_id", "n_matched", "n_windows", F.size("slots").alias("n_slots")
-    ).distinct()
+    ids = items.select("item_id", F.col("item").alias("known"))
+    return most.join(ids, F.col("item") == F.col("known")).groupBy("doc_id", "item_id").agg(
+        F.max("most").alias("most")
+    ).select("doc_id", "item_id", "most.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -82,3 +82,27 @@ def test_against_brute_force(frame):
 @pytest.mark.parametrize("rows", [[], [(1, "x y")]])
 def test_empty_tables(frame, rows):
     assert leaks(frame(rows), frame([], "item_id long, text string")).count() == 0
+
+
+def test_verbatim_copies_are_found(frame):
+    items = [
+        (1, "A shop sells 3 red apples for 5 dollars and 4 red apples for 6 dollars. How much do all of them cost?"),
+        (2, "Tom earns 12 dollars an hour for babysitting. Yesterday he worked for 3 hours. How much did Tom earn?"),
+        (3, "Carl counts seven small boats"),
+    ]
+    variant = items[0][1].replace("3", "8").replace("5", "8")
+    docs = [
+        (1, items[0][1]), (2, f"{variant} {items[0][1]} {variant}"), (3, f"Last year Tom earns 9 dollars an hour for babysitting. {items[1][1]}"),
+        # Two values of the item may become one; the name begins inside a sentence here.
+        (4, variant), (5, f"today {items[2][1]} again"),
+        # An added word, and a variant before.
+        (6, f"{variant} And {items[0][1].replace('and', 'and also')}"),
+        # Different texts under one id: neither holds enough.
+        (7, items[1][1][:37]), (7, items[1][1][50:80]), (8, "A shop sells 3 red apples for 5 dollars and nothing else at all."),
+        # Another number, used consistently.
+        (9, items[1][1].replace("12", "15") + " x"), (9, None),
+    ]
+    found = {(r.doc_id, r.item_id): r for r in leaks(frame(docs), frame(items, "item_id long, text string")).collect()}
+    assert sorted(found) == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 3), (6, 1), (9, 2)]
+    assert found[2, 1].n_matched == found[2, 1].n_windows == found[1, 1].n_matched == 19
+    assert found[3, 2].n_matched == found[3, 2].n_windows
