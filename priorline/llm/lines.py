@@ -284,9 +284,11 @@ def matched_digests(cells: DataFrame, threshold: float) -> DataFrame:
         for rows in whole_cells(batches):
             rows = rows.combine_chunks().flatten().flatten()
             doc_id, line, d0, d1 = (rows.column(c).to_numpy() for c in ("rank.doc_id", "rank.line", "id.d0", "id.d1"))
+            # Equal places (of rows under one id) have one rank: none of them is later.
             rank = np.empty(len(d0), dtype=np.int64)
             order = np.lexsort((line, doc_id))
-            rank[order] = np.arange(len(d0))
+            differs = (np.diff(doc_id[order]) != 0) | (np.diff(line[order]) != 0)
+            rank[order] = np.append(0, np.cumsum(differs))
             later = [i[rank[j] < rank[i]] for i, j in similar_rows(rows, threshold)]
             if later:
                 found = np.unique(np.concatenate(later))
@@ -316,8 +318,10 @@ def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
         candidates.groupBy(F.col("place.doc_id").alias("key")).agg(F.collect_list("place.line").alias("lines"))
     )
     sets = durable(token_sets(rows, sized(wanted), min_words))
-    found = candidates.select(F.col("id").alias("of"), "place", "component").join(
-        sets.select(F.struct("d0", "d1").alias("id"), "size", "elements"), F.col("of") == F.col("id")
+    # Rows under one id give a digest more than one set.
+    single = sets.dropDuplicates(["d0", "d1"])
+    found = candidates.select(F.col("id.d0").alias("i0"), F.col("id.d1").alias("i1"), "id", "place", "component").join(
+        single, (F.col("i0") == F.col("d0")) & (F.col("i1") == F.col("d1"))
     )
     cells = cells_of(
         found.select("id", "component", "size"), found.select("id", F.col("place").alias("rank"), "elements")
@@ -325,7 +329,7 @@ def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
     later = matched_digests(cells, threshold).select(F.col("d0").alias("m0"), F.col("d1").alias("m1"))
     kept = firsts.join(later, (F.col("d0") == F.col("m0")) & (F.col("d1") == F.col("m1")), "left_anti").select(
         F.col("place.doc_id").alias("k"), F.col("place.line").alias("l")
-    )
+    ).distinct()
     places = lines.select(F.col("place.doc_id").alias("key"), F.col("place.line").alias("line"))
     return places.join(kept, (F.col("key") == F.col("k")) & (F.col("line") == F.col("l")), "left").select(
         "key", "line", F.col("k").isNull().alias("removed")

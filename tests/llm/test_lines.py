@@ -84,6 +84,30 @@ def test_odd_rows(frame, odd_rows):
     assert got(dedup_lines(frame(same))) == {(k, 0) for k in range(200)}
 
 
+def test_rows_with_one_place_keep_their_lines(frame):
+    """Repeated rows, and null ids: only a line at an earlier place removes one."""
+    line, near = "one two three four five six seven eight nine", "one two three four five six seven eight ten"
+    assert got(dedup_lines(frame([(1, line), (1, line), (2, near)]))) == {(2, 0)}
+    assert got(dedup_lines(frame([(None, line), (None, line), (2, near)]))) == {(2, 0)}
+    assert got(dedup_lines(frame([(None, line), (None, near), (2, near)]))) == {(2, 0)}
+    rows = corpus(5, 30)
+    rows = [(None if k < 12 else k, text) for k, text in rows] + rows[10:20] + rows[12:14]
+    removed = dedup_lines(frame(rows).repartition(3))
+    docs = {}
+    for key, text in rows:
+        docs.setdefault(-1 if key is None else key, []).append(text.split("\n"))
+    # What has the first place of its words, at a place that no earlier similar line has, stays.
+    words = lambda x: frozenset(re.findall(r"\w+", x.lower()))
+    places = sorted({(k, n, words(x)) for k, texts in docs.items() for text in texts for n, x in enumerate(text) if len(re.findall(r"\w+", x)) >= 5}, key=lambda p: p[:2])
+    similar = lambda a, b: len(a & b) * 5 >= 4 * len(a | b)
+    firsts = {}
+    for k, n, w in places:
+        firsts.setdefault(w, (k, n))
+    stay = {place for w, place in firsts.items() if not any(similar(w, v) for v, other in firsts.items() if other < place)}
+    want = {(k, n) for k, n, _ in places} - stay
+    assert {(-1 if k is None else k, n) for k, n in got(removed)} == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, k) for k in range(1001, 1100)]
