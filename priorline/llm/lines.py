@@ -364,14 +364,49 @@ def dedup_lines(
     )
 
 
+def own_short_lines(rows: DataFrame, emptied: DataFrame) -> DataFrame:
+    """(own): keys of emptied documents (key, gone) with a line left that no earlier document has.
+
+    rows: (doc_id, text without nulls). Lines are compared as they are; blank ones do not count.
+    """
+    keyed = rows.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("key"), "text")
+
+    def lines_of(texts: DataFrame) -> DataFrame:
+        split = texts.select("key", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+        return split.where(F.col("words").rlike(r"\S")).select("key", "line", F.xxhash64("words").alias("digest"))
+
+    chosen = emptied.select(F.col("key").alias("emptied"))
+    removed = emptied.select(F.col("key").alias("k"), F.explode("gone").alias("l"))
+    left = durable(
+        lines_of(keyed.join(sized(durable(chosen)), F.col("key") == F.col("emptied")))
+        .join(removed, (F.col("key") == F.col("k")) & (F.col("line") == F.col("l")), "left_anti")
+        .select("key", "digest").distinct()
+    )
+    wanted = durable(left.select(F.col("digest").alias("wanted")).distinct())
+    first = (
+        lines_of(keyed).join(sized(wanted), F.col("digest") == F.col("wanted"))
+        .groupBy("wanted").agg(F.min("key").alias("first"))
+    )
+    return (
+        left.join(sized(durable(first)), F.col("digest") == F.col("wanted"))
+        .where(F.col("first") == F.col("key")).select(F.col("key").alias("own")).distinct()
+    )
+
+
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the removed lines, all columns kept; n_chars, where there is one, is counted anew.
 
-    A document all of whose countable lines went has nothing of its own left and goes too. Others,
-    also those with a null or an empty text, stay.
+    A document all of whose countable lines went goes too, unless it still has a line of its own: a
+    shorter one that no earlier document has. Others, also those with a null or an empty text, stay.
     """
-    found = per_document(line_verdicts(id_and_text(docs), threshold, min_words)).where("n_removed > 0").select(
-        F.struct(F.col("key"), F.col("gone"), (F.col("n_countable") == F.col("n_removed")).alias("all")).alias("line_dedup")
+    rows = id_and_text(docs)
+    found = durable(per_document(line_verdicts(rows, threshold, min_words)).where("n_removed > 0"))
+    emptied = found.where("n_countable = n_removed").select("key", "gone")
+    own = durable(own_short_lines(rows, emptied))
+    found = found.join(own, F.col("key") == F.col("own"), "left").select(
+        F.struct(
+            F.col("key"), F.col("gone"), ((F.col("n_countable") == F.col("n_removed")) & F.col("own").isNull()).alias("all")
+        ).alias("line_dedup")
     )
     # The two added columns are structs of their own, dropped at the end: no name of docs is in the way.
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

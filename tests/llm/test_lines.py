@@ -77,6 +77,14 @@ def test_stage(frame):
     assert without_repeated_lines(docs).columns == docs.columns
 
 
+def test_stage_keeps_own_short_lines(frame):
+    """Under a shared banner line, only a document whose short lines all stand in earlier ones goes."""
+    banner = "the quick brown fox jumps over"
+    texts = [f"{banner}\nmilk", f"{banner}\nmilk\n\nflour and eggs", f"{banner}\n \nmilk", f"{banner}\nflour and eggs\nmilk", f"sugar\n{banner}"]
+    kept = {r.doc_id: r.text for r in without_repeated_lines(frame(list(enumerate(texts)))).collect()}
+    assert kept == {0: texts[0], 1: "milk\n\nflour and eggs", 4: "sugar"}
+
+
 def test_odd_rows(frame, odd_rows):
     assert got(dedup_lines(frame(odd_rows))) == set()
     assert dedup_lines(frame([])).count() == 0
