@@ -5,10 +5,11 @@ A text is split at a pattern's matches; the lengths of the pieces and matches, s
 are the places. Only matches are shuffled, never texts.
 
 *Disclosure.* Words near a mention may give its entity away although they are no personal data by
-form. Over the whole corpus, counted in different texts, n(e,t) is how often term t stands near entity
-e and n(t) how many texts hold t at all. The pointwise mutual information
-log2(n(e,t) * N / (n(e) * n(t))) and the posterior n(e,t) / n(t) say how strongly the term reveals the
-entity. Terms over both thresholds are generalised, those over the higher posterior are removed.
+form. Over the whole corpus, counted in different texts, n(e,t) is how many texts that mention entity e
+hold term t, of the terms that stand near e in some, and n(t) how many texts hold t at all. The
+pointwise mutual information log2(n(e,t) * N / (n(e) * n(t))) and the posterior n(e,t) / n(t) say how
+strongly the term reveals the entity. Terms over both thresholds are generalised, those over the higher posterior are removed,
+wherever they stand in a text that mentions the entity.
 """
 
 from __future__ import annotations
@@ -155,8 +156,8 @@ def revealing_terms(rows: DataFrame, near: DataFrame, spans: DataFrame) -> DataF
     """(kind, value, term, verdict, bits, posterior) of the terms that reveal an entity."""
     together = (
         near.select("kind", "value", "term", "digest").distinct()
-        .groupBy("kind", "value", "term").agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= LEAST_TOGETHER)
+        .groupBy("kind", "value", "term").agg(F.count("*").alias("n_near"))
+        .where(F.col("n_near") >= LEAST_TOGETHER)
     )
     together = durable(together)
     wanted = durable(together.select(F.col("term").alias("wanted")).distinct())
@@ -173,30 +174,103 @@ def revealing_terms(rows: DataFrame, near: DataFrame, spans: DataFrame) -> DataF
         .groupBy(F.col("kind").alias("k"), F.col("value").alias("v")).agg(F.count("*").alias("n_entity"))
     )
     n_texts = rows.select(F.xxhash64("text").alias("digest")).distinct().agg(F.count("*").alias("n_texts"))
-    posterior = F.col("n_both") / F.col("n_term")
-    bits = F.log2(posterior * F.col("n_texts") / F.col("n_entity"))
-    return (
+    # What cannot reach the thresholds goes before n_both is counted: it is at most n_term and n_entity.
+    # n_near may be more than n_term, where a mention cuts a run of letters.
+    counted = (
         together.join(n_term, F.col("term") == F.col("wanted"))
         .join(n_entity, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")))
         .join(F.broadcast(n_texts))  # one row
-        .withColumn("posterior", posterior).withColumn("bits", bits)
-        .where((F.col("posterior") >= LEAST_POSTERIOR) & (F.col("bits") >= LEAST_BITS))
+        .select("kind", "value", "term", "n_near", "n_term", "n_entity", "n_texts")
+    )
+    most = F.greatest("n_near", F.least("n_term", "n_entity"))
+    candidates = durable(over_thresholds(counted.withColumn("n_both", most)).drop("n_both"))
+    return over_thresholds(with_n_both(rows, spans, candidates)).select(
+        "kind", "value", "term", "bits", "posterior",
+        F.when(F.col("posterior") >= REMOVED_POSTERIOR, "removed").otherwise("generalised").alias("verdict"),
+    )
+
+
+def over_thresholds(counts: DataFrame) -> DataFrame:
+    """The rows that reach both thresholds, with their posterior and bits."""
+    posterior = F.col("n_both") / F.col("n_term")
+    bits = F.log2(posterior * F.col("n_texts") / F.col("n_entity"))
+    return counts.withColumn("posterior", posterior).withColumn("bits", bits).where(
+        (F.col("posterior") >= LEAST_POSTERIOR) & (F.col("bits") >= LEAST_BITS)
+    )
+
+
+def with_n_both(rows: DataFrame, spans: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates (kind, value, term, counts) with the number of texts that hold both, near or far."""
+    entity = ("kind", "value")
+    plain = candidates.select("kind", "value", "term", "n_near", "n_term", "n_entity", "n_texts")
+    pairs = durable(spans.select("digest", *entity).distinct().join(plain.select(*entity, "term"), list(entity)))
+    per_text = durable(pairs.groupBy(F.col("digest").alias("g")).agg(F.collect_set("term").alias("terms")))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    held = (
+        rows.select(F.xxhash64("text").alias("digest"), "text").join(sized(per_text), F.col("digest") == F.col("g"))
+        .select("g", F.explode(F.array_intersect(words, F.col("terms"))).alias("held")).distinct()
+    )
+    n_both = (
+        pairs.join(held, (F.col("digest") == F.col("g")) & (F.col("term") == F.col("held")))
+        .groupBy(*entity, "term").agg(F.count("*").alias("n_whole"))
+    )
+    return plain.join(n_both, [*entity, "term"], "left").withColumn("n_both", F.greatest("n_near", "n_whole"))
+
+
+def term_spans(rows: DataFrame, spans: DataFrame, revealing: DataFrame) -> DataFrame:
+    """(doc_id, digest, start, end, verdict) of each place of a term in a text that mentions its entity.
+
+    revealing: (k, v, t, verdict). Only matches are shuffled: a text is split at its terms.
+    """
+    of_texts = (
+        spans.select("digest", "kind", "value").distinct()
+        .join(revealing, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")))
+        .groupBy(F.col("digest").alias("g"), "t").agg(F.max("verdict").alias("verdict"))
+    )
+    wanted = durable(
+        of_texts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("t", "verdict"))).alias("verdicts"))
+    )
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
+    forms = F.filter(words, lambda w: F.map_contains_key(F.col("verdicts"), F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})"))
+    pieces = (
+        rows.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+        .join(sized(wanted), F.col("digest") == F.col("g"))
+        .select("doc_id", "digest", "text", "verdicts", forms.alias("forms")).where(F.size("forms") > 0)
+        .select("doc_id", "digest", "text", "verdicts", pattern.alias("pattern"))
         .select(
-            "kind", "value", "term", "bits", "posterior",
-            F.when(F.col("posterior") >= REMOVED_POSTERIOR, "removed").otherwise("generalised").alias("verdict"),
+            "doc_id", "digest", "verdicts", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"),
+            F.split("text", F.col("pattern"), -1).alias("pieces"),
         )
     )
+    found = F.transform(
+        "found",
+        lambda w, k: F.struct(
+            k.alias("place"), F.length(w).alias("length"), F.length(F.element_at("pieces", k + 1)).alias("before"),
+            F.element_at("verdicts", F.lower(w)).alias("verdict"),
+        ),
+    )
+    placed = pieces.select("doc_id", "digest", F.explode(found).alias("span")).select("doc_id", "digest", "span.*")
+    so_far = Window.partitionBy("doc_id", "digest").orderBy("place")
+    end = F.sum(F.col("before") + F.col("length")).over(so_far)
+    return placed.dropDuplicates(["doc_id", "digest", "place"]).withColumn("end", end).select(
+        "doc_id", "digest", (F.col("end") - F.col("length")).alias("start"), "end", "verdict"
+    )
 
 
 def all_spans(rows: DataFrame) -> DataFrame:
-    """(doc_id, digest, kind, start, end) of entities and of revealing terms near them."""
+    """(doc_id, digest, kind, start, end) of entities and of their revealing terms in the same text."""
     spans = durable(entity_spans(rows))
     near = durable(near_terms(spans))
-    revealing = revealing_terms(rows, near, spans).select(
+    revealing = durable(revealing_terms(rows, near, spans).select(
         F.col("kind").alias("k"), F.col("value").alias("v"), F.col("term").alias("t"), "verdict"
-    )
+    ))
     same = (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")) & (F.col("term") == F.col("t"))
-    found = near.join(revealing, same).groupBy("doc_id", "digest", "start", "end").agg(F.max("verdict").alias("kind"))
+    # Beside a mention, a word may be part of a longer run of letters that the mention cuts.
+    beside = near.join(revealing, same).select("doc_id", "digest", "start", "end", "verdict")
+    found = beside.unionByName(term_spans(rows, spans, revealing)).groupBy("doc_id", "digest", "start", "end").agg(
+        F.max("verdict").alias("kind")
+    )
     base = spans.select("doc_id", "digest", "kind", "start", "end")
     # A term inside a pattern span needs no treatment of its own.
     around = base.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("start").alias("s"), F.col("end").alias("e"))

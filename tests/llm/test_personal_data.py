@@ -77,6 +77,24 @@ def test_revealing_terms(frame):
     assert clean[5] == rows[5][1]
 
 
+def test_revealing_terms_far_from_the_mention(frame):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(60)]
+    rows = [(k, " ".join(rng.choices(words, k=20))) for k in range(400)]
+    for k in range(0, 400, 40):
+        beside = "Zorblatt Quuxly" if k < 120 else "Zorblatt"
+        # Quuxly stands beside three mentions and far from the others; İ is longer in lower case.
+        rows[k] = (k, f"zorblatt Zorblatts İo {rows[k][1]} {beside} no {k} boss@corp.example.com {rows[k + 1][1]} Quuxly ZORBLATT.")
+    found = {r.doc_id: r for r in find_personal_data(frame(rows)).collect()}
+    for k in range(0, 400, 40):
+        text = rows[k][1]
+        want = {f"removed:{m.start()}:{m.end()}" for m in re.finditer(r"(?i)\b(zorblatt|quuxly)\b", text)}
+        assert {s for s in found[k].spans.split(",") if re.match("removed", s)} >= want and len(want) > 3
+        assert found[k].n_email == 1
+    clean = {r.doc_id: r.text for r in sanitised(frame(rows)).collect()}
+    assert not any(re.search(r"(?i)\b(zorblatt|quuxly)\b", text) for text in clean.values())
+
+
 def test_odd_rows(frame, odd_rows):
     rows = [*odd_rows, (None, "me@here.org"), (3, "you@there.org"), (3, "you@there.org")]
     got = find_personal_data(frame([(*r, 1) for r in rows], "doc_id long, text string, spans int")).collect()
