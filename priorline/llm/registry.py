@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm.bpe import round_trip
 from priorline.llm.decontamination import leaks
+from priorline.llm.fill_middle import FILL_SQL, fill_in_middle_digests
 from priorline.llm.fingerprints import edit_fingerprints
 from priorline.llm.html_text import extract_main_text
 from priorline.llm.lines import dedup_lines
@@ -63,11 +64,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_url_filter, op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier,
         op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data, op10_html_extraction,
+        op12_fill_in_middle,
     )
 }
-SQL: dict[str, str] = {"op1_url_filter": JUDGE_SQL}
+SQL: dict[str, str] = {"op1_url_filter": JUDGE_SQL, "op12_fill_in_middle": FILL_SQL}
