@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm.bpe import round_trip
+from priorline.llm.conversation_trie import prefix_nodes
 from priorline.llm.decontamination import leaks
 from priorline.llm.fill_middle import FILL_SQL, fill_in_middle_digests
 from priorline.llm.fingerprints import edit_fingerprints
@@ -68,12 +69,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_url_filter, op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier,
         op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data, op10_html_extraction,
-        op12_fill_in_middle,
+        op12_fill_in_middle, op13_conversation_trie,
     )
 }
 SQL: dict[str, str] = {"op1_url_filter": JUDGE_SQL, "op12_fill_in_middle": FILL_SQL}
