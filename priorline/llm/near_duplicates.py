@@ -273,7 +273,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     )
     components = durable(connected_components(candidate_links(representatives, threshold)))
     sets = durable(shingle_sets(rows, components.select(F.col("node").alias("wanted"))))
-    members = components.join(sets.select("id", "size"), F.col("node") == F.col("id")).select("id", "component", "size")
+    members = components.join(sets.select("id", "size"), F.col("node") == F.col("id")).select("id", "component", "size", F.lit(False).alias("core"))
     found = durable(verified(cells_of(members, sets.select("id", "rank", "elements")), threshold))
     links = found.groupBy(F.col("id").alias("linked")).agg(F.sum("n").alias("n_links"))
     classes = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

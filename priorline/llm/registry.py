@@ -18,6 +18,7 @@ from priorline.llm.near_duplicates import near_duplicate_classes
 from priorline.llm.personal_data import find_personal_data
 from priorline.llm.quality import select_documents
 from priorline.llm.secrets import scan_secrets
+from priorline.llm.super_minhash import near_duplicates
 from priorline.llm.url_filter import JUDGE_SQL, judge_urls
 
 
@@ -65,6 +66,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, sf_dir, "documents"))
 
@@ -78,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_url_filter, op2_document_fingerprints, op3_bpe_round_trip, op4_jaccard_join, op5_quality_classifier,
         op6_line_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_personal_data, op10_html_extraction,
-        op12_fill_in_middle, op13_conversation_trie,
+        op11_super_minhash, op12_fill_in_middle, op13_conversation_trie,
     )
 }
 SQL: dict[str, str] = {"op1_url_filter": JUDGE_SQL, "op12_fill_in_middle": FILL_SQL}

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,23 +99,53 @@ def word_scanner() -> WordScanner:
     return WordScanner()
 
 
-def whole_cells(batches: Iterator[pa.RecordBatch], column: str = "cell") -> Iterator[pa.Table]:
-    """Tables that hold whole cells, from batches sorted by cell; cells with one row are left out."""
+#: Bytes of rows that are worked on together, about; a larger cell is still taken whole.
+BYTES_AT_ONCE = 4_000_000
+
+
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """About how many bytes each row takes."""
+    sizes = np.full(batch.num_rows, 8 * batch.num_columns, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_binary(column.type):
+            sizes += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return sizes
+
+
+def whole_cells(
+    batches: Iterator[pa.RecordBatch], column: str = "cell", at_once: int = BYTES_AT_ONCE
+) -> Iterator[pa.Table]:
+    """Tables that hold whole cells, from batches sorted by cell; cells with one row are left out.
+
+    A table takes cells until they have ``at_once`` bytes, so its size follows the cells and not the
+    batches, which are cut by their number of rows.
+    """
     held: list[pa.RecordBatch] = []
+    weight = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         cells = batch.column(column).to_numpy(zero_copy_only=False)
-        changes = np.flatnonzero(cells[1:] != cells[:-1])
-        if held and held[-1].column(column)[-1].as_py() != cells[0]:
-            yield from shared(pa.Table.from_batches(held), column)
-            held = []
-        if len(changes):
-            last = int(changes[-1]) + 1
-            yield from shared(pa.Table.from_batches([*held, batch.slice(0, last)]), column)
-            held = [batch.slice(last)]
-        else:
-            held.append(batch)
+        before = np.append(0, np.cumsum(row_bytes(batch)))
+        starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+        if held and held[-1].column(column)[-1].as_py() == cells[0]:
+            starts = starts[1:]  # its first cell goes on
+        at = 0
+        while len(starts):
+            # As many whole cells as fit, or one.
+            fit = int(np.searchsorted(before[starts] - before[at] + weight, at_once, side="right"))
+            if fit == len(starts) and before[-1] - before[at] + weight <= at_once:
+                break
+            stop = int(starts[max(fit - 1, 0)])
+            if not held and stop == at:
+                if len(starts) == 1:
+                    break
+                stop = int(starts[1])
+            yield from shared(pa.Table.from_batches([*held, batch.slice(at, stop - at)]), column)
+            held, weight, at = [], 0, stop
+            starts = starts[starts >= at]
+        held.append(batch.slice(at))
+        weight += int(before[-1] - before[at])
     if held:
         yield from shared(pa.Table.from_batches(held), column)
 
@@ -171,20 +202,34 @@ BLOCK_ELEMENTS = 400_000
 def cells_of(members: DataFrame, sets: DataFrame, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """Rows (cell, side, id, rank, elements), in which each pair of a component's members meets once.
 
-    members: (id, component, size), sets: (id, rank, elements as the bytes of sorted 64-bit numbers).
+    members: (id, component, size, core), sets: (id, rank, elements as the bytes of sorted 64-bit numbers).
     A component is cut into blocks by a hash of the id, as many as its total size needs; a cell is a
-    pair of blocks. side: -1 where a block meets itself, else which of the two a row belongs to.
+    pair of blocks. Members of the core need not meet each other: they have blocks of their own, which
+    meet those of the others, so a set is copied as often as the rest of its component needs, not the
+    whole of it. Components of core members alone have no cell, small ones a single one.
+    side: -1 where a block meets itself, else which of the two a row belongs to.
     """
-    totals = members.groupBy("component").agg(F.sum("size").alias("total")).select(
-        F.col("component").alias("of"), F.ceil(F.col("total") / block_elements).cast("int").alias("blocks")
+    size_of = {kind: F.sum(F.when(F.col("core") == kind, F.col("size")).otherwise(0)) for kind in (False, True)}
+    whole = F.col("rest") + F.col("cores") <= block_elements
+    totals = (
+        members.groupBy("component").agg(size_of[False].alias("rest"), size_of[True].alias("cores"))
+        .where("rest > 0").select(
+            F.col("component").alias("of"), whole.alias("whole"),
+            F.when(whole, 1).otherwise(F.ceil(F.col("rest") / block_elements)).cast("int").alias("rests"),
+            F.when(whole, 0).otherwise(F.ceil(F.col("cores") / block_elements)).cast("int").alias("cores"),
+        )
     )
+    in_rest = ~F.col("core") | F.col("whole")
     placed = durable(
-        members.join(totals, F.col("component") == F.col("of"))
-        .withColumn("block", F.expr("CAST(pmod(xxhash64(id), blocks) AS int)"))
-        .select(F.col("id").alias("member"), "component", "blocks", "block")
+        members.join(totals, F.col("component") == F.col("of")).select(
+            F.col("id").alias("member"), "component",
+            F.when(in_rest, F.expr("CAST(pmod(xxhash64(id), rests) AS int)"))
+            .otherwise(F.col("rests") + F.expr("CAST(pmod(xxhash64(id), greatest(cores, 1)) AS int)")).alias("block"),
+            F.when(in_rest, F.col("rests") + F.col("cores")).otherwise(F.col("rests")).alias("others"),
+        )
     )
     full = sets.join(sized(placed), F.col("member") == F.col("id"))
-    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     return met.select(
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
         F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
@@ -192,6 +237,29 @@ def cells_of(members: DataFrame, sets: DataFrame, block_elements: int = BLOCK_EL
     )
 
 
+def near_hub(rows: DataFrame, threshold: float, kept: str) -> DataFrame:
+    """The columns ``kept`` (as a schema) of rows, and whether their ``elements`` are similar to ``hub_elements``."""
+    names = [field.split()[0] for field in kept.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for own, hub in zip(batch.column("elements"), batch.column("hub_elements")):
+                a, b = (np.frombuffer(x.as_py(), dtype=np.uint64) for x in (own, hub))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(enough(common, len(a) + len(b), threshold))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(name) for name in names], pa.array(near, pa.bool_())], names=[*names, "near"]
+            )
+
+    return rows.select(*names, "elements", "hub_elements").mapInArrow(run, f"{kept}, near boolean")
+
+
+def enough(common, both, threshold: float):
+    """Whether sets of ``both`` elements together, ``common`` of them shared, reach the threshold; exact at a tie."""
+    return common * 1_000_000 >= round(threshold * 1_000_000) * (both - common)
+
+
 #: Pairs of equal elements expanded at a time.
 PAIRS_AT_ONCE = 500_000
 
@@ -244,8 +312,7 @@ def similar_rows(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray,
         counts = count[part]
         at = np.repeat(first[part] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         i, j, common = shared_counts(np.repeat(owner[part], counts), holders[at], cell_starts, cell_sizes)
-        # An integer comparison: a ratio of exactly the threshold counts.
-        near = common * 1_000_000 >= round(threshold * 1_000_000) * (sizes[i] + sizes[j] - common)
+        near = enough(common, sizes[i] + sizes[j], threshold)
         near &= (i != j) & ((side[i] < 0) | (side[i] != side[j]))
         if near.any():
             yield i[near], j[near]
