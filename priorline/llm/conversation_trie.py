@@ -505,3 +505,51 @@ def prefix_nodes(conversations: DataFrame, segment: int = SEGMENT, chunk: int =
         (F.coalesce("x", F.lit(0)) - more * F.col("before")).alias("saved_tokens"),
         F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
     )
+
+
+TRIE_SQL = """
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+    ) AS pos, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS item, length(coalesce(text, '')) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    -- crc32: each byte is added and then shifted out bit by bit, which -1 stands for.
+    SELECT conv_id, conv_id - conv_id % 100 AS block, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(
+            string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+        ))),
+        lambda sum, step: CASE
+            WHEN step >= 0 THEN xor(sum, step) WHEN sum % 2 = 1 THEN xor(sum >> 1, 3988292384) ELSE sum >> 1
+        END
+    ), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT c.conv_id, 0 AS part, pos, item, chars FROM convs AS c JOIN turns AS t ON t.conv_id = c.block AND pos <= h
+    UNION ALL
+    SELECT c.conv_id, 1, pos, item, chars FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND pos > h
+), placed AS (
+    SELECT conv_id, chars, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth,
+        list(item) OVER (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS path
+    FROM rebuilt
+), paths AS (
+    SELECT conv_id, depth, chars, sha256(array_to_string(path, '')) AS node FROM placed
+    UNION ALL
+    SELECT conv_id, 0, 0, '' FROM convs
+), steps AS (
+    SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+        depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM paths
+), nodes AS (
+    SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+        any_value(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+    FROM steps GROUP BY node
+), counted AS (
+    SELECT n.*, (SELECT count(*) FROM nodes AS c WHERE c.parent = n.node) AS n_children FROM nodes AS n
+), under AS (
+    -- A node lies below every prefix of its smallest member, down to itself.
+    SELECT s.node, count(*) FILTER (c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.chars)::BIGINT AS saved_tokens
+    FROM counted AS c JOIN steps AS s ON s.conv_id = c.conv_id AND s.depth <= c.depth GROUP BY s.node
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, u.n_leaves, u.saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted AS c JOIN under AS u USING (node) LEFT JOIN nodes AS p ON p.node = c.parent
+"""

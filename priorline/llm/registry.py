@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm.bpe import round_trip
-from priorline.llm.conversation_trie import prefix_nodes
+from priorline.llm.conversation_trie import TRIE_SQL, prefix_nodes
 from priorline.llm.decontamination import leaks
 from priorline.llm.fill_middle import FILL_SQL, fill_in_middle_digests
 from priorline.llm.fingerprints import edit_fingerprints
@@ -86,4 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_super_minhash, op12_fill_in_middle, op13_conversation_trie,
     )
 }
-SQL: dict[str, str] = {"op1_url_filter": JUDGE_SQL, "op12_fill_in_middle": FILL_SQL}
+SQL: dict[str, str] = {
+    "op1_url_filter": JUDGE_SQL, "op12_fill_in_middle": FILL_SQL, "op13_conversation_trie": TRIE_SQL,
+}
