@@ -2,9 +2,10 @@
 
 Alternating large-star and small-star steps: each node's neighbours are linked to the smallest of
 them, until every edge points to the smallest node of its component. A step is one aggregation (the
-minimum for each node, combined before the shuffle) and one join, which adaptive execution splits at
-a hub; the neighbours of a node are never gathered. Edges are written to the shared folder after
-each round, so lineage stays short and a lost executor costs one round at most.
+minimum for each node, combined before the shuffle) and one join; the neighbours of a node are never
+gathered. The minima are written before they are joined, so both sides of the join are shuffled for it
+alone and adaptive execution splits it at a hub. Edges are written to the shared folder after each round,
+so lineage stays short and a lost executor costs one round at most; a round's tables go with the next.
 """
 
 from __future__ import annotations
@@ -12,25 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.sources.durable import durable
+from priorline.sources.durable import discard, durable
 
 
 def star_step(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star (over both directions, larger neighbours move) or small-star step."""
+    """One large-star (over both directions, larger neighbours move) or small-star step, written."""
     forward = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     backward = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     both = forward.union(backward)
     if not large:
         both = both.where("v < u")
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("w"), F.least("u", "m").alias("m")
+    lowest = durable(
+        both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     )
     joined = both.join(lowest, F.col("u") == F.col("w"))
     moved = joined.where("v > u") if large else joined.where("v > m")
     linked = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
     if not large:
         linked = linked.union(lowest.where("w <> m").select(F.col("w").alias("a"), F.col("m").alias("b")))
-    return linked.distinct()
+    written = durable(linked.distinct())
+    discard(lowest)
+    return written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,7 +49,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     fingerprint = state_of(current)
     while fingerprint[0]:
-        current = durable(star_step(star_step(current, large=True), large=False))
+        half = star_step(current, large=True)
+        discard(current)
+        current = star_step(half, large=False)
+        discard(half)
         after = state_of(current)
         if after == fingerprint:
             break

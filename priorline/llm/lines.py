@@ -9,13 +9,14 @@ their token sets is at least the threshold. Lines of fewer than ``MIN_WORDS`` wo
    prefix that a matching line must share a token with. Within the cell of a token the length filter,
    the positional filter and a bound from 128-bit parity maps of the token sets leave few pairs; only
    links to one row of each connected set go out, so the output is linear in the lines.
-3. *Verification.* Connected digests (joins and aggregations) get their token sets and are compared
-   exactly, in cells of bounded size. Every matching pair is in one cell.
+3. *Verification.* Connected digests (joins and aggregations) get their token sets. Each is compared
+   with the earliest of its component by one join; those that match it are done. Only the others are
+   compared with all the rest, exactly, in cells of bounded size.
 4. *Removal.* A line stays if it is the first of its digest and no earlier digest matches it.
 
-Places are ordered by document id and line number. Ids name documents: rows with one id count as one
-document, and null ids as one whose place is before all others. Null and empty texts have no lines to
-remove.
+A document is an id with a text: rows that repeat both are one document, different texts under one id
+are several, and null ids are ids like others. Places are ordered by id (null first), then by the hash of
+the text, then by line number. Null and empty texts have no lines to remove.
 """
 
 from __future__ import annotations
@@ -30,37 +31,42 @@ from pyspark.sql import functions as F
 from priorline.llm.components import connected_components
 from priorline.llm.rows import id_and_text, sized
 from priorline.llm.similarity import (
-    HASH_BITS, cells_of, joined_labels, meet, mixed, signed, similar_rows, whole_cells, word_scanner,
+    HASH_BITS, cells_of, joined_labels, meet, mixed, near_hub, signed, similar_rows, whole_cells, word_scanner,
 )
 from priorline.sources.durable import durable
 
 MIN_WORDS = 5
 THRESHOLD = 0.8
-FIRST_KEY = -(2**63)
 #: The rarity table: so many counters in blocks, each stored as a rounded logarithm in one byte.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 #: A token's cell is cut into blocks of about so many lines.
 CELL_LINES = 20_000
 #: Lines of up to so many tokens have a smaller parity map.
 SHORT = 64
-#: Texts handled at a time, by characters.
+#: Texts handled at a time, by characters; a longer text is read in pieces of whole lines. A batch has fewer
+#: than twice as many lines, and line numbers have 64 - HASH_BITS bits.
 CHARS_AT_ONCE = 400_000
 #: Digests that a task remembers so as to index a repeated line once.
 REMEMBERED = 1 << 18
 
 
 class LineBatch:
-    """The countable lines of some texts as flat arrays: tokens sorted and distinct within a line."""
+    """The countable lines of some texts as flat arrays: tokens sorted and distinct within a line.
 
-    def __init__(self, keys: list[int], texts: list[str], min_words: int):
+    before: for each text, the number of lines of its document in front of it.
+    """
+
+    def __init__(self, texts: list[str], before: list[int], min_words: int):
         tokens, starts, breaks = word_scanner().scan("\n".join(texts).lower())
         line = np.searchsorted(breaks, starts)
         n_lines = np.array([text.count("\n") + 1 for text in texts])
+        if n_lines.sum() > 1 << (64 - HASH_BITS):
+            raise ValueError(f"{n_lines.sum()} lines in one batch")
         counts = np.bincount(line, minlength=n_lines.sum())
         countable = counts >= min_words
         text = np.repeat(np.arange(len(texts)), n_lines)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-        self.keys, self.numbers = np.array(keys, dtype=np.int64)[text[countable]], number[countable].astype(np.int32)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines - np.array(before), n_lines)
+        self.text, self.numbers = text[countable], number[countable].astype(np.int32)
         kept = countable[line]
         place = (np.cumsum(countable) - 1)[line[kept]].astype(np.uint64)
         # One number holds a token's line and hash: sorting it groups lines and shows repeated tokens.
@@ -68,7 +74,7 @@ class LineBatch:
         both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
         self.tokens = both & np.uint64((1 << HASH_BITS) - 1)
         self.owner = (both >> np.uint64(HASH_BITS)).astype(np.int64)
-        self.sizes = np.bincount(self.owner, minlength=len(self.keys))
+        self.sizes = np.bincount(self.owner, minlength=len(self.text))
         self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
 
     def reduced(self, values: np.ndarray, how=np.add) -> np.ndarray:
@@ -79,18 +85,44 @@ class LineBatch:
         return self.reduced(mixed(self.tokens, 1)), self.reduced(mixed(self.tokens, 2)) + self.sizes.astype(np.uint64)
 
 
-def line_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[LineBatch]:
-    keys, texts, chars = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column("doc_id"), batch.column("text")):
-            keys.append(FIRST_KEY if (found := key.as_py()) is None else found)
-            texts.append(text.as_py())
-            chars += len(texts[-1])
-            if chars >= CHARS_AT_ONCE:
-                yield LineBatch(keys, texts, min_words)
-                keys, texts, chars = [], [], 0
+def pieces(text: str) -> Iterator[tuple[int, str]]:
+    """(lines before, piece): the text in pieces that end where a line does; a short text is one."""
+    at, before = 0, 0
+    while True:
+        stop = text.find("\n", at + CHARS_AT_ONCE) if len(text) - at > CHARS_AT_ONCE else -1
+        if stop < 0:
+            yield before, text[at:]
+            return
+        piece = text[at:stop]
+        yield before, piece
+        at, before = stop + 1, before + piece.count("\n") + 1
+
+
+def in_batches(rows: Iterator[tuple], min_words: int) -> Iterator[tuple[list, LineBatch]]:
+    """(what belongs to each text, its lines) for rows (what belongs to it, lines before, text), many texts at a time."""
+    owners, before, texts, chars = [], [], [], 0
+    for owner, earlier, text in rows:
+        owners.append(owner)
+        before.append(earlier)
+        texts.append(text)
+        chars += len(text) + 1
+        if chars >= CHARS_AT_ONCE:
+            yield owners, LineBatch(texts, before, min_words)
+            owners, before, texts, chars = [], [], [], 0
     if texts:
-        yield LineBatch(keys, texts, min_words)
+        yield owners, LineBatch(texts, before, min_words)
+
+
+def line_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[list, LineBatch]]:
+    """Lines of rows (doc_id, mark, text); what belongs to a text is its id and mark."""
+    rows = (
+        ((key, mark), before, piece)
+        for batch in batches
+        for key, mark, text in zip(*(batch.column(c) for c in ("doc_id", "mark", "text")))
+        for before, piece in pieces(text.as_py())
+    )
+    for owners, lines in in_batches(rows, min_words):
+        yield [(key.as_py(), mark.as_py()) for key, mark in owners], lines
 
 
 def fresh(digest: np.ndarray, remembered: np.ndarray) -> np.ndarray:
@@ -102,18 +134,20 @@ def fresh(digest: np.ndarray, remembered: np.ndarray) -> np.ndarray:
 
 
 def lines_and_counts(rows: DataFrame, min_words: int) -> DataFrame:
-    """Rows of two kinds: a line (d0, d1, doc_id, line), or counters of a block (block, counts)."""
+    """Rows of two kinds: a line (d0, d1, doc_id, mark, line), or counters of a block (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
         remembered = np.zeros(REMEMBERED, dtype=np.uint64)
-        for lines in line_batches(batches, min_words):
+        for owners, lines in line_batches(batches, min_words):
             d0, d1 = lines.digests()
             new = fresh(d0, remembered)
+            of_lines = pa.array(lines.text)
             np.add.at(counts, (lines.tokens[new[lines.owner]] % np.uint64(COUNTERS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(d0)), pa.array(signed(d1)), pa.array(lines.keys, pa.int64()),
+                    pa.array(signed(d0)), pa.array(signed(d1)),
+                    *[pa.array(column, pa.int64()).take(of_lines) for column in zip(*owners)],
                     pa.array(lines.numbers, pa.int32()), pa.nulls(len(d0), pa.int32()), pa.nulls(len(d0), pa.binary()),
                 ],
                 schema=schema,
@@ -123,18 +157,18 @@ def lines_and_counts(rows: DataFrame, min_words: int) -> DataFrame:
             at = np.flatnonzero(part)
             if len(at):
                 packed = at.astype(np.uint32).tobytes() + part[at].tobytes()
-                nothing = [pa.nulls(1, field.type) for field in list(schema)[:4]]
+                nothing = [pa.nulls(1, field.type) for field in list(schema)[:5]]
                 yield pa.RecordBatch.from_arrays(
                     [*nothing, pa.array([block], pa.int32()), pa.array([packed], pa.binary())], schema=schema
                 )
 
     schema = pa.schema(
         [
-            ("d0", pa.int64()), ("d1", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()),
+            ("d0", pa.int64()), ("d1", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()),
             ("block", pa.int32()), ("counts", pa.binary()),
         ]
     )
-    return rows.mapInArrow(run, "d0 long, d1 long, doc_id long, line int, block int, counts binary")
+    return rows.mapInArrow(run, "d0 long, d1 long, doc_id long, mark long, line int, block int, counts binary")
 
 
 def rarity_table(counted: DataFrame) -> np.ndarray:
@@ -174,7 +208,7 @@ def prefix_index(rows: DataFrame, rarity: np.ndarray, threshold: float, min_word
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared_table.value
         remembered = np.zeros(REMEMBERED, dtype=np.uint64)
-        for lines in line_batches(batches, min_words):
+        for _, lines in line_batches(batches, min_words):
             d0, _ = lines.digests()
             tokens, owner, sizes = lines.tokens, lines.owner, lines.sizes
             new = fresh(d0, remembered)
@@ -250,31 +284,51 @@ def candidate_links(index: DataFrame, threshold: float) -> DataFrame:
 
 
 def token_sets(rows: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(d0, d1, size, elements) of the lines at wanted places (key, lines: their numbers)."""
+    """(d0, d1, component, hub, place, size, elements) of the lines at wanted places.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted: (key, lines), lines being sorted structs (line, component, hub) of a document. A task leaves
+    out rows that repeat a document it has had.
+    """
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        done = set()
         for batch in batches:
-            for key, text, numbers in zip(batch.column("doc_id"), batch.column("text"), batch.column("lines")):
-                wanted_numbers = set(numbers.as_py())
-                # Other lines are emptied, so numbers stay as they are.
-                text = "\n".join(
-                    line if k in wanted_numbers else "" for k, line in enumerate(text.as_py().split("\n"))
-                )
-                lines = LineBatch([key.as_py()], [text], min_words)
-                d0, d1 = lines.digests()
-                ends = lines.starts + lines.sizes
-                elements = [lines.tokens[a:b].tobytes() for a, b in zip(lines.starts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(d0)), pa.array(signed(d1)), pa.array(lines.sizes, pa.int32()),
-                        pa.array(elements, pa.binary()),
-                    ],
-                    names=["d0", "d1", "size", "elements"],
-                )
+            for key, mark, text, found in zip(*(batch.column(c) for c in ("doc_id", "mark", "text", "lines"))):
+                document = (key.as_py(), mark.as_py())
+                if document in done:
+                    continue
+                if len(done) >= REMEMBERED:
+                    done.clear()
+                done.add(document)
+                lines = {line["line"]: line for line in found.as_py()}
+                for before, piece in pieces(text.as_py()):
+                    # Other lines are emptied, so numbers stay as they are.
+                    split = piece.split("\n")
+                    here = [lines[k] for k in range(before, before + len(split)) if k in lines]
+                    masked = "\n".join(line if before + k in lines else "" for k, line in enumerate(split))
+                    yield (document, here), before, masked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owners, lines in in_batches(chosen(batches), min_words):
+            d0, d1 = lines.digests()
+            # The lines that are left are just those that are wanted, in their order.
+            found = [line for _, here in owners for line in here]
+            places = [(*document, line["line"]) for document, here in owners for line in here]
+            columns = [
+                pa.array(signed(d0)), pa.array(signed(d1)), pa.array([line["component"] for line in found], pa.int64()),
+                pa.array([line["hub"] for line in found], pa.bool_()),
+                *[pa.array([place[k] for place in places], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))],
+                pa.array(lines.sizes, pa.int32()),
+                pa.array([lines.tokens[a : a + n].tobytes() for a, n in zip(lines.starts, lines.sizes)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                columns, names=["d0", "d1", "component", "hub", "doc_id", "mark", "line", "size", "elements"]
+            )
 
-    keyed = rows.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("doc_id"), "text")
-    found = keyed.join(wanted, F.col("doc_id") == F.col("key")).select("doc_id", "text", "lines")
-    return found.mapInArrow(run, "d0 long, d1 long, size int, elements binary")
+    found = rows.withColumn("own", F.struct("doc_id", "mark")).join(wanted, F.col("own") == F.col("key")).select("doc_id", "mark", "text", "lines")
+    return found.mapInArrow(
+        run, "d0 long, d1 long, component long, hub boolean, doc_id long, mark long, line int, size int, elements binary"
+    )
 
 
 def matched_digests(cells: DataFrame, threshold: float) -> DataFrame:
@@ -283,11 +337,15 @@ def matched_digests(cells: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_cells(batches):
             rows = rows.combine_chunks().flatten().flatten()
-            doc_id, line, d0, d1 = (rows.column(c).to_numpy() for c in ("rank.doc_id", "rank.line", "id.d0", "id.d1"))
-            # Equal places (of rows under one id) have one rank: none of them is later.
+            d0, d1 = (rows.column(c).to_numpy() for c in ("id.d0", "id.d1"))
+            place = [
+                rows.column("rank.line").to_numpy(), rows.column("rank.mark").to_numpy(),
+                rows.column("rank.doc_id").fill_null(0).to_numpy(), rows.column("rank.doc_id").is_valid().to_numpy(),
+            ]
+            # Equal places (of repeated rows) have one rank: none of them is later.
             rank = np.empty(len(d0), dtype=np.int64)
-            order = np.lexsort((line, doc_id))
-            differs = (np.diff(doc_id[order]) != 0) | (np.diff(line[order]) != 0)
+            order = np.lexsort(place)
+            differs = np.any([column[order][1:] != column[order][:-1] for column in place], axis=0)
             rank[order] = np.append(0, np.cumsum(differs))
             later = [i[rank[j] < rank[i]] for i, j in similar_rows(rows, threshold)]
             if later:
@@ -299,40 +357,54 @@ def matched_digests(cells: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "d0 long, d1 long").distinct()
 
 
+def later_digests(sets: DataFrame, threshold: float) -> DataFrame:
+    """(d0, d1) of the digests among sets that match an earlier one of their component.
+
+    The hub is a component's earliest: what matches it is settled by one join. The others have to be
+    compared with each other and with the settled ones, which may be earlier as well.
+    """
+    hubs = sets.where("hub").select(F.col("component").alias("of"), F.col("elements").alias("hub_elements")).dropDuplicates(["of"])
+    others = sets.where("NOT hub").join(hubs, F.col("component") == F.col("of"))
+    judged = durable(near_hub(others, threshold, "d0 long, d1 long, component long, size int")).distinct()
+    id_of = F.struct("d0", "d1").alias("id")
+    hub_rows = sets.where("hub").select(id_of, "component", "size", F.lit(True).alias("core")).distinct()
+    members = judged.select(id_of, "component", "size", F.col("near").alias("core")).unionByName(hub_rows)
+    cells = cells_of(members, sets.select(id_of, F.struct("doc_id", "mark", "line").alias("rank"), "elements"))
+    return judged.where("near").select("d0", "d1").unionByName(matched_digests(cells, threshold)).distinct()
+
+
+def documents_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): mark is the hash of the text, which with the id names the document."""
+    return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
 def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, line, removed) of every countable line; key: the document id, null as the smallest long.
+    """(key, line, removed) of every countable line of rows (doc_id, mark, text); key: struct of id and mark.
 
-    rows: (doc_id, text without nulls). A place has a row for each row of docs that has it.
+    A place has a row for each row of docs that has it.
     """
     counted = durable(lines_and_counts(rows, min_words))
-    lines = counted.where("block IS NULL").select("d0", "d1", F.struct("doc_id", "line").alias("place"))
+    lines = counted.where("block IS NULL").select("d0", "d1", F.struct("doc_id", "mark", "line").alias("place"))
     firsts = lines.groupBy("d0", "d1").agg(F.min("place").alias("place"))
     links = candidate_links(prefix_index(rows, rarity_table(counted), threshold, min_words), threshold)
     components = durable(connected_components(links))
     candidates = durable(
-        firsts.join(components, F.col("d0") == F.col("node")).select(
-            F.struct("d0", "d1").alias("id"), "place", "component"
-        )
+        firsts.join(components, F.col("d0") == F.col("node")).select("place", "component")
     )
+    earliest = durable(candidates.groupBy(F.col("component").alias("of")).agg(F.min("place").alias("earliest")))
+    line = F.struct("place.line", "component", (F.col("place") == F.col("earliest")).alias("hub"))
     wanted = durable(
-        candidates.groupBy(F.col("place.doc_id").alias("key")).agg(F.collect_list("place.line").alias("lines"))
+        candidates.join(earliest, F.col("component") == F.col("of"))
+        .groupBy(F.struct("place.doc_id", "place.mark").alias("key")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     )
     sets = durable(token_sets(rows, sized(wanted), min_words))
-    # Rows under one id give a digest more than one set.
-    single = sets.dropDuplicates(["d0", "d1"])
-    found = candidates.select(F.col("id.d0").alias("i0"), F.col("id.d1").alias("i1"), "id", "place", "component").join(
-        single, (F.col("i0") == F.col("d0")) & (F.col("i1") == F.col("d1"))
-    )
-    cells = cells_of(
-        found.select("id", "component", "size"), found.select("id", F.col("place").alias("rank"), "elements")
-    )
-    later = matched_digests(cells, threshold).select(F.col("d0").alias("m0"), F.col("d1").alias("m1"))
+    later = later_digests(sets, threshold).select(F.col("d0").alias("m0"), F.col("d1").alias("m1"))
     kept = firsts.join(later, (F.col("d0") == F.col("m0")) & (F.col("d1") == F.col("m1")), "left_anti").select(
-        F.col("place.doc_id").alias("k"), F.col("place.line").alias("l")
+        F.col("place").alias("stays")
     ).distinct()
-    places = lines.select(F.col("place.doc_id").alias("key"), F.col("place.line").alias("line"))
-    return places.join(kept, (F.col("key") == F.col("k")) & (F.col("line") == F.col("l")), "left").select(
-        "key", "line", F.col("k").isNull().alias("removed")
+    return lines.select("place").join(kept, F.col("place") == F.col("stays"), "left").select(
+        F.struct("place.doc_id", "place.mark").alias("key"), F.col("place.line").alias("line"),
+        F.col("stays").isNull().alias("removed"),
     )
 
 
@@ -349,17 +421,16 @@ def dedup_lines(
 ) -> DataFrame:
     """One line per row of docs: doc_id, n_lines, n_removed and removed (line numbers from 0, comma-joined).
 
-    A null or empty text has no lines.
+    A null or empty text has no lines. Rows that repeat an id with its text have equal results; different
+    texts under one id, null included, are documents of their own, the one with the smaller hash first.
     """
-    rows = id_and_text(docs)
+    rows = documents_of(docs)
     found = per_document(line_verdicts(rows, threshold, min_words))
     # Only the number of lines of a text is shuffled.
-    counts = rows.select(
-        "doc_id", F.when(F.col("text") == "", 0).otherwise(F.length(F.regexp_replace("text", "[^\n]", "")) + 1)
-        .cast("long").alias("n_lines")
-    )
-    return counts.join(found, F.coalesce("doc_id", F.lit(FIRST_KEY)) == F.col("key"), "left").select(
-        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    counts = rows.select(F.struct("doc_id", "mark").alias("own"), F.when(F.col("text") == "", 0).otherwise(breaks + 1).cast("long").alias("n_lines"))
+    return counts.join(found, F.col("own") == F.col("key"), "left").select(
+        "own.doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"),
     )
 
@@ -367,9 +438,9 @@ def dedup_lines(
 def own_short_lines(rows: DataFrame, emptied: DataFrame) -> DataFrame:
     """(own): keys of emptied documents (key, gone) with a line left that no earlier document has.
 
-    rows: (doc_id, text without nulls). Lines are compared as they are; blank ones do not count.
+    rows: (doc_id, mark, text). Lines are compared as they are; blank ones do not count.
     """
-    keyed = rows.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("key"), "text")
+    keyed = rows.select(F.struct("doc_id", "mark").alias("key"), "text")
 
     def lines_of(texts: DataFrame) -> DataFrame:
         split = texts.select("key", F.posexplode(F.split("text", "\n")).alias("line", "words"))
@@ -398,8 +469,9 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_wo
 
     A document all of whose countable lines went goes too, unless it still has a line of its own: a
     shorter one that no earlier document has. Others, also those with a null or an empty text, stay.
+    Documents are told apart as in ``dedup_lines``: a text loses its own lines only, whatever its id.
     """
-    rows = id_and_text(docs)
+    rows = documents_of(docs)
     found = durable(per_document(line_verdicts(rows, threshold, min_words)).where("n_removed > 0"))
     emptied = found.where("n_countable = n_removed").select("key", "gone")
     own = durable(own_short_lines(rows, emptied))
@@ -408,11 +480,13 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_wo
             F.col("key"), F.col("gone"), ((F.col("n_countable") == F.col("n_removed")) & F.col("own").isNull()).alias("all")
         ).alias("line_dedup")
     )
-    # The two added columns are structs of their own, dropped at the end: no name of docs is in the way.
+    # The added column is a struct of its own, dropped at the end: no name of docs is in the way.
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = plain.join(
-        found, F.coalesce(F.col("row.doc_id").cast("long"), F.lit(FIRST_KEY)) == F.col("line_dedup.key"), "left"
-    ).where(~F.coalesce(F.col("line_dedup.all"), F.lit(False)))
+    mark = F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    key = F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), mark.alias("mark"))
+    joined = plain.join(found, key == F.col("line_dedup.key"), "left").where(
+        ~F.coalesce(F.col("line_dedup.all"), F.lit(False))
+    )
     text = F.when(F.col("line_dedup").isNull(), F.col("row.text")).otherwise(
         F.array_join(
             F.filter(F.split("row.text", "\n"), lambda _, k: ~F.array_contains(F.col("line_dedup.gone"), k)), "\n"

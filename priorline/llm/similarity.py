@@ -211,7 +211,8 @@ def cells_of(members: DataFrame, sets: DataFrame, block_elements: int = BLOCK_EL
     """
     size_of = {kind: F.sum(F.when(F.col("core") == kind, F.col("size")).otherwise(0)) for kind in (False, True)}
     whole = F.col("rest") + F.col("cores") <= block_elements
-    totals = (
+    # Written, so that the join with it has a shuffle of its own and is split at a large component.
+    totals = durable(
         members.groupBy("component").agg(size_of[False].alias("rest"), size_of[True].alias("cores"))
         .where("rest > 0").select(
             F.col("component").alias("of"), whole.alias("whole"),

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from priorline.llm import lines as module
 from priorline.llm.components import connected_components
@@ -92,28 +93,76 @@ def test_odd_rows(frame, odd_rows):
     assert got(dedup_lines(frame(same))) == {(k, 0) for k in range(200)}
 
 
-def test_rows_with_one_place_keep_their_lines(frame):
-    """Repeated rows, and null ids: only a line at an earlier place removes one."""
+def mark(text):
+    """The hash that orders texts under one id."""
+    value = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return value - 2**64 if value >= 2**63 else value
+
+
+def of_documents(rows):
+    """(doc_id, text, line) of the removed lines, a document being an id with a text."""
+    documents = sorted({(key is not None, key or 0, mark(text), key, text) for key, text in rows})
+    removed = brute([(k, text) for k, (*_, text) in enumerate(documents)])
+    return {(documents[k][3], documents[k][4], line) for k, line in removed}
+
+
+def documents_in_question():
+    """Repeated rows, null ids, the smallest id and several texts under one id, each case with words of its own."""
     line, near = "one two three four five six seven eight nine", "one two three four five six seven eight ten"
-    assert got(dedup_lines(frame([(1, line), (1, line), (2, near)]))) == {(2, 0)}
-    assert got(dedup_lines(frame([(None, line), (None, line), (2, near)]))) == {(2, 0)}
-    assert got(dedup_lines(frame([(None, line), (None, near), (2, near)]))) == {(2, 0)}
-    rows = corpus(5, 30)
-    rows = [(None if k < 12 else k, text) for k, text in rows] + rows[10:20] + rows[12:14]
-    removed = dedup_lines(frame(rows).repartition(3))
-    docs = {}
+    cases = [
+        [(1, line), (1, line), (2, near)], [(None, line), (None, line), (2, near)], [(None, line), (None, near), (2, near)],
+        [(0, line), (1, f"{near}\nown words that stand here alone"), (1, "short title\nanother five words that stay")],
+        [(-(2**63), line), (None, line), (-(2**63), near)],
+    ]
+    rows = [
+        (key if key is None or key < 0 else 100 * k + key, re.sub(r"(\w+)", rf"{'pqrst'[k]}\1", text))
+        for k, case in enumerate(cases) for key, text in case
+    ]
+    more = corpus(5, 30)
+    return rows + [(None if k < 12 else k // 6, text) for k, text in more] + more[10:20] + more[12:14]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_documents_are_ids_with_texts(frame, partitions):
+    rows = documents_in_question()
+    removed = of_documents(rows)
+    assert len({key for key, _, _ in removed}) > 5 and len([key for key, _, _ in removed if key is None]) > 2
+    of = lambda key, text: sorted(n for k, t, n in removed if (k, t) == (key, text))
+    found = dedup_lines(frame(rows).repartition(partitions)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.removed) for r in found) == sorted(
+        (key is not None, key or 0, ",".join(map(str, of(key, text)))) for key, text in rows
+    )
+
+
+def test_a_text_loses_its_own_lines_only(frame):
+    rows = documents_in_question()
+    removed = of_documents(rows)
+    left = {(r.doc_id, r.text) for r in without_repeated_lines(frame(rows).repartition(3)).collect()}
     for key, text in rows:
-        docs.setdefault(-1 if key is None else key, []).append(text.split("\n"))
-    # What has the first place of its words, at a place that no earlier similar line has, stays.
-    words = lambda x: frozenset(re.findall(r"\w+", x.lower()))
-    places = sorted({(k, n, words(x)) for k, texts in docs.items() for text in texts for n, x in enumerate(text) if len(re.findall(r"\w+", x)) >= 5}, key=lambda p: p[:2])
-    similar = lambda a, b: len(a & b) * 5 >= 4 * len(a | b)
-    firsts = {}
-    for k, n, w in places:
-        firsts.setdefault(w, (k, n))
-    stay = {place for w, place in firsts.items() if not any(similar(w, v) for v, other in firsts.items() if other < place)}
-    want = {(k, n) for k, n, _ in places} - stay
-    assert {(-1 if k is None else k, n) for k, n in got(removed)} == want
+        gone = {n for k, t, n in removed if (k, t) == (key, text)}
+        stays = [part for n, part in enumerate(text.split("\n")) if n not in gone]
+        if not gone or any(len(re.findall(r"\w+", part)) >= 5 for part in stays):
+            assert (key, "\n".join(stays)) in left
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(module, "CHARS_AT_ONCE", 50)
+    text = "\n".join(f"line {k} has five words" for k in range(40)) + "\n\n" + "x" * 200 + "\nlast line has five words"
+    parts = list(module.pieces(text))
+    assert "\n".join(piece for _, piece in parts) == text and len(parts) > 10
+    assert all(before == "\n".join(p for _, p in parts[:k]).count("\n") + (k > 0) for k, (before, _) in enumerate(parts))
+    numbers = [n for _, lines in module.in_batches(((0, b, p) for b, p in parts), 5) for n in lines.numbers]
+    assert numbers == [n for n, line in enumerate(text.split("\n")) if len(line.split()) >= 5]
+    with pytest.raises(ValueError):
+        module.LineBatch(["\n" * (1 << 20)], [0], 5)
+
+
+def test_more_than_a_million_lines(frame):
+    """Line numbers of one batch have twenty bits; a text of more lines is cut before."""
+    distinct = "\n".join(f"a{k} b{k} c{k} d{k} e{k}" for k in range(1_048_590))
+    rows = [(1, distinct + "\nsame words in every line here"), (2, "same words in every line here")]
+    lines = {r.doc_id: r for r in dedup_lines(frame(rows)).collect()}
+    assert lines[1].n_removed == 0 and lines[1].n_lines == 1_048_591 and lines[2].removed == "0"
 
 
 def test_components(spark):
