@@ -8,8 +8,8 @@ are the places. Only matches are shuffled, never texts.
 form. Over the whole corpus, counted in different texts, n(e,t) is how many texts that mention entity e
 hold term t, of the terms that stand near e in some, and n(t) how many texts hold t at all. The
 pointwise mutual information log2(n(e,t) * N / (n(e) * n(t))) and the posterior n(e,t) / n(t) say how
-strongly the term reveals the entity. Terms over both thresholds are generalised, those over the higher posterior are removed,
-wherever they stand in a text that mentions the entity.
+strongly the term reveals the entity. Terms over both thresholds are generalised, those over the higher
+posterior are removed, wherever they stand in a text that mentions the entity, or in any text.
 """
 
 from __future__ import annotations
@@ -152,6 +152,25 @@ def near_terms(spans: DataFrame) -> DataFrame:
     )
 
 
+def different_texts(rows: DataFrame) -> DataFrame:
+    """(text) of rows, each once; only texts that stand in several rows are shuffled."""
+    digest = F.xxhash64("text")
+    repeated = durable(rows.groupBy(digest.alias("repeated")).agg(F.count("*").alias("n")).where("n > 1").select("repeated"))
+    marked = rows.select(digest.alias("digest"), "text")
+    known = sized(repeated)
+    single = marked.join(known, F.col("digest") == F.col("repeated"), "left_anti").select("text")
+    once = marked.join(known, F.col("digest") == F.col("repeated"), "left_semi").groupBy("digest").agg(
+        F.first("text").alias("text")
+    )
+    return single.unionByName(once.select("text"))
+
+
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    """(held, n_term): in how many different texts each word stands; counted before anything is joined."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    return different_texts(rows).select(F.explode(words).alias("held")).groupBy("held").agg(F.count("*").alias("n_term"))
+
+
 def revealing_terms(rows: DataFrame, near: DataFrame, spans: DataFrame) -> DataFrame:
     """(kind, value, term, verdict, bits, posterior) of the terms that reveal an entity."""
     together = (
@@ -160,15 +179,8 @@ def revealing_terms(rows: DataFrame, near: DataFrame, spans: DataFrame) -> DataF
         .where(F.col("n_near") >= LEAST_TOGETHER)
     )
     together = durable(together)
-    wanted = durable(together.select(F.col("term").alias("wanted")).distinct())
-    held = rows.select(
-        F.xxhash64("text").alias("digest"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("held"),
-    )
-    n_term = (
-        held.join(sized(wanted), F.col("held") == F.col("wanted")).select("wanted", "digest").distinct()
-        .groupBy("wanted").agg(F.count("*").alias("n_term"))
-    )
+    wanted = together.select(F.col("term").alias("wanted")).distinct()
+    n_term = document_frequencies(rows).join(wanted, F.col("held") == F.col("wanted")).select("wanted", "n_term")
     n_entity = (
         spans.select("kind", "value", "digest").distinct()
         .groupBy(F.col("kind").alias("k"), F.col("value").alias("v")).agg(F.count("*").alias("n_entity"))
@@ -217,12 +229,21 @@ def with_n_both(rows: DataFrame, spans: DataFrame, candidates: DataFrame) -> Dat
     return plain.join(n_both, [*entity, "term"], "left").withColumn("n_both", F.greatest("n_near", "n_whole"))
 
 
-def term_spans(rows: DataFrame, spans: DataFrame, revealing: DataFrame) -> DataFrame:
+def everywhere(rows: DataFrame, revealing: DataFrame) -> DataFrame:
+    """(g, t, verdict): the revealing terms that each text holds, whether it mentions the entity or not."""
+    verdicts = durable(revealing.groupBy("t").agg(F.max("verdict").alias("verdict")))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    held = rows.select(F.xxhash64("text").alias("g"), F.explode(words).alias("held"))
+    return held.join(sized(verdicts), F.col("held") == F.col("t")).select("g", "t", "verdict").distinct()
+
+
+def term_spans(rows: DataFrame, spans: DataFrame, revealing: DataFrame, all_texts: bool = False) -> DataFrame:
     """(doc_id, digest, start, end, verdict) of each place of a term in a text that mentions its entity.
 
-    revealing: (k, v, t, verdict). Only matches are shuffled: a text is split at its terms.
+    revealing: (k, v, t, verdict). all_texts: in the other texts, too. Only matches are shuffled: a text is
+    split at its terms.
     """
-    of_texts = (
+    of_texts = everywhere(rows, revealing) if all_texts else (
         spans.select("digest", "kind", "value").distinct()
         .join(revealing, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")))
         .groupBy(F.col("digest").alias("g"), "t").agg(F.max("verdict").alias("verdict"))
@@ -258,8 +279,8 @@ def term_spans(rows: DataFrame, spans: DataFrame, revealing: DataFrame) -> DataF
     )
 
 
-def all_spans(rows: DataFrame) -> DataFrame:
-    """(doc_id, digest, kind, start, end) of entities and of their revealing terms in the same text."""
+def all_spans(rows: DataFrame, all_texts: bool = False) -> DataFrame:
+    """(doc_id, digest, kind, start, end) of entities and of their revealing terms, in the same or all texts."""
     spans = durable(entity_spans(rows))
     near = durable(near_terms(spans))
     revealing = durable(revealing_terms(rows, near, spans).select(
@@ -268,7 +289,7 @@ def all_spans(rows: DataFrame) -> DataFrame:
     same = (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")) & (F.col("term") == F.col("t"))
     # Beside a mention, a word may be part of a longer run of letters that the mention cuts.
     beside = near.join(revealing, same).select("doc_id", "digest", "start", "end", "verdict")
-    found = beside.unionByName(term_spans(rows, spans, revealing)).groupBy("doc_id", "digest", "start", "end").agg(
+    found = beside.unionByName(term_spans(rows, spans, revealing, all_texts)).groupBy("doc_id", "digest", "start", "end").agg(
         F.max("verdict").alias("kind")
     )
     base = spans.select("doc_id", "digest", "kind", "start", "end")
@@ -288,11 +309,11 @@ def rendered(spans: str) -> Column:
     )
 
 
-def spans_by_text(rows: DataFrame) -> DataFrame:
+def spans_by_text(rows: DataFrame, all_texts: bool = False) -> DataFrame:
     """(d, g, spans): the sorted spans of each text that has any, as structs (start, rank, kind, end)."""
     ranks = F.create_map(*[F.lit(x) for pair in ORDER.items() for x in pair])
     span = F.struct("start", F.element_at(ranks, F.col("kind")).alias("rank"), "kind", "end")
-    return all_spans(rows).groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(
+    return all_spans(rows, all_texts).groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(
         F.sort_array(F.collect_list(span)).alias("spans")
     )
 
@@ -301,14 +322,16 @@ def count_of(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, all_texts: bool = False) -> DataFrame:
     """One line per row: doc_id, counts of base kinds, digest of the base spans, all spans, n_terms.
 
+    all_texts: revealing terms are treated wherever they stand, not only beside a mention of their entity
+    in the same text.
     Null and empty texts have no spans. Repeated rows, null ids and different texts under one id each
     give a line of their own.
     """
     rows = id_and_text(docs)
-    found = spans_by_text(rows)
+    found = spans_by_text(rows, all_texts)
     keys = rows.select("doc_id", F.xxhash64("text").alias("digest"))
     joined = keys.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>"))
@@ -324,15 +347,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     )
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
+def sanitised(docs: DataFrame, all_texts: bool = False) -> DataFrame:
     """(doc_id, text) of every row with its spans replaced: entities and terms by a class, or nothing.
 
+    all_texts: as in ``find_personal_data``.
     Of overlapping spans the first is replaced, together with what the others reach beyond it.
     """
     rows = id_and_text(docs)
     replaced = F.create_map(*[F.lit(x) for pair in REPLACEMENTS.items() for x in pair])
     joined = rows.join(
-        spans_by_text(rows), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("g")), "left"
+        spans_by_text(rows, all_texts), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("g")), "left"
     )
 
     def step(state: Column, span: Column) -> Column:

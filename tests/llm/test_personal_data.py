@@ -95,6 +95,65 @@ def test_revealing_terms_far_from_the_mention(frame):
     assert not any(re.search(r"(?i)\b(zorblatt|quuxly)\b", text) for text in clean.values())
 
 
+def test_terms_are_treated_in_all_texts(frame):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("bcdfgaeiou", k=6)) for _ in range(60)]
+    rows = [(k, " ".join(rng.choices(words, k=20))) for k in range(400)]
+    for k in range(0, 400, 40):
+        rows[k] = (k, f"{rows[k][1]} himself no {k} boss@corp.example.com")
+        rows[k + 1] = (k + 1, f"HIMSELF {rows[k + 1][1]} himself.")
+    beside = {r.doc_id: r.spans for r in find_personal_data(frame(rows)).collect()}
+    found = {r.doc_id: r.spans for r in find_personal_data(frame(rows), all_texts=True).collect()}
+    for k in range(0, 400, 40):
+        assert beside[k + 1] == "" and "generalised" in beside[k]
+        end = len(rows[k + 1][1])
+        assert found[k + 1] == f"generalised:0:7,generalised:{end - 8}:{end - 1}"
+    assert all(found[k] == beside[k] for k in range(400) if k % 40 != 1)
+    clean = {r.doc_id: r.text for r in sanitised(frame(rows), all_texts=True).collect()}
+    assert not any("himself" in text.lower() for text in clean.values())
+
+
+def test_counts_against_brute_force(spark, frame):
+    """Document frequencies, co-occurrence, bits, posteriors and verdicts of every term."""
+    from math import log2
+
+    from priorline.llm import personal_data as module
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("bcdfgaeiou", k=rng.randint(2, 5))) for _ in range(40)]
+    people = [f"p{k}@corp.org" for k in range(10)]
+    rows = []
+    for k in range(300):
+        text = rng.choices(words, k=8)
+        if rng.random() < 0.3:
+            who = rng.randrange(10)
+            text[4:4] = [people[who], f"name{'abcdefghij'[who]}", rng.choice(["team", f"title{'abcdefghij'[who]}", f"title{'abcdefghij'[who]}"])]
+        rows.append((k // 2, " ".join(text)))
+    rows += rows[:40]
+    term = re.compile(r"[^\W\d_]{3,}")
+    texts = {text for _, text in rows}
+    held = {text: set(term.findall(text.lower())) for text in texts}
+    mentions = {text: {m[0] for m in re.finditer(PATTERNS["email"], text)} for text in texts}
+    near = {}
+    for text in texts:
+        for m in re.finditer(PATTERNS["email"], text):
+            for word in set(term.findall(text[: m.start()])) | set(term.findall(text[m.end() :])):
+                near.setdefault((m[0], word), set()).add(text)
+    want = {}
+    for (who, word), beside in near.items():
+        n_term, n_who = sum(word in held[t] for t in texts), sum(who in mentions[t] for t in texts)
+        both = max(len(beside), sum(word in held[t] and who in mentions[t] for t in texts))
+        posterior = both / n_term
+        bits = log2(posterior * len(texts) / n_who)
+        if len(beside) >= module.LEAST_TOGETHER and bits >= module.LEAST_BITS and posterior >= module.LEAST_POSTERIOR:
+            want[who, word] = ("removed" if posterior >= module.REMOVED_POSTERIOR else "generalised", round(bits, 6), round(posterior, 6))
+    df = frame(rows)
+    spans = module.entity_spans(df)
+    found = module.revealing_terms(df, module.near_terms(spans), spans).collect()
+    assert {(r.value, r.term): (r.verdict, round(r.bits, 6), round(r.posterior, 6)) for r in found} == want
+    assert len(want) >= 15 and {v[0] for v in want.values()} >= {"removed"}
+
+
 def test_odd_rows(frame, odd_rows):
     rows = [*odd_rows, (None, "me@here.org"), (3, "you@there.org"), (3, "you@there.org")]
     got = find_personal_data(frame([(*r, 1) for r in rows], "doc_id long, text string, spans int")).collect()
