@@ -1,7 +1,8 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 A text is the set of its five-word shingles (lower-cased words; a shorter text is one shingle). Texts
-with the same words are copies: the one with the smallest id stands for them. A signature of 128
+with the same words are copies, and a digest of the words stands for them everywhere; ids come in at the
+end, so texts under repeated or null ids are told apart. A signature of 128
 minima is cut into 16 trees of depth 8. In each tree the signatures are sorted, so that texts with a
 common prefix lie together: a trie. Matched prefixes are shortened step by step, longest first, until
 the recall at the threshold reaches the target: a pair of similarity s shares a prefix of length d in
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,9 @@ TARGET_RECALL = 0.999
 MARGIN = 0.16
 #: A prefix that more texts share is cut into blocks of about so many.
 CELL_TEXTS = 5_000
+#: Texts that a task remembers so as to read a repeated one once.
+DONE = 100_000
 CHARS_AT_ONCE = 400_000
-FIRST_KEY = -(2**63)
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
@@ -86,12 +89,12 @@ def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids (null as the smallest long) and texts, about CHARS_AT_ONCE characters at a time."""
+def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[str]]]:
+    """(id, mark) of rows and their texts, about CHARS_AT_ONCE characters at a time."""
     keys, texts, chars = [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column("doc_id"), batch.column("text")):
-            keys.append(FIRST_KEY if (found := key.as_py()) is None else found)
+        for key, mark, text in zip(*(batch.column(c) for c in ("doc_id", "mark", "text"))):
+            keys.append((key.as_py(), mark.as_py()))
             texts.append(text.as_py())
             chars += len(texts[-1])
             if chars >= CHARS_AT_ONCE:
@@ -102,7 +105,10 @@ def text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int],
 
 
 def signed_texts(rows: DataFrame) -> DataFrame:
-    """(key, copy, size, signature) of every row; copy: digest of the words, size: number of shingles."""
+    """(doc_id, mark, copy, size, signature) of rows (doc_id, mark, text).
+
+    mark: hash of the text; copy: digest of the words; size: number of shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -111,13 +117,13 @@ def signed_texts(rows: DataFrame) -> DataFrame:
             found = signatures(values, counts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()),
-                    pa.array([row.tobytes() for row in found], pa.binary()),
+                    *[pa.array(column, pa.int64()) for column in zip(*keys)], pa.array(digests, pa.binary()),
+                    pa.array(counts, pa.int64()), pa.array([row.tobytes() for row in found], pa.binary()),
                 ],
-                names=["key", "copy", "size", "signature"],
+                names=["doc_id", "mark", "copy", "size", "signature"],
             )
 
-    return rows.mapInArrow(run, "key long, copy binary, size long, signature binary")
+    return rows.mapInArrow(run, "doc_id long, mark long, copy binary, size long, signature binary")
 
 
 def labels_of(column: pa.Array) -> np.ndarray:
@@ -142,13 +148,12 @@ def forest(signed_rows: DataFrame, depth: int) -> DataFrame:
             labels = labels_of(batch.column("signature"))
             node = mixed(packed(labels[:, :, :depth]) + np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 6)
             tree = np.tile(np.arange(TREES, dtype=np.int32), len(labels))
-            ids = np.repeat(batch.column("key").to_numpy(), TREES)
+            ids = batch.column("copy").take(np.repeat(np.arange(len(labels)), TREES))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(node.ravel())), pa.array(tree), pa.array(ids)], names=["node", "tree", "id"]
+                [pa.array(signed(node.ravel())), pa.array(tree), ids], names=["node", "tree", "id"]
             )
 
-    with_shingles = signed_rows.where("size > 0").select("key", "signature")
-    return with_shingles.mapInArrow(run, "node long, tree int, id long")
+    return signed_rows.select("copy", "signature").mapInArrow(run, "node long, tree int, id binary")
 
 
 def trie_links(nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
@@ -161,10 +166,11 @@ def trie_links(nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_cells(batches):
             cells, tree, side = (rows.column(c).to_numpy() for c in ("cell", "tree", "side"))
-            ids, labels = rows.column("id").to_numpy(), labels_of(rows.column("signature"))
-            own = labels[np.arange(len(ids)), tree]
+            labels = labels_of(rows.column("signature"))
+            own = labels[np.arange(len(cells)), tree]
             order = np.lexsort([*own.T[::-1], cells])
-            cells, side, ids, labels, own = cells[order], side[order], ids[order], labels[order], own[order]
+            ids = rows.column("id").combine_chunks().take(order)
+            cells, side, labels, own = cells[order], side[order], labels[order], own[order]
             flat = labels.reshape(len(ids), -1)
 
             def plausible(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -182,15 +188,15 @@ def trie_links(nodes: DataFrame, depth: int, threshold: float) -> DataFrame:
                 found = joined_labels(found, np.arange(len(ids)), linked)
             apart = np.flatnonzero(found != np.arange(len(ids)))
             if len(apart):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[found[apart]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([ids.take(apart), ids.take(found[apart])], names=["a", "b"])
 
     spark = nodes.sparkSession
     dealt = nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def candidate_links(signed_rows: DataFrame, threshold: float) -> DataFrame:
-    """Links among texts in trie nodes of the depth that reaches the target recall."""
+    """Links among texts in trie nodes of the depth that reaches the target recall; rows: (copy, signature)."""
     depth = prefix_depth(threshold)
     index = forest(signed_rows, depth)
     met = index.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(
@@ -205,29 +211,45 @@ def candidate_links(signed_rows: DataFrame, threshold: float) -> DataFrame:
         F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"),
         "id",
     )
-    nodes = split.join(signed_rows.select("key", "signature"), F.col("id") == F.col("key")).drop("key")
+    nodes = split.join(signed_rows.select("copy", "signature"), F.col("id") == F.col("copy")).drop("copy")
     return trie_links(nodes, depth, threshold)
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, rank, size, elements) of the wanted texts: their distinct shingles, sorted."""
+    """(id, component, size, elements): distinct shingles, sorted, of the wanted texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for keys, texts in text_chunks(batches):
-            values, counts, _ = shingles(texts, hashes)
-            sets = [np.unique(part) for part in np.split(values, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["id", "rank", "size", "elements"],
-            )
+    wanted: (d, m, copy, component), with id and mark of one of a copy's rows. A task leaves out rows that
+    repeat a text it has had.
+    """
 
-    keyed = rows.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("doc_id"), "text")
-    found = keyed.join(sized(wanted), F.col("doc_id") == F.col("wanted")).select("doc_id", "text")
-    return found.mapInArrow(run, "id long, rank long, size long, elements binary").dropDuplicates(["id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, done = WordHashes(), set()
+        for batch in batches:
+            names, components = batch.column("copy").to_pylist(), batch.column("component").to_pylist()
+            lengths = pc.utf8_length(batch.column("text")).to_pylist()
+            held, chars = [], 0
+            for k, name in enumerate(names):
+                if name not in done:
+                    if len(done) >= DONE:
+                        done.clear()
+                    done.add(name)
+                    held.append(k)
+                    chars += lengths[k]
+                if held and (chars >= CHARS_AT_ONCE or k == len(names) - 1):
+                    values, counts, _ = shingles([batch.column("text")[j].as_py() for j in held], hashes)
+                    sets = [np.unique(part) for part in np.split(values, np.cumsum(counts)[:-1])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([names[j] for j in held], pa.binary()), pa.array([components[j] for j in held], pa.binary()),
+                            pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                        ],
+                        names=["id", "component", "size", "elements"],
+                    )
+                    held, chars = [], 0
+
+    same = (F.col("mark") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    found = rows.join(sized(wanted), same).select("text", "copy", "component")
+    return found.mapInArrow(run, "id binary, component binary, size long, elements binary").dropDuplicates(["id"])
 
 
 def verified(cells: DataFrame, threshold: float) -> DataFrame:
@@ -236,7 +258,7 @@ def verified(cells: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_cells(batches):
             rows = rows.combine_chunks()
-            ids = rows.column("id").to_numpy()
+            ids = rows.column("id").combine_chunks()
             found, counts = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
             for i, j in similar_rows(rows, threshold):
                 counts += np.bincount(i, minlength=len(ids))
@@ -244,63 +266,81 @@ def verified(cells: DataFrame, threshold: float) -> DataFrame:
             linked = np.flatnonzero(counts)
             if len(linked):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[linked]), pa.array(counts[linked]), pa.array(ids[found[linked]])],
+                    [ids.take(linked), pa.array(counts[linked]), ids.take(found[linked])],
                     names=["id", "n", "root"],
                 )
 
     spark = cells.sparkSession
     dealt = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "id long, n long, root long")
+    return dealt.mapInArrow(run, "id binary, n long, root binary")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One line per row of docs: doc_id, copy_id, class_id, n_copies and n_links.
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text); mark: hash of the text."""
+    return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
-    copy_id: the smallest id with the same words. n_copies: rows with them. n_links: different texts
-    of at least the threshold's similarity. class_id: the smallest copy_id that links lead to.
-    Null and empty texts are copies of each other, without links. A null id counts as the smallest
-    long. Ids name documents: a repeated row gives a line of its own with the same result.
+
+def classified(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Texts (doc_id, mark, copy), and what holds of each copy.
+
+    rows: (doc_id, mark, text). The second table: c (the copy), copy_id, class_id, n_copies, n_links, and
+    stays, the row (no_id, doc_id, mark) that stands for the class: that of the smallest id, null last.
     """
-    rows = id_and_text(docs)
     texts = durable(signed_texts(rows))
-    copies = durable(
-        texts.groupBy("copy").agg(F.min("key").alias("first"), F.count("*").alias("n_copies"))
-    )
-    firsts = copies.select(F.col("copy").alias("c"), "first")
-    representatives = durable(
-        texts.join(firsts, (F.col("copy") == F.col("c")) & (F.col("key") == F.col("first")), "left_semi")
-        .dropDuplicates(["key"])
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    copies = durable(texts.groupBy("copy").agg(F.min(place).alias("first"), F.count("*").alias("n_copies")))
+    distinct = durable(texts.where("size > 0").select("copy", "signature").dropDuplicates(["copy"]))
+    components = durable(connected_components(candidate_links(distinct, threshold)))
+    wanted = durable(
+        copies.join(components, F.col("copy") == F.col("node"))
+        .select(F.col("first.doc_id").alias("d"), F.col("first.mark").alias("m"), "copy", "component")
     )
-    components = durable(connected_components(candidate_links(representatives, threshold)))
-    sets = durable(shingle_sets(rows, components.select(F.col("node").alias("wanted"))))
-    members = components.join(sets.select("id", "size"), F.col("node") == F.col("id")).select("id", "component", "size", F.lit(False).alias("core"))
-    found = durable(verified(cells_of(members, sets.select("id", "rank", "elements")), threshold))
+    sets = durable(shingle_sets(rows, wanted))
+    members = sets.select("id", "component", "size", F.lit(False).alias("core"))
+    found = durable(verified(cells_of(members, sets.select("id", F.lit(0).alias("rank"), "elements")), threshold))
     links = found.groupBy(F.col("id").alias("linked")).agg(F.sum("n").alias("n_links"))
-    classes = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    classes = durable(connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    placed = copies.join(classes, F.col("copy") == F.col("node"), "left").select(
+        F.col("copy").alias("c"), "first", "n_copies", "component"
+    )
+    firsts = placed.where("component IS NOT NULL").groupBy(F.col("component").alias("of")).agg(F.min("first").alias("stays"))
     of_copy = (
-        copies.join(links, F.col("first") == F.col("linked"), "left")
-        .join(classes, F.col("first") == F.col("node"), "left")
+        placed.join(firsts, F.col("component") == F.col("of"), "left")
+        .join(links, F.col("c") == F.col("linked"), "left")
         .select(
-            F.col("copy").alias("c"), F.col("first").alias("copy_id"),
-            F.coalesce("component", "first").alias("class_id"), "n_copies",
+            "c", F.col("first.doc_id").alias("copy_id"), F.coalesce("stays", "first").alias("stays"), "n_copies",
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
+        .withColumn("class_id", F.col("stays.doc_id"))
     )
-    joined = texts.select("key", "copy").join(of_copy, F.col("copy") == F.col("c"))
-    return joined.select(
-        F.when(F.col("key") != FIRST_KEY, F.col("key")).alias("doc_id"), "copy_id", "class_id", "n_copies", "n_links"
-    )
+    return texts.select("doc_id", "mark", "copy"), of_copy
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One line per row of docs: doc_id, copy_id, class_id, n_copies and n_links.
+
+    copy_id: the smallest id with the same words. n_copies: rows with them. n_links: different texts
+    of at least the threshold's similarity. class_id: the smallest copy_id that links lead to.
+    Null and empty texts are copies of each other, without links. Rows that repeat an id with another text
+    are rows of their own. A null id is never the smallest: where there is no other, copy_id or class_id is null.
+    """
+    texts, of_copy = classified(marked(docs), threshold)
+    return texts.join(of_copy, F.col("copy") == F.col("c")).select("doc_id", "copy_id", "class_id", "n_copies", "n_links")
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose id is the class id of their near-duplicate class.
+    """The rows of docs, all columns, that stand for their near-duplicate class.
 
-    So the document with the smallest id of each class stays, and of rows with one id all do.
+    That is the text with the smallest id of the class (null last; of several texts under that id the one
+    with the smallest hash). Rows that repeat this id and text all stay, other texts under the id go by
+    their own class.
     """
-    classes = near_duplicate_classes(docs, threshold)
+    texts, of_copy = classified(marked(docs), threshold)
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("mark") == F.col("stays.mark"))
     gone = durable(
-        classes.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("near_duplicate"), "class_id")
-        .where("near_duplicate <> class_id").select("near_duplicate").distinct()
+        texts.join(of_copy, F.col("copy") == F.col("c")).where(~stays)
+        .select(F.struct("doc_id", "mark").alias("near_duplicate")).distinct()
     )
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST_KEY))
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), mark.alias("mark"))
     return docs.join(sized(gone), key == gone["near_duplicate"], "left_anti")

@@ -91,6 +91,32 @@ def test_hot_group_is_whole(frame):
     assert found == brute(rows) and {v[1] for v in found.values()} == {0}
 
 
+def brute_rows(rows):
+    """One line per row, documents told apart by their texts: rows get numbers of their own for ``brute``."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    numbered = [(n, rows[k][1]) for n, k in enumerate(order)]
+    found, ids = brute(numbered), {n: rows[k][0] for n, k in enumerate(order)}
+    return sorted(((ids[n], ids[c], ids[g], copies, links) for n, (c, g, copies, links) in found.items()), key=repr)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_repeated_and_null_ids_lose_nothing(frame, partitions):
+    rng = random.Random(11)
+    text = lambda: [rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(80)]
+    one, two, three = text(), text(), text()
+    near = lambda words: " ".join([*words[:40], "changed", *words[41:]])
+    rows = [
+        (1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (1, " ".join(one)),
+        (None, " ".join(three)), (None, near(three)), (None, "something else"), (9, "Something, else!"), (-(2**63), "alone here"),
+        (None, "alone there"),
+    ]
+    found = near_duplicate_classes(frame(rows).repartition(partitions))
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_rows(rows)
+    kept = {tuple(r) for r in one_of_each_class(frame(rows).repartition(partitions)).collect()}
+    assert kept >= {rows[0], rows[1], (9, "Something, else!"), (-(2**63), "alone here"), (None, "alone there")}
+    assert len(kept) == 6 and len([text for key, text in kept if key is None]) == 2
+
+
 def test_odd_rows(frame, odd_rows):
     found = near_duplicate_classes(frame(odd_rows)).collect()
     assert len(found) == len(odd_rows)
