@@ -17,7 +17,7 @@ from priorline.llm.decontamination import without_leaks
 from priorline.llm.lines import without_repeated_lines
 from priorline.llm.near_duplicates import one_of_each_class
 from priorline.llm.quality import fit_model, select
-from priorline.sources.durable import durable
+from priorline.sources.durable import durable, scratch_tables
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class."""
+    """One document of each near-duplicate class, that with the smallest id."""
     return one_of_each_class(docs)
 
 
@@ -63,7 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        # A stage's own tables go once its result is written.
+        with scratch_tables(spark):
+            docs = durable(stage(spark, docs, sf_dir), outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
