@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-A text becomes a sequence of template tokens: lower-cased words, and typed placeholders for numbers,
-names (a capitalised word inside a sentence) and units (after a number). Windows of template tokens of
-all documents are hash-joined with those of the benchmark, so a question matches although its numbers
-and names were replaced. Matches are grouped by alignment into occurrences. A document leaks an item if an
-occurrence holds enough of the item's windows and its slots are consistent: within the matched windows
-each value of the item stands for one value of the document.
+A text becomes a sequence of template tokens: lower-cased words, and typed placeholders for numbers (in
+digits or words), names (a capitalised word inside a sentence) and units (after a number). Any other
+capitalised word, as at the beginning of a sentence, may be a word or a name, so a window with some has two
+readings: all of them as words, and all as names. Windows of template tokens of all documents are
+hash-joined with those of the benchmark, so a question matches although its numbers and names were
+replaced. An item shorter than a window is a window by itself. Matches are grouped by alignment into
+occurrences. A document leaks an item if an occurrence holds enough of the item's windows and its slots are
+consistent: within the matched windows each value of the item stands for one value of the document.
 
 The windows of a document are made and joined in one stage; only matches are shuffled. The benchmark's
 windows are broadcast if a count shows that they are few, and joined by their hash otherwise.
@@ -30,19 +32,35 @@ UNITS = (
     "mb", "meters", "mg", "mhz", "miles", "minutes", "ml", "mm", "months", "mph", "ms", "ounces", "oz", "percent",
     "pounds", "seconds", "tb", "tons", "v", "volts", "w", "watts", "weeks", "yards", "years",
 )
-#: Marks around a slot's value; these two private code points are taken out of texts.
-OPEN, CLOSE = "\ue000", "\ue001"
+# Number words and what they stand for, in natural order.
+NUMBER_WORDS = dict(
+    zero=0, one=1, two=2, three=3, four=4, five=5, six=6, seven=7, eight=8, nine=9, ten=10, eleven=11, twelve=12,
+    thirteen=13, fourteen=14, fifteen=15, sixteen=16, seventeen=17, eighteen=18, nineteen=19, twenty=20, thirty=30,
+    forty=40, fifty=50, sixty=60, seventy=70, eighty=80, ninety=90, hundred=100, thousand=1000, million=1_000_000,
+)
+#: Marks around a slot's value, and before a word that may be a name; these private code points are taken out of texts.
+OPEN, CLOSE, MAYBE = "\ue000", "\ue001", "\ue002"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-UNIT = r"(?<=\p{Nd} ?)(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{Nd}])"
-NAME = r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}[\p{L}\p{M}]*"
-TOKEN = rf"{OPEN}[^{CLOSE}]*{CLOSE}|[\p{{L}}\p{{M}}\p{{Nd}}]+"
+NUMBER_WORD = "(?:" + "|".join(NUMBER_WORDS) + ")"
+#: A run of number words, such as twenty-five or three hundred.
+SPELLED = rf"(?i)(?<![\p{{L}}\p{{M}}\p{{Nd}}]){NUMBER_WORD}(?:[ -]{NUMBER_WORD})*(?![\p{{L}}\p{{M}}\p{{Nd}}])"
+UNIT = rf"(?<=[\p{{Nd}}{CLOSE}] ?)(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{Nd}])"
+NAME = rf"(?<=[\p{{Ll}}\p{{Nd}},;{CLOSE}] )\p{{Lu}}[\p{{L}}\p{{M}}]*"
+CAPITAL = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}{OPEN}])\p{{Lu}}[\p{{L}}\p{{M}}]*"
+TOKEN = rf"[{OPEN}{MAYBE}][^{CLOSE}]*{CLOSE}|[\p{{L}}\p{{M}}\p{{Nd}}]+"
+
 
+def raw_tokens(text: Column, both: bool = False) -> Column:
+    """Lower-cased tokens of a text; slots keep their value between the marks.
 
-def raw_tokens(text: Column) -> Column:
-    """Lower-cased tokens of a text; slots keep their value between the marks."""
-    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
-    plain = F.when(marked, F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
-    slotted = F.regexp_replace(plain, f"{NAME}|{NUMBER}|{UNIT}", f"{OPEN}$0{CLOSE}")
+    both: words that may be names are marked as well.
+    """
+    marked = text.rlike(f"[{OPEN}{CLOSE}{MAYBE}]")
+    plain = F.when(marked, F.translate(text, OPEN + CLOSE + MAYBE, "   ")).otherwise(text)
+    spelled = F.regexp_replace(plain, SPELLED, f"{OPEN}$0{CLOSE}")
+    slotted = F.regexp_replace(spelled, f"{NAME}|{NUMBER}|{UNIT}", f"{OPEN}$0{CLOSE}")
+    if both:
+        slotted = F.regexp_replace(slotted, CAPITAL, f"{MAYBE}$0{CLOSE}")
     return F.regexp_extract_all(F.lower(slotted), F.lit(TOKEN), F.lit(0))
 
 
@@ -50,46 +68,77 @@ def is_slot(token: Column) -> Column:
     return F.startswith(token, F.lit(OPEN))
 
 
+def may_be_name(token: Column) -> Column:
+    return F.startswith(token, F.lit(MAYBE))
+
+
+def value_of(token: Column) -> Column:
+    """A token without marks."""
+    return F.translate(token, OPEN + CLOSE + MAYBE, "")
+
+
 def slot_type(token: Column) -> Column:
     value = F.substring(token, 2, 64)
     unit = F.array_contains(F.array(*[F.lit(u + CLOSE) for u in UNITS]), value)
-    return F.when(value.rlike(r"^\p{Nd}"), f"{OPEN}number").when(unit, f"{OPEN}unit").otherwise(f"{OPEN}name")
+    number = value.rlike(rf"^\p{{Nd}}|^{NUMBER_WORD}[ -{CLOSE}]")
+    return F.when(number, f"{OPEN}number").when(unit, f"{OPEN}unit").otherwise(f"{OPEN}name")
 
 
-def templates(tokens: Column) -> Column:
-    """Hash of each token's template: the type of a slot, a word itself."""
-    return F.transform(tokens, lambda t: F.xxhash64(F.when(is_slot(t), slot_type(t)).otherwise(t)))
+def templates(tokens: Column, names: bool = False) -> Column:
+    """Hash of each token's template: the type of a slot, a word itself; words that may be names are, if asked for."""
+    may = F.lit(f"{OPEN}name") if names else None
 
+    def of_token(token: Column) -> Column:
+        word = may if names else F.substring(token, 2, 2**31 - 1)
+        read = F.when(is_slot(token), slot_type(token)).when(
+            may_be_name(token), word if names else F.regexp_replace(word, CLOSE, "")
+        )
+        return F.xxhash64(read.otherwise(token))
 
-def window_hashes(templates_column: str, window: int) -> Column:
-    """Hash of each window of template tokens; none for shorter texts."""
-    count = F.size(templates_column) - window + 1
-    starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(templates_column, i, window)))
-    return F.when(count > 0, hashed).otherwise(F.array().cast("array<long>"))
+    return F.transform(tokens, of_token)
 
 
-def windows(rows: DataFrame, keys: tuple[str, ...], place: str, window: int) -> DataFrame:
-    """(keys, place, window hash) for each window of rows (keys, text)."""
-    return (
-        rows.select(*keys, templates(raw_tokens(F.col("text"))).alias("templates"))
-        .select(*keys, F.posexplode(window_hashes("templates", window)).alias(place, "window"))
+def window_hashes(size: int) -> Column:
+    """Structs (place, word, name): the hashes of each window's two readings; none for shorter texts."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
+    hashed = F.transform(
+        starts,
+        lambda i: F.struct(
+            (i - 1).alias("place"), F.xxhash64(F.slice("words", i, size)).alias("word"), F.xxhash64(F.slice("names", i, size)).alias("name")
+        ),
+    )
+    return F.when(F.size("words") >= size, hashed).otherwise(
+        F.array().cast("array<struct<place:int,word:long,name:long>>")
+    )
+
+
+def windows(rows: DataFrame, keys: tuple[str, ...], place: str, sizes: list[int]) -> DataFrame:
+    """(keys, place, window hash) for each window, of any of the sizes, of rows (keys, text).
+
+    A window whose readings as words and as names differ has a row for each.
+    """
+    tokens = rows.select(*keys, raw_tokens(F.col("text"), both=True).alias("tokens"))
+    read = tokens.select(*keys, templates(F.col("tokens")).alias("words"), templates(F.col("tokens"), True).alias("names"))
+    found = read.select(*keys, F.explode(F.concat(*[window_hashes(size) for size in sizes])).alias("found"))
+    readings = F.when(F.col("found.word") == F.col("found.name"), F.array("found.word")).otherwise(
+        F.array("found.word", "found.name")
     )
+    return found.select(*keys, F.col("found.place").alias(place), F.explode(readings).alias("window"))
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item, item_place, window hash) for each window of items (item, text).
+    """(item, item_place, window hash) for each window of items (item, text); a shorter item is one window.
 
-    What stands before an item in a document can make its first word a name or a unit there, so the
-    first window has a second hash for that.
+    What stands before an item in a document can make its first word a unit there, or the first of two
+    names, so the first window has a second hash for that.
     """
-    tokens = raw_tokens(F.col("text"))
+    tokens = raw_tokens(F.col("text"), both=True)
     first = F.element_at("tokens", 1)
     unit = F.array_contains(F.array(*[F.lit(u) for u in UNITS]), first)
-    slot = F.when(F.col("capital"), f"{OPEN}name").when(unit, f"{OPEN}unit")
+    slot = F.when(may_be_name(first), f"{OPEN}name").when(unit, f"{OPEN}unit")
+    sized_items = items.select("item", "text", F.least(F.size(tokens), F.lit(window)).alias("length")).where("length > 0")
     began = (
-        items.select("item", tokens.alias("tokens"), F.col("text").rlike(r"^[^\p{L}\p{M}\p{Nd}]*\p{Lu}").alias("capital"))
-        .where(F.size("tokens") >= window)
+        items.select("item", tokens.alias("tokens")).where(F.size("tokens") > 0)
         .select("item", slot.alias("slot"), F.slice(templates(F.col("tokens")), 2, window - 1).alias("rest"))
         .where("slot IS NOT NULL")
         .select(
@@ -97,7 +146,16 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
             F.xxhash64(F.concat(F.array(F.xxhash64("slot")), F.col("rest"))).alias("window"),
         )
     )
-    return windows(items, ("item",), "item_place", window).unionByName(began)
+    found = began
+    for length in range(1, window + 1):
+        found = found.unionByName(windows(sized_items.where(F.col("length") == length), ("item",), "item_place", [length]))
+    return found.distinct()
+
+
+def window_sizes(items: DataFrame, window: int) -> list[int]:
+    """The window, and the lengths of the items that are shorter: at most ``window`` numbers."""
+    lengths = items.select(F.size(raw_tokens(F.col("text"), both=True)).alias("length")).where(f"length BETWEEN 1 AND {window - 1}")
+    return sorted({window, *(row.length for row in lengths.distinct().collect())})
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -111,10 +169,10 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 PAIR = ("doc_id", "text_key", "item")
 
 
-def aligned_runs(rows: DataFrame, known: DataFrame, window: int) -> DataFrame:
+def aligned_runs(rows: DataFrame, known: DataFrame, sizes: list[int]) -> DataFrame:
     """(pair, shift, places): the item's windows that a text holds, each ``shift`` places further on."""
     keys = ("doc_id", "text_key")
-    found = windows(rows, keys, "doc_place", window).withColumnRenamed("window", "seen")
+    found = windows(rows, keys, "doc_place", sizes).withColumnRenamed("window", "seen")
     hits = found.join(sized(known), F.col("seen") == F.col("window"))
     return hits.groupBy(*PAIR, (F.col("doc_place") - F.col("item_place")).alias("shift")).agg(
         F.collect_set("item_place").alias("places")
@@ -139,7 +197,7 @@ def occurrences(runs: DataFrame, covered: DataFrame, least_covered: float) -> Da
     place of each window, where parts of the item stand apart or in another order.
     """
     wanted = covered.select(*[F.col(c).alias(f"c_{c}") for c in PAIR], "n_windows")
-    same = [F.col(c) == F.col(f"c_{c}") for c in PAIR]
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in PAIR]
     of_pairs = runs.join(wanted, same).select(*PAIR, "n_windows", "shift", "places")
     match = F.struct("item_place", "doc_place")
     single = of_pairs.select(
@@ -175,10 +233,19 @@ def occurrences(runs: DataFrame, covered: DataFrame, least_covered: float) -> Da
     )
 
 
+def canonical(value: Column) -> Column:
+    """Number words below a hundred in digits, other values as they are."""
+    known = F.create_map(*[F.lit(x) for word, n in NUMBER_WORDS.items() if n < 100 for x in (word, n)])
+    numbers = F.transform(F.split(value, "[ -]"), lambda word: F.element_at(known, word))
+    total = F.aggregate(numbers, F.lit(0), lambda sum, n: sum + n)
+    tens = (F.size(numbers) == 1) | (F.size(numbers) == 2) & (F.get(numbers, F.lit(0)) >= 20) & (F.get(numbers, F.lit(1)) < 10)
+    return F.when(total.isNotNull() & tens, total.cast("string")).otherwise(value)
+
+
 def slot_pairs(window: int) -> Column:
-    """Distinct (item value, document value) of the slots in the matched windows."""
+    """Distinct (item value, document value, slot) of the slots and possible names in the matched windows."""
     def of_match(match: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.lit(window))
+        steps = F.sequence(F.lit(1), F.least(F.lit(window), F.size("item_tokens")))
         return F.transform(
             steps,
             lambda k: F.struct(
@@ -188,7 +255,14 @@ def slot_pairs(window: int) -> Column:
         )
 
     pairs = F.flatten(F.transform("matches", of_match))
-    return F.array_distinct(F.filter(pairs, lambda p: is_slot(p["item"])))
+    slots = F.array_distinct(F.filter(pairs, lambda p: is_slot(p["item"]) | may_be_name(p["item"])))
+
+    def described(p: Column) -> Column:
+        item, doc = canonical(value_of(p["item"])), canonical(value_of(p["doc"]))
+        return F.struct(item.alias("item"), doc.alias("doc"), (is_slot(p["item"]) | (item != doc)).alias("slot"))
+
+    # A word that stands for itself, because it may be a name, counts for consistency but is no slot.
+    return F.array_distinct(F.transform(slots, described))
 
 
 def leaks(
@@ -196,41 +270,57 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, n_slots) for each document and item that it leaks.
 
-    Null and empty texts, null ids and items shorter than a window leak nothing. Of rows with one id
-    each text is looked at by itself. A document and an item have one line: that of the occurrence
-    with the most windows.
+    Null and empty texts leak nothing, nor does an item without words. Of rows with one id, null included,
+    each text is looked at by itself. A document and an item have one line: that of the occurrence with
+    the most windows; null-id texts have one for each of them.
+    """
+    return leaking_texts(docs, benchmark, window, least_covered).groupBy(
+        "doc_id", "item_id", F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("text_key")
+    ).agg(F.max("most").alias("most")).select("doc_id", "item_id", "most.*")
+
+
+def leaking_texts(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_covered: float = LEAST_COVERED
+) -> DataFrame:
+    """(doc_id, text_key, item_id, most) for each text, by id and hash, and item that it leaks.
+
+    most: struct (n_matched, n_windows, n_slots).
     """
-    rows = id_and_text(docs).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     items = benchmark_items(benchmark).select("item_id", F.xxhash64("text").alias("item"), "text")
     texts = items.select("item", "text").distinct()
     known = durable(item_windows(texts, window))
     sizes = known.groupBy(F.col("item").alias("sized_item")).agg(F.countDistinct("item_place").alias("n_windows"))
-    runs = durable(aligned_runs(rows, known, window))
+    runs = durable(aligned_runs(rows, known, window_sizes(texts, window)))
     covered = durable(covered_pairs(runs, sizes, least_covered))
     found = durable(occurrences(runs, covered, least_covered))
+    same = F.col("doc_id").eqNullSafe(F.col("leaking")) & (F.col("text_key") == F.col("leaking_text"))
     holding = durable(found.select(F.col("doc_id").alias("leaking"), F.col("text_key").alias("leaking_text")).distinct())
-    doc_tokens = rows.join(
-        sized(holding), (F.col("doc_id") == F.col("leaking")) & (F.col("text_key") == F.col("leaking_text"))
-    ).select("leaking", "leaking_text", raw_tokens(F.col("text")).alias("doc_tokens"))
-    item_tokens = texts.select(F.col("item").alias("known"), raw_tokens(F.col("text")).alias("item_tokens"))
+    doc_tokens = rows.join(sized(holding), same).select(
+        "leaking", "leaking_text", raw_tokens(F.col("text"), both=True).alias("doc_tokens")
+    )
+    item_tokens = texts.select(F.col("item").alias("known"), raw_tokens(F.col("text"), both=True).alias("item_tokens"))
     checked = (
-        found.join(doc_tokens, (F.col("doc_id") == F.col("leaking")) & (F.col("text_key") == F.col("leaking_text")))
+        found.join(doc_tokens, same)
         .join(item_tokens, F.col("item") == F.col("known"))
-        .select("doc_id", "item", F.size("matches").alias("n_matched"), "n_windows", slot_pairs(window).alias("slots"))
+        .select("doc_id", "text_key", "item", F.size("matches").alias("n_matched"), "n_windows", slot_pairs(window).alias("slots"))
     )
     # A value of the item stands for one value of the text; two of them may stand for the same.
-    consistent = F.size("slots") == F.size(F.array_distinct(F.col("slots.item")))
+    consistent = F.size(F.array_distinct("slots.item")) == F.size(
+        F.array_distinct(F.transform("slots", lambda p: F.struct(p["item"], p["doc"])))
+    )
+    n_slots = F.size(F.filter("slots", lambda p: p["slot"])).alias("n_slots")
     most = (
-        checked.where(consistent).groupBy("doc_id", "item")
-        .agg(F.max(F.struct("n_matched", "n_windows", F.size("slots").alias("n_slots"))).alias("most"))
+        checked.where(consistent).groupBy("doc_id", "text_key", "item")
+        .agg(F.max(F.struct("n_matched", "n_windows", n_slots)).alias("most"))
     )
     ids = items.select("item_id", F.col("item").alias("known"))
-    return most.join(ids, F.col("item") == F.col("known")).groupBy("doc_id", "item_id").agg(
-        F.max("most").alias("most")
-    ).select("doc_id", "item_id", "most.*")
+    return most.join(ids, F.col("item") == F.col("known")).select("doc_id", "text_key", "item_id", "most")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose id leaks no item; null ids stay."""
-    gone = durable(leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct())
-    return docs.join(sized(gone), docs["doc_id"].cast("long") == gone["leaking_id"], "left_anti")
+    """The rows of docs, all columns, whose text leaks no item; other texts under the same id stay."""
+    gone = durable(leaking_texts(docs, benchmark).select(F.struct("doc_id", "text_key").alias("leaking")).distinct())
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), mark.alias("text_key"))
+    return docs.join(sized(gone), key == gone["leaking"], "left_anti")

@@ -33,10 +33,11 @@ def test_reparameterised_questions(frame):
         (15, None), (16, ""), (None, QUESTIONS[0][1]), (10, f"Some words before. {QUESTIONS[0][1]} And after."),
     ]
     found = leaks(frame(docs), frame(QUESTIONS, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in found) == [(10, 1), (11, 1), (13, 2)]
+    # A null-id text is a document, too.
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 1), (10, 1), (11, 1), (13, 2)]
     kept = without_leaks(frame([(*d, 1) for d in docs], "doc_id long, text string, item_id int"), frame(QUESTIONS, "item_id long, text string"))
     assert kept.columns == ["doc_id", "text", "item_id"]
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 12, 14, 15, 16]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [12, 14, 15, 16]
 
 
 def brute_tokens(text):
@@ -79,6 +80,38 @@ def test_against_brute_force(frame):
     assert found <= want and len(want) > 30 and len(found) > 0.8 * len(want)
 
 
+def test_names_that_begin_sentences_and_number_words(frame):
+    items = [
+        (1, "Tom has 3 apples. Sara has 5 pears. How many do they have?"), (2, "A box weighs twelve kg and holds 25 books."),
+        (3, "Yes indeed"), (4, "Ωmega"), (5, "?!"),
+    ]
+    docs = [
+        (1, "Anna has 7 apples. Mary has 9 pears. How many do they have?"),
+        (2, "so tom has three apples. Sara has 5 pears. How many do they have?"),
+        # Sara becomes Tom as well, which is allowed; Tom becomes two people, which is not.
+        (3, "Tom has 3 apples. Tom has 5 pears. How many do they have?"), (4, items[0][1].replace("How", "Then Tom asks. How")),
+        (5, "A box weighs 9 kg and holds thirty books."), (6, "A box weighs 12 kg and holds twenty-five books."),
+        (7, "Well. Yes indeed, that is so."), (8, "yes, no, indeed"), (9, "Alpha and Ωmega"), (None, items[0][1]), (10, "?!"),
+    ]
+    found = {(r.doc_id, r.item_id): r for r in leaks(frame(docs), frame(items, "item_id long, text string")).collect()}
+    assert {k for k in found if k[1] < 4} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 3), (None, 1)}
+    assert (9, 4) in found and not [k for k in found if k[1] == 5 or k[0] == 10]
+    assert found[1, 1].n_matched == found[1, 1].n_windows == 9 and found[1, 1].n_slots == 4
+
+
+def test_texts_under_one_id_are_told_apart(frame):
+    whole = QUESTIONS[0][1]
+    docs = [(7, f"so {whole}"), (7, "a quite different text"), (None, whole), (None, "another text"), (8, None), (7, f"so {whole}")]
+    bench = frame(QUESTIONS, "item_id long, text string")
+    kept = without_leaks(frame(docs), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([docs[1], docs[3], docs[4]], key=repr)
+
+
+def test_long_text(frame):
+    text = "word " * 200_000 + QUESTIONS[1][1] + " Word." * 100_000
+    assert [(r.doc_id, r.item_id) for r in leaks(frame([(1, text)]), frame(QUESTIONS, "item_id long, text string")).collect()] == [(1, 2)]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "x y")]])
 def test_empty_tables(frame, rows):
     assert leaks(frame(rows), frame([], "item_id long, text string")).count() == 0
