@@ -363,7 +363,10 @@ def later_digests(sets: DataFrame, threshold: float) -> DataFrame:
     The hub is a component's earliest: what matches it is settled by one join. The others have to be
     compared with each other and with the settled ones, which may be earlier as well.
     """
-    hubs = sets.where("hub").select(F.col("component").alias("of"), F.col("elements").alias("hub_elements")).dropDuplicates(["of"])
+    # Written, so that the join with it has a shuffle of its own and is split at a large component.
+    hubs = durable(
+        sets.where("hub").select(F.col("component").alias("of"), F.col("elements").alias("hub_elements")).dropDuplicates(["of"])
+    )
     others = sets.where("NOT hub").join(hubs, F.col("component") == F.col("of"))
     judged = durable(near_hub(others, threshold, "d0 long, d1 long, component long, size int")).distinct()
     id_of = F.struct("d0", "d1").alias("id")
@@ -378,14 +381,17 @@ def documents_of(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, line, removed) of every countable line of rows (doc_id, mark, text); key: struct of id and mark.
+def removed_lines(
+    rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS
+) -> tuple[DataFrame, DataFrame]:
+    """The places (key, line) of all countable lines of rows (doc_id, mark, text), and those of the removed ones.
 
-    A place has a row for each row of docs that has it.
+    key: struct of id and mark. A place has a row for each row of docs that has it, a removed one has one row.
     """
     counted = durable(lines_and_counts(rows, min_words))
-    lines = counted.where("block IS NULL").select("d0", "d1", F.struct("doc_id", "mark", "line").alias("place"))
-    firsts = lines.groupBy("d0", "d1").agg(F.min("place").alias("place"))
+    place = F.struct("doc_id", "mark", "line").alias("place")
+    lines = counted.where("block IS NULL").select("d0", "d1", place)
+    firsts = durable(lines.groupBy("d0", "d1").agg(F.min("place").alias("place"), F.count("*").alias("n")))
     links = candidate_links(prefix_index(rows, rarity_table(counted), threshold, min_words), threshold)
     components = durable(connected_components(links))
     candidates = durable(
@@ -399,21 +405,34 @@ def line_verdicts(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
     )
     sets = durable(token_sets(rows, sized(wanted), min_words))
     later = later_digests(sets, threshold).select(F.col("d0").alias("m0"), F.col("d1").alias("m1"))
-    kept = firsts.join(later, (F.col("d0") == F.col("m0")) & (F.col("d1") == F.col("m1")), "left_anti").select(
-        F.col("place").alias("stays")
-    ).distinct()
-    return lines.select("place").join(kept, F.col("place") == F.col("stays"), "left").select(
-        F.struct("place.doc_id", "place.mark").alias("key"), F.col("place.line").alias("line"),
-        F.col("stays").isNull().alias("removed"),
+    # Only digests that occur again or match an earlier one remove lines; the others are not joined.
+    removing = durable(
+        firsts.join(later, (F.col("d0") == F.col("m0")) & (F.col("d1") == F.col("m1")), "left")
+        .where("n > 1 OR m0 IS NOT NULL")
+        .select(F.col("d0").alias("r0"), F.col("d1").alias("r1"), F.when(F.col("m0").isNull(), F.col("place")).alias("stays"))
+    )
+    gone = lines.join(sized(removing), (F.col("d0") == F.col("r0")) & (F.col("d1") == F.col("r1"))).where(
+        F.col("stays").isNull() | (F.col("place") != F.col("stays"))
+    )
+    at = (F.struct("place.doc_id", "place.mark").alias("key"), F.col("place.line").alias("line"))
+    return lines.select(*at), gone.select(*at).distinct()
+
+
+def per_document(removed: DataFrame) -> DataFrame:
+    """(key, n_removed, gone: sorted line numbers) of the documents that lose lines."""
+    return removed.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("gone")).withColumn(
+        "n_removed", F.size("gone").cast("long")
     )
 
 
-def per_document(verdicts: DataFrame) -> DataFrame:
-    """(key, n_countable, n_removed, removed: sorted line numbers) of documents with countable lines."""
-    return verdicts.groupBy("key").agg(
-        F.size(F.collect_set("line")).alias("n_countable"),
-        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("gone"),
-    ).withColumn("n_removed", F.size("gone").cast("long"))
+def emptied_documents(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, gone) of the documents among found (key, n_removed, gone) all of whose countable lines went."""
+    losing = found.select(F.col("key").alias("losing"), "n_removed", "gone")
+    countable = lines.join(losing.select("losing"), F.col("key") == F.col("losing"), "left_semi").distinct()
+    counts = countable.groupBy(F.col("key").alias("counted")).agg(F.count("*").alias("n_countable"))
+    return counts.join(losing, F.col("counted") == F.col("losing")).where("n_countable = n_removed").select(
+        F.col("counted").alias("key"), "gone"
+    )
 
 
 def dedup_lines(
@@ -425,7 +444,7 @@ def dedup_lines(
     texts under one id, null included, are documents of their own, the one with the smaller hash first.
     """
     rows = documents_of(docs)
-    found = per_document(line_verdicts(rows, threshold, min_words))
+    found = per_document(removed_lines(rows, threshold, min_words)[1])
     # Only the number of lines of a text is shuffled.
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     counts = rows.select(F.struct("doc_id", "mark").alias("own"), F.when(F.col("text") == "", 0).otherwise(breaks + 1).cast("long").alias("n_lines"))
@@ -472,13 +491,13 @@ def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_wo
     Documents are told apart as in ``dedup_lines``: a text loses its own lines only, whatever its id.
     """
     rows = documents_of(docs)
-    found = durable(per_document(line_verdicts(rows, threshold, min_words)).where("n_removed > 0"))
-    emptied = found.where("n_countable = n_removed").select("key", "gone")
-    own = durable(own_short_lines(rows, emptied))
-    found = found.join(own, F.col("key") == F.col("own"), "left").select(
-        F.struct(
-            F.col("key"), F.col("gone"), ((F.col("n_countable") == F.col("n_removed")) & F.col("own").isNull()).alias("all")
-        ).alias("line_dedup")
+    lines, removed = removed_lines(rows, threshold, min_words)
+    found = durable(per_document(removed))
+    emptied = durable(emptied_documents(lines, found))
+    own = own_short_lines(rows, emptied)
+    dropped = durable(emptied.join(own, F.col("key") == F.col("own"), "left_anti").select(F.col("key").alias("dropped")))
+    found = found.join(dropped, F.col("key") == F.col("dropped"), "left").select(
+        F.struct(F.col("key"), F.col("gone"), F.col("dropped").isNotNull().alias("all")).alias("line_dedup")
     )
     # The added column is a struct of its own, dropped at the end: no name of docs is in the way.
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
