@@ -4,7 +4,12 @@ For a row at time t and a grouping g, history is the set of rows with the same v
 a smaller timestamp (expanding), or also not older than t minus a horizon (rolling). Rows that
 share a timestamp never see each other.
 
-Plan of the default strategy, for any set of groupings at once:
+Plan of the default strategy, ``sliced``: rows are dealt once to equi-depth slices of time (see
+``slices``), in which each grouping is a plain window; carry rows bring in what lies before the slice. A
+rolling sum counts a row again, negatively, one horizon later; sums are whole numbers, so nothing is lost
+to cancellation.
+
+Plan of ``bucketed``, which serves a separate history table, for any set of groupings at once:
 
 1. ``GROUPING SETS`` sums the rows per grouping, key values and timestamp in one shuffle, with
    partial aggregation before it.
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from priorline.contract import HISTORY_FEATURES, ROLES, SEVERE_THRESHOLDS, Roles
 from priorline.functions.calendar import MICROS_PER_DAY, micros
 from priorline.operators.prefix import sums_before
+from priorline.operators.slices import SLICES_PER_PARTITION, carry_rows, cut_times, with_slices
 
 BUCKET_MICROS = MICROS_PER_DAY
 EXPANDING = ["v_sum", "v_part", "v_known", "v_rows"]
@@ -212,20 +218,123 @@ def _spread(tuples: DataFrame, groupings: Sequence[Grouping], keys: Sequence[str
     return tuples.select("at", *keys, F.explode(F.array(*lookups)).alias("key"))
 
 
-def _value(feature: Feature, scale: int) -> Column:
+def _value(feature: Feature, scale: int, prefix: str = "") -> Column:
+    def mean(kind: str) -> Column:
+        total, part, known = (F.col(f"{prefix}{kind}_{m}") for m in ("sum", "part", "known"))
+        return F.try_divide(total + part / F.lit(float(scale)), known)
+
     if feature.kind == "mean":
-        return F.try_divide(F.col("v_sum") + F.col("v_part") / F.lit(float(scale)), F.col("v_known"))
+        return mean("v")
     if feature.kind == "count":
-        return F.col("v_rows")
+        return F.col(f"{prefix}v_rows")
     if feature.kind == "rolling_mean":
-        return F.try_divide(F.col("w_sum") + F.col("w_part") / F.lit(float(scale)), F.col("w_known"))
+        return mean("w")
     if feature.kind == "rolling_count":
-        return F.col("w_rows")
+        return F.col(f"{prefix}w_rows")
     if feature.kind in ("rate_30", "rate_60"):
-        return F.try_divide(F.col(f"w_sev{feature.kind[-2:]}"), F.col("w_rows"))
+        return F.try_divide(F.col(f"{prefix}w_sev{feature.kind[-2:]}"), F.col(f"{prefix}w_rows"))
     raise ValueError(f"Unknown feature kind: {feature.kind}")
 
 
+#: What each kind of feature sums: expanding (v) or rolling (w).
+_SUMS = {
+    "mean": ("v_sum", "v_part", "v_known"), "count": ("v_rows",), "rolling_mean": ("w_sum", "w_part", "w_known"),
+    "rolling_count": ("w_rows",), "rate_30": ("w_sev30", "w_rows"), "rate_60": ("w_sev60", "w_rows"),
+}
+
+
+def _asked_and_past(rows: DataFrame, history: DataFrame | None, roles: Roles) -> DataFrame:
+    """Both tables as one, with _at, _asked (a row of ``rows``), and _past and _y where the row is history."""
+    both = rows.withColumn("_asked", F.lit(True))
+    if history is None:
+        both = both.withColumn("_y", F.col(roles.target)).withColumn("_past", F.lit(1))
+    else:
+        both = both.withColumns({"_y": F.lit(None).cast("double"), "_past": F.lit(None).cast("int")})
+        past = history.select(
+            *roles.categoricals, roles.ts, F.col(roles.target).alias("_y"),
+            F.lit(1).alias("_past"), F.lit(False).alias("_asked"),
+        )
+        both = both.unionByName(past, allowMissingColumns=True)
+    return both.withColumn("_at", micros(F.col(roles.ts)))
+
+
+def _with_undated(dated: DataFrame, both: DataFrame, columns: Sequence[str], features: Sequence[Feature]) -> DataFrame:
+    """Rows without a time have no history."""
+    kinds = {field.name: field.dataType for field in dated.schema}
+    empty = [F.lit(None).cast(kinds[f.name]).alias(f.name) for f in features]
+    return dated.union(both.where(F.col("_at").isNull() & F.col("_asked")).select(*columns, *empty))
+
+
+def _sliced(
+    rows: DataFrame, history: DataFrame | None, features: Sequence[Feature],
+    groupings: Sequence[Grouping], roles: Roles,
+) -> DataFrame:
+    scale, named = roles.value_scale, _role_columns(roles)
+    groupings = sorted(groupings, key=lambda g: g.horizon_days is None)  # rolling ones first
+    keys = {k: f"_k_{k}" for k in _keys_in_use(groupings)}
+    sums = {g.name: sorted({m for f in features if f.grouping == g.name for m in _SUMS[f.kind]}) for g in groupings}
+    measured = sorted({m[2:] for names in sums.values() for m in names})
+    both = _asked_and_past(rows, history, roles)
+    past, y = F.col("_past") == 1, F.col("_y")
+    measures = {
+        "sum": F.floor(y).cast("bigint"), "part": F.round((y - F.floor(y)) * scale).cast("bigint"),
+        "known": y.isNotNull().cast("bigint"), "rows": F.lit(1).cast("bigint"),
+        **{f"sev{t}": (y >= t).cast("bigint") for t in SEVERE_THRESHOLDS},
+    }
+    arriving = both.where(F.col("_at").isNotNull()).withColumns(
+        {column: named[k] for k, column in keys.items()}
+        | {f"_m_{m}": F.coalesce(F.when(past, measures[m]), F.lit(0)) for m in measured}
+        | {"_leaves": F.lit(None).cast("int")}
+    )
+    events = arriving
+    for days in sorted({g.horizon_days for g in groupings if g.horizon_days}):
+        leaving = arriving.where("_past = 1").select(
+            *keys.values(), (F.col("_at") + days * MICROS_PER_DAY).alias("_at"), F.lit(False).alias("_asked"),
+            *[F.negative(f"_m_{m}").alias(f"_m_{m}") for m in measured], F.lit(days).alias("_leaves"),
+        )
+        events = events.unionByName(leaving, allowMissingColumns=True)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_times(events, "_at", SLICES_PER_PARTITION * partitions)
+    placed = with_slices(events, "_at", cut)
+
+    def counted(grouping: Grouping, name: str) -> Column:
+        """What a row adds to a sum of a grouping."""
+        if name not in sums[grouping.name]:
+            return F.lit(0).cast("bigint")
+        counts = F.col("_leaves").isNull()
+        if name[0] == "w":
+            counts = counts | (F.col("_leaves") == grouping.horizon_days)
+        return F.when(counts, F.col(f"_m_{name[2:]}")).otherwise(0)
+
+    values = {m: [counted(g, m) for g in groupings] for m in sorted({m for names in sums.values() for m in names})}
+    narrow = placed.select("_slice", "_part", "_hot", "_leaves", *keys.values(), *[f"_m_{m}" for m in measured])
+    carries = carry_rows(narrow, "_at", cut, [[keys[k] for k in g.keys] for g in groupings], values)
+    # Rows at a hot second come in as carries; there they only ask.
+    own = placed.where("_asked OR NOT _hot").withColumns(
+        {f"_m_{m}": F.when(F.col("_hot"), 0).otherwise(F.col(f"_m_{m}")) for m in measured}
+    ).drop("_hot")
+    table = own.unionByName(carries, allowMissingColumns=True).repartition("_slice", "_part")
+    for number, grouping in enumerate(groupings):
+        if grouping.horizon_days is None and number and groupings[number - 1].horizon_days:
+            table = table.where("_leaves IS NULL")
+        window = (
+            Window.partitionBy("_slice", "_part", *[keys[k] for k in grouping.keys])
+            .orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+        )
+        carried = F.col("_carry") == number
+        table = table.withColumns(
+            {
+                f"_{grouping.name}_{m}": F.coalesce(
+                    F.sum(F.when(F.col("_carry").isNull(), counted(grouping, m)).when(carried, F.col(m))).over(window), F.lit(0)
+                )
+                for m in sums[grouping.name]
+            }
+        ).where(F.col("_carry").isNull() | ~carried)
+    outputs = {f.name: _value(f, scale, f"_{f.grouping}_") for f in features}
+    dated = table.where("_asked").withColumns(outputs).select(*rows.columns, *outputs)
+    return _with_undated(dated, both, rows.columns, features)
+
+
 def _bucketed(
     rows: DataFrame, history: DataFrame | None, features: Sequence[Feature],
     groupings: Sequence[Grouping], roles: Roles, width: int,
@@ -301,19 +410,8 @@ def _ranged(
     """Plain RANGE windows, one per grouping: simple, for inputs without dominant keys."""
     named = _role_columns(roles)
     columns = rows.columns
-    both = rows.withColumn("_asked", F.lit(True))
-    if history is None:
-        both = both.withColumn("_y", F.col(roles.target)).withColumn("_past", F.lit(1))
-    else:
-        both = both.withColumns({"_y": F.lit(None).cast("double"), "_past": F.lit(None).cast("int")})
-        past = history.select(
-            *roles.categoricals, roles.ts, F.col(roles.target).alias("_y"),
-            F.lit(1).alias("_past"), F.lit(False).alias("_asked"),
-        )
-        both = both.unionByName(past, allowMissingColumns=True)
-    both = both.withColumn("_at", micros(F.col(roles.ts)))
-    undated = both.where(F.col("_at").isNull() & F.col("_asked"))
-    both = both.where(F.col("_at").isNotNull())
+    everything = _asked_and_past(rows, history, roles)
+    both = everything.where(F.col("_at").isNotNull())
     shape = {g.name: g for g in groupings}
     outputs = {}
     for feature in features:
@@ -331,10 +429,7 @@ def _ranged(
             severe = F.coalesce((F.col("_y") >= int(feature.kind[-2:])).cast("int"), F.lit(0))
             outputs[feature.name] = F.avg(F.when(F.col("_past") == 1, severe)).over(window)
     dated = both.withColumns(outputs).where("_asked").select(*columns, *outputs)
-    # Rows without a time have no history: what the other strategy gives them, too.
-    kinds = {field.name: field.dataType for field in dated.schema}
-    empty = [F.lit(None).cast(kinds[f.name]).alias(f.name) for f in features]
-    return dated.union(undated.select(*columns, *empty))
+    return _with_undated(dated, everything, columns, features)
 
 
 def with_history(
@@ -343,15 +438,17 @@ def with_history(
     groupings: Sequence[Grouping] = tuple(GROUPINGS),
     roles: Roles = ROLES,
     history: DataFrame | None = None,
-    strategy: str = "bucketed",
+    strategy: str | None = None,
     bucket_micros: int = BUCKET_MICROS,
 ) -> DataFrame:
     """Add prior features to ``rows``, from themselves or from a separate ``history`` table.
 
     Means and rates are NULL without history, counts are 0; so they are for rows without a time.
-    Strategies: ``bucketed`` (default,
-    no task owns a key) and ``range`` (plain windows); both give the same values.
+    Strategies: ``sliced`` (windows in slices of time), ``bucketed`` (prefix sums in buckets of a day, the
+    history summed outside of those that are asked for) and ``range`` (plain windows, a task for each key);
+    all give the same values. By default sliced, and bucketed with a history table.
     """
+    strategy = strategy or ("sliced" if history is None else "bucketed")
     used = {f.grouping for f in features}
     groupings = [g for g in groupings if g.name in used]
     rolling = {f.grouping for f in features if f.kind.startswith(("rolling", "rate"))}
@@ -359,6 +456,8 @@ def with_history(
     groupings = [g if g.name in rolling else Grouping(g.name, g.keys) for g in groupings]
     if strategy == "range":
         table = _ranged(rows, history, features, groupings, roles)
+    elif strategy == "sliced":
+        table = _sliced(rows, history, features, groupings, roles)
     elif strategy == "bucketed":
         table = _bucketed(rows, history, features, groupings, roles, bucket_micros)
     else:
@@ -373,7 +472,7 @@ def add_history_features(
     rows: DataFrame,
     names: Sequence[str] = tuple(HISTORY_FEATURES),
     roles: Roles = ROLES,
-    strategy: str = "bucketed",
+    strategy: str | None = None,
 ) -> DataFrame:
     """The contract's prior features (all, or the listed ones) with the seven-day fallback."""
     features = pick_features(names)

@@ -25,7 +25,7 @@ def add_time_features(df: DataFrame) -> DataFrame:
 
 
 def build_modeling_table(
-    cleaned: DataFrame, max_delay: float = 240, roles: Roles = ROLES, strategy: str = "bucketed"
+    cleaned: DataFrame, max_delay: float = 240, roles: Roles = ROLES, strategy: str | None = None
 ) -> DataFrame:
     """Normalize, filter, add time features, history and the secondary target, in this order.
 

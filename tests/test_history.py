@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorline.contract import HISTORY_FEATURES
+from priorline.functions.calendar import micros
 from priorline.operators.history import add_history_features
 from priorline.operators.lookup import look_up_history
 from priorline.operators.prefix import sums_before
+from priorline.operators.slices import cut_times, with_slices
 from priorline.plans.modeling import add_split, build_modeling_table
 
 SCHEMA = "ts timestamp_ntz, mode string, route string, direction string, incident string, location string, min_delay double"
@@ -23,7 +25,7 @@ def by_time(df, *names):
     return [tuple(r) for r in df.orderBy("ts", "min_delay").select(*names).collect()]
 
 
-@pytest.mark.parametrize("strategy", ["bucketed", "range"])
+@pytest.mark.parametrize("strategy", ["sliced", "bucketed", "range"])
 def test_equal_timestamps_do_not_see_each_other(spark, strategy):
     df = incidents(
         spark,
@@ -35,7 +37,7 @@ def test_equal_timestamps_do_not_see_each_other(spark, strategy):
     assert got == [(None, 0, 0), (10.0, 1, 1), (10.0, 1, 1), (130 / 3, 3, 0)]
 
 
-@pytest.mark.parametrize("strategy", ["bucketed", "range"])
+@pytest.mark.parametrize("strategy", ["sliced", "bucketed", "range"])
 def test_rolling_windows(spark, strategy):
     df = incidents(
         spark,
@@ -73,13 +75,13 @@ def test_strategies_agree_with_a_hot_key_and_missing_values(spark):
         (F.col("id") % 83).cast("double").alias("min_delay"),
     )
     both = [
-        sorted(map(str, add_history_features(df, strategy=s).collect())) for s in ("bucketed", "range")
+        sorted(map(str, add_history_features(df, strategy=s).collect())) for s in ("sliced", "bucketed", "range")
     ]
-    assert both[0] == both[1]
+    assert both[0] == both[1] == both[2]
 
 
 def test_hot_partitions_are_split(spark):
-    """Every join of the default plan can be split by adaptive execution."""
+    """Every join of the bucketed plan can be split by adaptive execution."""
     df = spark.range(40_000).select(
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50_000).cast("decimal(18,6)"))).alias("ts"),
         F.lit("bus").alias("mode"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 997).cast("string")).alias("route"),
@@ -94,7 +96,7 @@ def test_hot_partitions_are_split(spark):
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        out = add_history_features(df, ["prior_route_mean_delay"])
+        out = add_history_features(df, ["prior_route_mean_delay"], strategy="bucketed")
         assert len(out.collect()) == 40_000
         assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -102,6 +104,31 @@ def test_hot_partitions_are_split(spark):
             spark.conf.set(key, value)
 
 
+def hot_second(spark, n=6000):
+    """A third of the rows in one second, which comes again a month later; one key for all of them."""
+    second = F.when(F.col("id") % 3 == 0, F.lit(40 * 86_400)).otherwise(F.col("id") * 1171 % (90 * 86_400)).cast("decimal(18,6)")
+    return spark.range(n).select(
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second)).alias("ts"),
+        F.lit("bus").alias("mode"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 17).cast("string")).alias("route"),
+        F.when(F.col("id") % 7 != 0, "N").alias("direction"), (F.col("id") % 4).cast("string").alias("incident"),
+        (F.col("id") % 601).cast("string").alias("location"), F.when(F.col("id") % 11 != 0, (F.col("id") % 97).cast("double") / 4).alias("min_delay"),
+        F.col("id").alias("number"),
+    )
+
+
+def test_a_hot_second_is_dealt_over_tasks(spark):
+    df = hot_second(spark)
+    got, want = (
+        sorted(map(str, add_history_features(df, strategy=s).collect())) for s in ("sliced", "range")
+    )
+    assert got == want
+    rows = df.withColumn("at", micros(F.col("ts")))
+    cut = cut_times(rows, "at", 32)
+    sizes = [r["count"] for r in with_slices(rows, "at", cut).groupBy("_slice", "_part").count().collect()]
+    assert len(sizes) > 24 and max(sizes) < 3 * sum(sizes) / 32  # 2,000 rows of one second
+    assert len(cut.parts) == 1 and sum(cut.parts.values()) >= 9
+
+
 def test_sums_before_equals_a_plain_window(spark):
     df = spark.range(500).select((F.col("id") % 4).alias("k"), (F.col("id") * 37 % 211).alias("o"), F.col("id").alias("v"))
     got = sums_before(df, ["k"], "o", F.floor(F.col("o") / 10), ["v"])
@@ -116,7 +143,7 @@ HISTORY = [
 ]
 
 
-@pytest.mark.parametrize("strategy", ["bucketed", "range"])
+@pytest.mark.parametrize("strategy", ["sliced", "bucketed", "range"])
 def test_point_in_time_lookup(spark, strategy):
     history = incidents(spark, HISTORY)
     asked = incidents(
@@ -149,7 +176,7 @@ def test_modeling_table(spark):
     ]
 
 
-@pytest.mark.parametrize("strategy", ["bucketed", "range"])
+@pytest.mark.parametrize("strategy", ["sliced", "bucketed", "range"])
 def test_undated_rows_stay(spark, strategy):
     df = incidents(spark, [("2024-01-01 08:00:00", "1", "Mechanical", "A", 10), ("2024-01-02 08:00:00", "1", "Mechanical", "A", 20)])
     df = df.union(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
