@@ -25,7 +25,7 @@ def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
 
 
 #: A side of a join is broadcast only if its values take at most so many bytes.
-BROADCAST_BYTES = 12_000_000
+BROADCAST_BYTES = 32_000_000
 
 
 def width(value: Column, kind: DataType) -> Column:
