@@ -140,6 +140,33 @@ def test_location_match_against_all_pairs(spark):
         assert row.score == round(best, 1) or abs(row.score - best) < 0.06, row
         if best:
             assert abs(score(plain[row.location], plain[row.matched_location]) - best) < 1e-9, row
+            # Of equal scores the first in option order wins, which is alphabetical here.
+            as_good = [k for k in known if abs(score(plain[row.location], plain[k]) - best) < 1e-9]
+            assert row.matched_location == min(as_good, key=lambda k: (k.lower(), k)), (row, as_good)
+
+
+def test_decided_texts_are_not_joined_on_common_words(spark, monkeypatch):
+    """With a rare word that settles the match, the words that all locations have are never looked up."""
+    known = [(f"place{k} station road west",) for k in range(300)] + [("lone station",)]
+    asked = [(f"place{k} station road east",) for k in range(0, 300, 3)] + [("road station far west",)]
+    looked_up = []
+    may_improve = match._may_improve
+
+    def watched(done):
+        looked_up.append(done)
+        return may_improve(done)
+
+    monkeypatch.setattr(match, "_may_improve", watched)
+    frames = [spark.createDataFrame(rows, "location string") for rows in (asked, known)]
+    got = {r["location"]: r["matched_location"] for r in match.match_locations(*frames).collect()}
+    assert all(got[f"place{k} station road east"] == f"place{k} station road west" for k in range(0, 300, 3))
+    assert got["road station far west"] == "place0 station road west"
+    questions = match._questions(
+        spark.createDataFrame([("a b c d",), ("a b x d",)], "text string"),
+        spark.createDataFrame([("a", 1), ("b", 50), ("d", 9)], "word string, holders long"),
+    ).collect()
+    assert [[w["word"] for w in q.question.known] for q in questions] == [["a", "d", "b"]] * 2
+    assert questions[0].question == questions[1].question and max(looked_up) <= 4
 
 
 def write(folder, name, content):
