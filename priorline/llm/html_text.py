@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -36,28 +37,55 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 CLOSES_P = BLOCK_TAGS - {"body", "button", "caption", "head", "html", "legend", "option", "optgroup", "select", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
 
 MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""",
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""",
     re.DOTALL,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Element:
+    """An open block element; what its ancestors have in common is shared with them, so depth costs nothing."""
+
+    __slots__ = ("tag", "words", "parent", "names", "score")
+
+    def __init__(self, tag: str, words: list[str], parent: Element | None, known: Container[str] | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        above = parent.names if parent else frozenset()
+        # Names that the model has no weight for are left out, so the set has a bound of its own.
+        own = {f"in {w}" for w in (tag, *(f".{w}" for w in words)) if known is None or f"in {w}" in known}
+        self.names: frozenset[str] = above if own <= above else above | own
+        self.score: float | None = None
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]
+    element: Element | None
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tags and name words of the ancestors, the outermost first."""
+        parts, element = [], self.element
+        while element:
+            parts.append((element.tag, *(f".{w}" for w in element.words)))
+            element = element.parent
+        return tuple(part for own in reversed(parts) for part in own)
+
 
 def name_words(attributes: str) -> list[str]:
     """The lower-cased words of class, id and role values."""
     return [w.lower() for m in NAMES.finditer(attributes) for w in NAME_WORD.findall(m[1] or m[2] or m[3] or "")]
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The blocks with text, in page order; character references decoded, white space made single."""
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The blocks with text, in page order; character references decoded, white space made single.
+
+    known: the features that matter, so that no others are kept; all of them by default.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = at = 0
 
@@ -66,19 +94,20 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, stack[-1][1] if stack else (), linked))
+                blocks.append(Block(text, stack[-1] if stack else None, linked))
             parts.clear()
         linked = 0
 
     def pop_to(place: int) -> None:
+        opened.subtract(element.tag for element in stack[place:])
         del stack[place:]
 
     def innermost(tags: set[str]) -> int:
         """Place of the innermost open element of these, within the innermost list or table."""
-        for place in range(len(stack) - 1, -1, -1):
-            if stack[place][0] in tags:
+        for place in range(len(stack) - 1 if any(opened[tag] for tag in tags) else -1, -1, -1):
+            if stack[place].tag in tags:
                 return place
-            if stack[place][0] in ("ul", "ol", "dl", "table", "select"):
+            if stack[place].tag in ("ul", "ol", "dl", "table", "select"):
                 return -1
         return -1
 
@@ -99,8 +128,12 @@ def leaf_blocks(page: str) -> list[Block]:
         tag, closing = name.lower(), bool(found[1] or found[4])
         if tag in RAW_TAGS:
             if not closing and not (found[3] or found[6] or "").endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else len(page)
+                close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE)
+                end = close.search(page, at)
+                at = end.end() if end else len(page)
+                # An end tag in a string of the script: its rest stands before another end tag.
+                if tag == "script" and (after := MARKUP.search(page, at)) and close.fullmatch(after[0]):
+                    at = after.end()
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -109,26 +142,23 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS:
             end_block()
             if closing:
-                place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-                if place >= 0:
-                    pop_to(place)
+                if opened[tag]:
+                    pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
                 continue
-            if tag in CLOSES_P and stack and stack[-1][0] == "p":
+            if tag in CLOSES_P and stack and stack[-1].tag == "p":
                 pop_to(len(stack) - 1)
             elif tag in ENDS and (place := innermost(ENDS[tag])) >= 0:
                 pop_to(place)
             if tag not in VOID_TAGS:
-                above = stack[-1][1] if stack else ()
-                stack.append((tag, (*above, tag, *(f".{w}" for w in name_words(found[3] or found[6] or "")))))
+                stack.append(Element(tag, name_words(found[3] or found[6] or ""), stack[-1] if stack else None, known))
+                opened[tag] += 1
     end_block()
     return blocks
 
 
-@lru_cache(maxsize=20_000)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
+def path_features(element: Element | None) -> tuple[str, ...]:
     """The ancestors' tags and name words, the block's own tag."""
-    tags = [part for part in path if not part.startswith(".")]
-    return (*sorted({f"in {part}" for part in path}), f"own {tags[-1] if tags else ''}")
+    return (*(sorted(element.names) if element else ()), f"own {element.tag if element else ''}")
 
 
 def text_features(block: Block) -> tuple[str, ...]:
@@ -149,14 +179,20 @@ class Model(NamedTuple):
     starts: list[float]
 
     def score(self, block: Block) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in path_features(block.path)) + sum(get(f, 0.0) for f in text_features(block))
+        get, element = self.weights.get, block.element
+        if element is None:
+            above = get("own ", 0.0)
+        else:
+            if element.score is None:
+                element.score = sum(get(f, 0.0) for f in path_features(element))
+            above = element.score
+        return above + sum(get(f, 0.0) for f in text_features(block))
 
 
 def train(pages: list[list[tuple[Block, int]]], steps: int = 300, rate: float = 0.2, penalty: float = 0.02) -> Model:
     """Gradient ascent (Adam) on the penalised likelihood of labelled pages, all pages at once."""
     pages = [page for page in pages if page]
-    names = sorted({f for page in pages for b, _ in page for f in (*path_features(b.path), *text_features(b))})
+    names = sorted({f for page in pages for b, _ in page for f in (*path_features(b.element), *text_features(b))})
     index = {name: k for k, name in enumerate(names)}
     longest = max(map(len, pages))
     found = np.zeros((len(pages), longest, len(names)), dtype=np.float32)
@@ -164,7 +200,7 @@ def train(pages: list[list[tuple[Block, int]]], steps: int = 300, rate: float =
     real = np.zeros((len(pages), longest), dtype=bool)
     for p, page in enumerate(pages):
         for k, (block, label) in enumerate(page):
-            for f in (*path_features(block.path), *text_features(block)):
+            for f in (*path_features(block.element), *text_features(block)):
                 found[p, k, index[f]] += 1
             labels[p, k], real[p, k] = label, True
     flat = found.reshape(-1, len(names))
@@ -220,7 +256,7 @@ def viterbi(scores: list[float], model: Model) -> list[int]:
 
 
 def main_text(page: str, model: Model) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, model.weights)
     if not blocks:
         return ""
     labels = viterbi([model.score(block) for block in blocks], model)
@@ -232,9 +268,15 @@ def with_labels(page: str, content: set[str]) -> list[tuple[Block, int]]:
     return [(block, int(block.text in content)) for block in leaf_blocks(page)]
 
 
+def clearly_labelled(pages: list[tuple[str, set[str]]]) -> list[list[tuple[Block, int]]]:
+    """The labelled blocks of those pages on which no content stands outside the article, too."""
+    found = [(with_labels(page, content), content) for page, content in pages]
+    return [blocks for blocks, content in found if sum(label for _, label in blocks) == len(content)]
+
+
 @lru_cache(maxsize=1)
 def trained_model() -> Model:
-    return train([with_labels(page, content) for page, content in labelled_pages()])
+    return train(clearly_labelled(labelled_pages()))
 
 
 def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:

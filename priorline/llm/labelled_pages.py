@@ -54,29 +54,43 @@ class Writer:
     def paragraphs(self, tags: list[str]) -> str:
         return "".join(f"<{t}>{self.chrome()}</{t}>" for t in tags)
 
+    def phrase(self, most: int = 6) -> str:
+        return self.main(" ".join(self.words(self.rng.randint(1, most))).capitalize())
+
+    def part(self, depth: int = 0) -> str:
+        """One part of an article; any element may hold a few words or many sentences."""
+        rng, kind = self.rng, self.rng.random()
+        text = self.sentences(rng.choice([1, 1, 2, 3, 3, 4, 7])) if rng.random() < 0.8 else " ".join(self.words(rng.randint(1, 4)))
+        if kind < 0.45:
+            shown = f"<b>{text}<br>" if rng.random() < 0.15 else text
+            self.main(text)
+            return f"<p>{shown}" + ("</p>" if rng.random() < 0.85 else "")
+        if kind < 0.58:
+            level = rng.choice("223456")
+            return f"<h{level}>{self.phrase()}</h{level}>"
+        if kind < 0.66:
+            outer = rng.choice(["ul", "ol"])
+            return f"<{outer}>" + "".join(f"<li>{self.main(self.sentences(1))}</li>" for _ in range(rng.randint(1, 4))) + f"</{outer}>"
+        if kind < 0.70:
+            return f"<blockquote><p>{self.main(text)}</p></blockquote>"
+        if kind < 0.74:
+            return f"<table><tr><th>{self.phrase(2)}</th><td>{self.main(text)}</td></tr></table>"
+        if kind < 0.79:
+            return "<dl>" + "".join(f"<dt>{self.phrase(3)}</dt><dd>{self.main(self.sentences(1))}</dd>" for _ in range(rng.randint(1, 3))) + "</dl>"
+        if kind < 0.83:
+            return f"<pre>{self.main(text)}</pre>"
+        if kind < 0.87:
+            return f'<figure><img src="x.png"><figcaption>{self.phrase()}</figcaption></figure>'
+        if kind < 0.90:
+            return self.wrapped(ADVERTS, self.paragraphs(["p"]))
+        tag = rng.choice(["section", "div"])
+        if depth < 2 and rng.random() < 0.6:
+            return f"<{tag}>" + "".join(self.part(depth + 1) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+        return f"<{tag}>{self.main(text)}</{tag}>"
+
     def article(self) -> str:
-        rng, tidy = self.rng, self.rng.random() < 0.6
-        out = [f"<h1>{self.main(' '.join(self.words(rng.randint(1, 9))).capitalize())}</h1>"]
-        for _ in range(rng.randint(1, 12)):
-            kind = rng.random()
-            text = self.sentences(rng.choice([1, 1, 2, 4, 7]))
-            if kind < 0.7:
-                shown = f"<b>{text}<br>" if rng.random() < 0.15 else text
-                out.append(f"<p>{shown}" + ("</p>" if tidy or rng.random() < 0.7 else ""))
-                self.main(text)
-            elif kind < 0.78:
-                out.append(f"<h2>{self.main(' '.join(self.words(rng.randint(1, 6))).capitalize())}</h2>")
-            elif kind < 0.86:
-                out.append("<ul>" + "".join(f"<li>{self.main(self.sentences(1))}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
-            elif kind < 0.91:
-                out.append(f"<blockquote><p>{self.main(text)}</p></blockquote>")
-            elif kind < 0.94:
-                out.append(f"<table><tr><td>{self.main(self.words(1)[0])}</td><td>{self.main(text)}</td></tr></table>")
-            elif kind < 0.97:
-                out.append(self.wrapped(ADVERTS, self.paragraphs(["p"])))
-            else:
-                out.append(f"<p>{self.main(text)}</p>")
-        return self.wrapped(HOLDERS, "".join(out))
+        title = f"<h1>{self.phrase(9)}</h1>" if self.rng.random() < 0.9 else ""
+        return self.wrapped(HOLDERS, title + "".join(self.part() for _ in range(self.rng.randint(1, 12))))
 
     def page(self) -> str:
         rng = self.rng
@@ -98,11 +112,13 @@ class Writer:
         if rng.random() < 0.8:
             after.append(self.wrapped(FOOTERS, rng.choice([f"&copy; {self.chrome()}", self.paragraphs(["p"]), self.links(3)])))
         body = "".join([*before, self.article(), *after])
+        if rng.random() < 0.15:
+            return body  # a fragment
         title = " ".join(self.words(3))
         return f'<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{body}</body></html>'
 
 
-def labelled_pages(count: int = 160, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, set[str]]]:
     """(page, texts of its main blocks), the same ones at each call."""
     out = []
     for k in range(count):
