@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from priorline.functions.rows import BANDS, CALIBRATED_BANDS, risk_band
 from priorline.operators.prefix import sums_before
 from priorline.operators.quantiles import exact_quantiles, join_groups
+from priorline.operators.slices import SLICES_PER_PARTITION, equal_counts, with_part
+from priorline.sources.durable import durable
 
 # The operating cutoffs tried.
 PLAIN_CUTOFFS = [0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90]
@@ -54,6 +56,8 @@ def extended_metrics(
 ) -> DataFrame:
     """Metrics of rows with actual, prediction, error, absolute_error: plus spread and size."""
     wanted = fit_measures()
+    columns = ["actual", "prediction", "error", "absolute_error", *([baseline] if baseline else [])]
+    df = durable(df.select(*dict.fromkeys([*by, *columns])))  # read for each pass
     aggregates = [wanted[m].alias(m) for m in measures]
     aggregates += [F.avg("error").alias("mean_error"), F.count(F.lit(1)).alias("row_count")]
     if baseline is not None:
@@ -70,11 +74,12 @@ def extended_metrics(
 def rank_metrics(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
     """ROC-AUC (ties count half) and average precision (ties merged) per group.
 
-    Works on the histogram of distinct scores; its cumulative sums are bucketed, so a group with
-    any number of scores is spread over tasks. NULL unless both classes occur.
+    Works on the histogram of distinct scores. Its cumulative sums are taken in slices that hold about as
+    many of them each, so a group with any number of scores, however close, is spread over tasks. NULL
+    unless both classes occur.
     """
     by = list(by)
-    histogram = (
+    histogram = durable(
         df.where(F.col(score).isNotNull())
         .groupBy(*by, (-F.col(score)).alias("_order"))
         .agg(
@@ -82,8 +87,10 @@ def rank_metrics(df: DataFrame, by: Sequence[str], label: str, score: str) -> Da
             F.count_if(F.col(label) != 1).alias("_neg"),
         )
     )
-    bucket = F.floor(F.col("_order") * 4096)
-    curve = sums_before(histogram, by, "_order", bucket, ["_pos", "_neg"], unique=True)
+    slices = SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(equal_counts(histogram, "_order", slices)))
+    sliced = with_part(histogram, "_order", bounds, "_slice")
+    curve = sums_before(sliced, by, "_order", F.col("_slice"), ["_pos", "_neg"], unique=True)
     hits = F.col("_pos_before") + F.col("_pos")
     shown = hits + F.col("_neg_before") + F.col("_neg")
     pairs = F.sum(F.col("_neg") * (F.col("_pos_before") + F.col("_pos") / F.lit(2.0)))

@@ -36,23 +36,32 @@ class Cut:
     parts: dict[int, int]
 
 
+def equal_counts(rows: DataFrame, value: str, slices: int) -> list:
+    """The values at which ``slices`` parts of about equal size are cut; a frequent value comes several times."""
+    wanted = F.array(*[F.lit(k / slices) for k in range(1, slices)])
+    return rows.agg(F.percentile_approx(value, wanted, F.lit(50 * slices)).alias("cuts")).first().cuts or []
+
+
+def with_part(rows: DataFrame, value: str, bounds: Sequence[float], name: str) -> DataFrame:
+    """rows with the number of the part that a value lies in; a bound is the first value of its part."""
+    if not bounds:
+        return rows.withColumn(name, F.lit(0))
+    splits = [-float("inf"), *bounds, float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="_value_double", outputCol="_part_double").transform(
+        rows.withColumn("_value_double", F.col(value).cast("double"))
+    )
+    return placed.withColumn(name, F.col("_part_double").cast("int")).drop("_value_double", "_part_double")
+
+
 def cut_times(rows: DataFrame, at: str, slices: int) -> Cut:
     """Bounds at the quantiles of ``at``; a time that is several quantiles is hot."""
-    wanted = [k / slices for k in range(1, slices)]
-    found = rows.agg(F.percentile_approx(at, F.array(*[F.lit(p) for p in wanted]), F.lit(50 * slices)).alias("q")).first().q or []
-    counts = Counter(found)
+    counts = Counter(equal_counts(rows, at, slices))
     return Cut(sorted(float(t) for t in counts), {t: n for t, n in counts.items() if n > 1})
 
 
 def with_slices(rows: DataFrame, at: str, cut: Cut) -> DataFrame:
     """rows with _slice, _hot (at the hot first second of its slice) and _part, over which such rows are dealt."""
-    if cut.bounds:
-        splits = [-float("inf"), *cut.bounds, float("inf")]
-        placed = Bucketizer(splits=splits, inputCol="_at_double", outputCol="_slice_double").transform(
-            rows.withColumn("_at_double", F.col(at).cast("double"))
-        ).withColumn("_slice", F.col("_slice_double").cast("int")).drop("_at_double", "_slice_double")
-    else:
-        placed = rows.withColumn("_slice", F.lit(0))
+    placed = with_part(rows, at, cut.bounds, "_slice")
     parts = F.lit(1)
     if cut.parts:
         counts = F.create_map(*[F.lit(x) for t, n in cut.parts.items() for x in (int(t), n)])

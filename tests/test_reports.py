@@ -12,12 +12,62 @@ from priorline.functions.rows import with_residuals
 from priorline.functions.text import match_text
 from priorline.operators import audit, match, metrics, reports
 from priorline.operators.quantiles import exact_quantiles
+from priorline.operators.slices import equal_counts, with_part
 from priorline.plans.clean import clean_all
 from priorline.sources import feed
 from priorline.sources.files import discover_files, read_incident_files
 from priorline.sources.tables import read_cleaned, read_split, write_cleaned, write_report, write_splits
 
 
+def test_quantiles_sort_only_the_buckets_of_the_ranks(spark):
+    """Null groups, negative values, ties and a group of one; few values reach the second pass."""
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 4 != 0, F.concat(F.lit("g"), F.col("id") % 4)).alias("g"),
+        F.when(F.col("id") % 5 == 0, 0.0).when(F.col("id") % 5 == 1, -((F.col("id") * 7919) % 1000) / 8.0)
+        .otherwise(((F.col("id") * 104729) % 100_003) / 16.0).alias("v"),
+    ).union(spark.createDataFrame([("one", 3.5), ("none", None)], "g string, v double"))
+    wanted = {"q0": 0, "q10": 0.1, "q50": 0.5, "q95": 0.95, "q100": 1}
+    got = {tuple(r)[0]: tuple(r)[1:] for r in exact_quantiles(df.repartition(5), ["g"], "v", wanted).collect()}
+    con = duckdb.connect()
+    t = df.toPandas()  # noqa: F841
+    t["v"] = t["v"].astype(float)
+    want = con.execute(
+        "select g, " + ", ".join(f"quantile_cont(v, {q})" for q in wanted.values()) + " from t where not isnan(v) and v is not null group by g"
+    ).fetchall()
+    assert got == {line[0]: line[1:] for line in want} and None in got and "none" not in got
+
+
+def test_rank_metrics_of_close_scores(spark):
+    """Scores within a millionth are still spread over slices, and ties count half."""
+    n = 5000
+    df = spark.range(n).select(
+        (F.lit(0.5) + (F.col("id") * 7 % 2500) / F.lit(2.5e9)).alias("p"), (F.col("id") * 31 % 7 < 3).cast("int").alias("y"),
+        (F.col("id") % 2).alias("g"),
+    )
+    lines = df.collect()
+    got = {r.g: r for r in metrics.rank_metrics(df, ["g"], "y", "p").collect()}
+    for g in (0, 1):
+        scores = sorted(((r.p, r.y) for r in lines if r.g == g), reverse=True)
+        below, wins, positives, shown, hits, precision = 0, 0.0, 0, 0, 0, 0.0
+        by_score = {}
+        for p, y in scores:
+            by_score.setdefault(p, [0, 0])[y] += 1
+        for p in sorted(by_score, reverse=True):
+            neg, pos = by_score[p]
+            wins += neg * (positives + pos / 2)
+            positives += pos
+            shown += neg + pos
+            hits += pos
+            precision += pos * hits / shown
+            below += neg
+        assert abs(got[g].roc_auc - wins / (positives * below)) < 1e-12
+        assert abs(got[g].pr_auc - precision / positives) < 1e-12
+    histogram = df.select((-F.col("p")).alias("v")).distinct()
+    bounds = sorted(set(equal_counts(histogram, "v", 32)))
+    sizes = [r["count"] for r in with_part(histogram, "v", bounds, "part").groupBy("part").count().collect()]
+    assert len(sizes) == 32 and max(sizes) < 2 * 2500 / 32
+
+
 def test_exact_quantiles(spark):
     random.seed(3)
     values = [(g, random.choice([0.0, -1.5, random.uniform(-5, 900)])) for g in "aab" for _ in range(301)] + [("a", None)]
