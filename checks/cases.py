@@ -11,7 +11,7 @@ from checks import sql
 from checks.incidents import modeled_incidents, raw_incidents, table, with_time
 from priorline.contract import BASELINES, HISTORY_FEATURES, feature_projection
 from priorline.functions import calendar, rows, text
-from priorline.operators import audit, history, lookup, match, metrics, reports, requests, support
+from priorline.operators import audit, history, lookup, match, metrics, positions, reports, requests, support
 from priorline.plans import explain, models, score
 from priorline.plans.clean import clean_incidents, dropped_rows
 from priorline.sources import feed
@@ -1494,6 +1494,61 @@ def _permutation(spark, sf):
     return explain.explain(model_table(spark, sf), artifact(spark, sf), key)[0]
 
 
+_PERMUTED = ["mode", "route", "incident"]
+
+
+@case(
+    "permuted_multiset",
+    sql.modeled(
+        """SELECT feature, CAST(repeat AS INTEGER) AS repeat, CASE feature WHEN 'mode' THEN mode WHEN 'route' THEN route ELSE incident END AS value,
+           count(*) AS row_count, CAST(sum(min_delay) AS DOUBLE) >= 0 AS summed
+           FROM model, (SELECT unnest(['mode', 'route', 'incident']) AS feature), range(2) AS r(repeat)
+           WHERE split = 'validation' GROUP BY 1, 2, 3""",
+    ),
+)
+def _permuted_multiset(spark, sf):
+    """Each column keeps its values, whatever rows they come to."""
+    rows = modeled_incidents(spark, sf).where("split = 'validation'").select(*_PERMUTED, "min_delay")
+    value = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in _PERMUTED])
+    return explain.permuted_copies(rows, _PERMUTED, repeats=2).groupBy("feature", "repeat", value.alias("value")).agg(
+        F.count("*").alias("row_count"), (F.sum("min_delay") >= 0).alias("summed")
+    )
+
+
+@case(
+    "attached_predictions",
+    """WITH rows AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'validation' END AS split FROM orders),
+       placed AS (SELECT *, row_number() OVER (ORDER BY split, o_orderkey) AS place FROM rows),
+       others AS (SELECT o_totalprice * 2 AS prediction, row_number() OVER (ORDER BY split, o_totalprice, o_orderkey) AS place FROM rows)
+       SELECT o_orderkey, split, round(prediction, 4) AS prediction, round(prediction - o_totalprice, 4) AS error FROM placed JOIN others USING (place)""",
+)
+def _attached(spark, sf):
+    split = F.when(F.col("o_orderkey") % 3 == 0, "test").otherwise("validation")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), split.alias("split"))
+    outside = rows.withColumn("prediction", F.col("o_totalprice") * 2)
+    out = positions.attach_predictions(rows, outside, ["split", "o_orderkey"], ["split", "o_totalprice", "o_orderkey"])
+    return rounded(out.select("o_orderkey", "split", "prediction", (F.col("prediction") - F.col("o_totalprice")).alias("error")), 4)
+
+
+@case(
+    "request_times",
+    """WITH asked AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE)::VARCHAR || 'T08:15:00'
+         WHEN 1 THEN ' ' || CAST(o_orderdate AS DATE)::VARCHAR || ' 23:59:59 ' WHEN 2 THEN CAST(o_orderdate AS DATE)::VARCHAR ELSE 'soon ' || o_orderkey END AS asked FROM orders)
+       SELECT request_id, strftime(TRY_CAST(trim(asked) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts,
+         CASE WHEN TRY_CAST(trim(asked) AS TIMESTAMP) IS NULL THEN 'Invalid timestamp ' || chr(39) || asked || chr(39) || '. Provide an ISO-like datetime string.' END AS error FROM asked""",
+)
+def _request_times(spark, sf):
+    day = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
+    asked = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(day, F.lit("T08:15:00")))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit(" "), day, F.lit(" 23:59:59 ")))
+        .when(F.col("o_orderkey") % 4 == 2, day).otherwise(F.concat(F.lit("soon "), F.col("o_orderkey").cast("string")))
+    )
+    ts, error = calendar.request_timestamp(F.col("asked"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), asked.alias("asked"))
+    return rows.select("request_id", F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("ts"), error.alias("error"))
+
+
 @case("representative_examples")
 def _examples(spark, sf):
     frame = models.two_output_frame(model_table(spark, sf).where("split = 'validation'"), artifact(spark, sf))
