@@ -555,6 +555,28 @@ def _best_baseline(spark, sf):
     return rounded(best.select("baseline", "evaluation_name", "filled", "mae", "rmse", "r2"))
 
 
+@case(
+    "baseline_comparison",
+    sql.modeled(
+        """SELECT m.split, round(m.mae, 4) AS mae, round(m.r2, 4) AS r2, b.evaluation_name AS baseline_name, round(b.mae, 4) AS baseline_mae,
+           round(b.mae - m.mae, 4) + 0 AS mae_improvement, round((b.mae - m.mae) / nullif(b.mae, 0) * 100, 4) + 0 AS mae_improvement_percent
+           FROM graded m JOIN (SELECT g.* FROM graded g JOIN (SELECT baseline, filled FROM (SELECT * FROM graded WHERE split = 'validation'
+             QUALIFY row_number() OVER (PARTITION BY baseline ORDER BY filled DESC) = 1) ORDER BY mae, rmse, r2 DESC LIMIT 1) USING (baseline, filled)) b
+           USING (split) WHERE m.baseline = 'prior_global_mean_delay' AND m.filled = (SELECT bool_or(filled) FROM graded WHERE baseline = 'prior_global_mean_delay')""",
+        sql.history_cte(BASELINES), _GRID,
+    ),
+)
+def _baseline_comparison(spark, sf):
+    """The global mean, standing for a model, against the baseline that validation chooses."""
+    grid = durable(reports.baseline_grid(_baseline_rows(spark, sf)))
+    best = metrics.pick_baseline(grid).select(F.col("baseline").alias("best"), F.col("filled").alias("best_filled"))
+    chosen = grid.join(F.broadcast(best), (F.col("baseline") == F.col("best")) & (F.col("filled") == F.col("best_filled")))  # one row
+    own = grid.where("baseline = 'prior_global_mean_delay'")
+    filled = own.agg(F.max("filled").alias("any_filled"))  # one row
+    model = own.join(F.broadcast(filled), F.col("filled") == F.col("any_filled")).select("split", "mae", "r2")
+    return rounded(metrics.with_baseline_comparison(model, chosen), 4)
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Validation and test rows with the filled route-hour baseline as prediction."""
     df = history.add_history_features(modeled_incidents(spark, sf), sql.PREDICTION_FEATURES)
