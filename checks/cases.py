@@ -11,7 +11,7 @@ from checks import sql
 from checks.incidents import modeled_incidents, raw_incidents, table, with_time
 from priorline.contract import BASELINES, HISTORY_FEATURES, feature_projection
 from priorline.functions import calendar, rows, text
-from priorline.operators import audit, history, lookup, match, metrics, positions, reports, requests, support
+from priorline.operators import audit, encoding, history, lookup, match, metrics, positions, reports, requests, support
 from priorline.plans import explain, models, score
 from priorline.plans.clean import clean_incidents, dropped_rows
 from priorline.sources import feed
@@ -1516,6 +1516,33 @@ def _permutation(spark, sf):
     return explain.explain(model_table(spark, sf), artifact(spark, sf), key)[0]
 
 
+_ENCODED = ["mode", "route", "direction", "incident"]
+
+
+@case(
+    "preprocess_matrix",
+    sql.modeled(
+        "SELECT split, "
+        + ", ".join(
+            f"coalesce(d_{c}.nr, (SELECT count(*) FROM words_{c})) AS i_{c}" for c in _ENCODED
+        )
+        + ", count(*) AS row_count FROM model "
+        + " ".join(f"LEFT JOIN words_{c} AS d_{c} ON d_{c}.value = coalesce(model.{c}, 'Unknown')" for c in _ENCODED)
+        + " WHERE split <> 'train' GROUP BY ALL",
+        *[
+            f"words_{c} AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS nr FROM (SELECT coalesce({c}, 'Unknown') AS value, count(*) AS n FROM model WHERE split = 'train' GROUP BY 1))"
+            for c in _ENCODED
+        ],
+    ),
+)
+def _preprocess_matrix(spark, sf):
+    """Numbers of all categories, learned from the training rows; unseen ones share the last."""
+    df = durable(modeled_incidents(spark, sf).select("split", *_ENCODED))
+    words = encoding.category_dictionary(df.where("split = 'train'"), _ENCODED)
+    out = encoding.encoded(df.where("split <> 'train'"), words, _ENCODED)
+    return out.groupBy("split", *[f"i_{c}" for c in _ENCODED]).agg(F.count("*").alias("row_count"))
+
+
 _PERMUTED = ["mode", "route", "incident"]
 
 
