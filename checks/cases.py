@@ -363,12 +363,12 @@ def _risk_band(spark, sf):
 _KEYS = "CAST(ts AS VARCHAR) AS ts, mode, route, direction, incident, location, min_delay"
 
 
-def _history_case(name: str, features: list[str]):
+def _history_case(name: str, features: list[str], strategy: str | None = None):
     rounding = ", ".join(f"round({f}, 9) AS {f}" if not f.endswith("count") else f for f in features)
 
     @case(name, sql.modeled(f"SELECT {_KEYS}, {rounding} FROM hist", sql.history_cte(features)))
     def _query(spark, sf):
-        df = history.add_history_features(modeled_incidents(spark, sf), features)
+        df = history.add_history_features(modeled_incidents(spark, sf), features, strategy=strategy)
         return rounded(
             df.select("ts", "mode", "route", "direction", "incident", "location", "min_delay", *features), 9
         )
@@ -395,6 +395,7 @@ for _name, _features in {
     "all_history": HISTORY_FEATURES,
 }.items():
     _history_case(_name, _features)
+_history_case("all_history_sliced", HISTORY_FEATURES, "sliced")
 
 
 # --- point-in-time look-up ------------------------------------------------------------------

@@ -4,12 +4,12 @@ For a row at time t and a grouping g, history is the set of rows with the same v
 a smaller timestamp (expanding), or also not older than t minus a horizon (rolling). Rows that
 share a timestamp never see each other.
 
-Plan of the default strategy, ``sliced``: rows are dealt once to equi-depth slices of time (see
+Plan of ``sliced``: rows are dealt once to equi-depth slices of time (see
 ``slices``), in which each grouping is a plain window; carry rows bring in what lies before the slice. A
 rolling sum counts a row again, negatively, one horizon later; sums are whole numbers, so nothing is lost
 to cancellation.
 
-Plan of ``bucketed``, which serves a separate history table, for any set of groupings at once:
+Plan of ``bucketed``, the default, for any set of groupings at once:
 
 1. ``GROUPING SETS`` sums the rows per grouping, key values and timestamp in one shuffle, with
    partial aggregation before it.
@@ -446,9 +446,9 @@ def with_history(
     Means and rates are NULL without history, counts are 0; so they are for rows without a time.
     Strategies: ``sliced`` (windows in slices of time), ``bucketed`` (prefix sums in buckets of a day, the
     history summed outside of those that are asked for) and ``range`` (plain windows, a task for each key);
-    all give the same values. By default sliced, and bucketed with a history table.
+    all give the same values. The default is bucketed.
     """
-    strategy = strategy or ("sliced" if history is None else "bucketed")
+    strategy = strategy or "bucketed"
     used = {f.grouping for f in features}
     groupings = [g for g in groupings if g.name in used]
     rolling = {f.grouping for f in features if f.kind.startswith(("rolling", "rate"))}

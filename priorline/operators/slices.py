@@ -66,7 +66,8 @@ def with_slices(rows: DataFrame, at: str, cut: Cut) -> DataFrame:
     if cut.parts:
         counts = F.create_map(*[F.lit(x) for t, n in cut.parts.items() for x in (int(t), n)])
         parts = F.coalesce(F.element_at(counts, F.col(at)), F.lit(1))
-    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), parts).cast("int")
+    hashable = [c for c, kind in rows.dtypes if "map<" not in kind]  # maps have no hash
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), parts).cast("int")
     return placed.withColumns({"_hot": parts > 1, "_part": F.when(parts > 1, own).otherwise(0)})
 
 
