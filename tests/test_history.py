@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from priorline.contract import HISTORY_FEATURES
 from priorline.functions.calendar import micros
-from priorline.operators.history import add_history_features
+from priorline.operators.history import add_history_features, with_history
 from priorline.operators.lookup import look_up_history
 from priorline.operators.prefix import sums_before
 from priorline.operators.slices import cut_times, with_slices
@@ -129,6 +129,24 @@ def test_a_hot_second_is_dealt_over_tasks(spark):
     assert len(cut.parts) == 1 and sum(cut.parts.values()) >= 9
 
 
+def test_a_row_is_shuffled_once_for_each_family(spark):
+    """All features by default: a row is dealt for the route's groupings, the location's and the others, not per grouping."""
+    out = add_history_features(hot_second(spark))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange ") == 3 and "Expand" not in plan
+
+
+@pytest.mark.parametrize("cell_rows", [100, 700])
+def test_cells_of_large_keys_and_seconds_agree_with_plain_windows(spark, cell_rows):
+    df = hot_second(spark)
+    asked, past = df.where("number % 5 = 0").withColumn("nothing", F.lit(None)), df.where("number % 5 != 0 OR number % 2 = 0")
+    got, want = (
+        sorted(map(str, with_history(asked, history=past, **kind).collect()))
+        for kind in ({"cell_rows": cell_rows}, {"strategy": "range"})
+    )
+    assert got == want and len(got) == 1200
+
+
 def test_sums_before_equals_a_plain_window(spark):
     df = spark.range(500).select((F.col("id") % 4).alias("k"), (F.col("id") * 37 % 211).alias("o"), F.col("id").alias("v"))
     got = sums_before(df, ["k"], "o", F.floor(F.col("o") / 10), ["v"])
