@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from priorline.contract import BASELINE_FALLBACKS, SEVERE_THRESHOLDS, SUPPORT_THRESHOLDS
 from priorline.operators.history import Feature, Grouping, with_history
 from priorline.operators.quantiles import exact_quantiles, join_groups
+from priorline.sources.durable import durable
 
 EVALUATED = ("validation", "test")
 
@@ -40,7 +41,10 @@ def support_by_grouping(df: DataFrame, groupings=tuple(SUPPORT_GROUPINGS)) -> Da
     """Share of validation and test rows with enough strictly earlier rows of the same keys."""
     shapes = [Grouping(_label(keys), tuple(keys)) for keys in groupings]
     features = [Feature(f"n_{i}", g.name, "count") for i, g in enumerate(shapes)]
-    counted = with_history(_evaluated(df), features, shapes, history=df)
+    # Read by each pass over the counts.
+    counted = durable(
+        with_history(_evaluated(df), features, shapes, history=df).select("split", *[f.name for f in features])
+    )
     lines = F.array(
         *[
             F.struct(F.lit(g.name).alias("grouping"), F.col(f"n_{i}").alias("prior_count"))

@@ -12,6 +12,7 @@ from priorline.functions.rows import with_residuals
 from priorline.functions.text import match_text
 from priorline.operators import audit, match, metrics, reports
 from priorline.operators.quantiles import exact_quantiles
+from priorline.operators.requests import validate_requests
 from priorline.operators.slices import equal_counts, with_part
 from priorline.plans.clean import clean_all
 from priorline.sources import feed
@@ -273,3 +274,40 @@ def test_split_and_report_sinks(spark, tmp_path):
     write_report(df, str(tmp_path / "r"))
     lines = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "r")).collect()]
     assert {line["split"]: line["v"] for line in lines} == {"train": None, "test": 1.0}
+
+
+def _runs_of(spark, query):
+    """How often the given rows are made while a query runs and is read."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    schema = "split string, mode string, y int, p double, actual double, prediction double, error double, absolute_error double"
+    base = spark.range(40, numPartitions=2).select(
+        F.when(F.col("id") % 2 == 0, "validation").otherwise("test").alias("split"), F.lit("bus").alias("mode"),
+        (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") / 40).alias("p"), F.col("id").cast("double").alias("actual"),
+        F.lit(20.0).alias("prediction"), (20.0 - F.col("id")).alias("error"), F.abs(20.0 - F.col("id")).alias("absolute_error"),
+    )
+    assert query(base.mapInArrow(one, schema)).collect()
+    return counted.value / 40
+
+
+def test_rows_of_a_report_are_made_once(spark):
+    """Rows that history makes costly are not made again for each metric."""
+    assert _runs_of(spark, lambda df: metrics.cutoff_table(df, ["split"], "y", "p")) == 1
+    assert _runs_of(spark, lambda df: metrics.reliability_bins(df, ["split"], "y", "p")) == 1
+    assert _runs_of(spark, lambda df: metrics.band_summary(df, ["split"], "y", "p")) == 1
+    assert _runs_of(spark, lambda df: reports.high_delay(df)) == 1
+    assert _runs_of(spark, lambda df: reports.error_contribution(df, ["mode"])) == 1
+
+
+def test_known_categories_are_made_once_for_all_fields(spark):
+    def query(df):
+        known = df.select(F.lit("route").alias("field"), F.col("actual").cast("int").cast("string").alias("value"))
+        asked = spark.createDataFrame([("bus", "7", "N", "Mech", "A")], "mode string, route string, direction string, incident string, location string")
+        return validate_requests(asked, known)
+
+    assert _runs_of(spark, query) == 1
