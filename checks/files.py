@@ -227,7 +227,7 @@ def _error_case(group: str) -> None:
         ),
     )
     def _query(spark, sf):
-        return rounded(reports.error_by_group(predictions(spark, sf), group, 20))
+        return rounded(reports.error_by_group(predictions(spark, sf, [group]), group, 20))
 
 
 for _group in ("mode", "route", "hour", "month", "delay_bucket"):

@@ -33,17 +33,13 @@ def _label(keys: Sequence[str]) -> str:
     return " + ".join(keys)
 
 
-def _evaluated(df: DataFrame) -> DataFrame:
-    return df.where(F.col("split").isin(*EVALUATED))
-
-
 def support_by_grouping(df: DataFrame, groupings=tuple(SUPPORT_GROUPINGS)) -> DataFrame:
     """Share of validation and test rows with enough strictly earlier rows of the same keys."""
     shapes = [Grouping(_label(keys), tuple(keys)) for keys in groupings]
     features = [Feature(f"n_{i}", g.name, "count") for i, g in enumerate(shapes)]
     # Read by each pass over the counts.
     counted = durable(
-        with_history(_evaluated(df), features, shapes, history=df).select("split", *[f.name for f in features])
+        with_history(df, features, shapes, asked=F.col("split").isin(*EVALUATED)).select("split", *[f.name for f in features])
     )
     lines = F.array(
         *[
@@ -75,7 +71,7 @@ def candidate_scores(df: DataFrame, candidates=CANDIDATE_GROUPINGS) -> DataFrame
     features += [
         Feature(name, shape, "mean") for name, shape in zip(BASELINE_FALLBACKS, ("_route", "_mode", "_global"))
     ]
-    rows = with_history(_evaluated(df), features, shapes, history=df)
+    rows = with_history(df, features, shapes, asked=F.col("split").isin(*EVALUATED))
     lines = F.array(
         *[
             F.struct(
@@ -110,7 +106,7 @@ def rolling_opportunity(df: DataFrame) -> DataFrame:
             (f"prior_route_30d_severe_rate_{t}", "route", f"rate_{t}"),
             (f"prior_incident_30d_severe_rate_{t}", "incident", f"rate_{t}"),
         ]
-    rows = with_history(_evaluated(df), [Feature(*s) for s in specs], shapes, history=df)
+    rows = with_history(df, [Feature(*s) for s in specs], shapes, asked=F.col("split").isin(*EVALUATED))
 
     def line(name: str, grouping: str, kind: str):
         rate = kind.startswith("rate")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from priorline.contract import HISTORY_FEATURES
 from priorline.functions.calendar import micros
-from priorline.operators.history import add_history_features, with_history
+from priorline.functions.text import NORMALIZERS, incident_key, normalize_categories
+from priorline.operators.history import _past_events, add_history_features, with_history
 from priorline.operators.lookup import look_up_history
 from priorline.operators.prefix import sums_before
 from priorline.operators.slices import cut_times, with_slices
@@ -206,3 +207,42 @@ def test_sums_beyond_the_range_of_scaled_longs(spark):
     df = incidents(spark, [(f"2024-01-0{d} 08:00:00", "1", "Mechanical", "A", 6e12 + d) for d in range(1, 5)])
     out = by_time(add_history_features(df), "prior_route_mean_delay")
     assert out[-1][0] == pytest.approx(6e12 + 2)
+
+
+@pytest.mark.parametrize("cell_rows", [100, 10**6])
+def test_only_asked_rows_are_returned_with_all_history(spark, cell_rows):
+    """Rows that are asked for see all others; a key that nobody else has in a slice keeps what it had before."""
+    df = hot_second(spark).withColumn("nothing", F.lit(None))
+    asked = (F.col("number") % 5 == 0) & (F.col("ts") >= F.lit("2024-02-01").cast("timestamp_ntz"))
+    got, want = (
+        sorted(map(str, with_history(df, asked=asked, **kind).collect()))
+        for kind in ({"cell_rows": cell_rows}, {"strategy": "range"})
+    )
+    assert got == want and 600 < len(got) < 1200
+
+
+def test_history_before_the_first_asked_time_is_summed_per_key(spark):
+    past = hot_second(spark).select("route", F.lit(1).alias("_past"), micros(F.col("ts")).alias("_at"), "min_delay")
+    first = micros_of(spark, "2024-03-20")
+    events = _past_events(
+        past, past, [30], ["route"], False, (first, first + 10**12), lambda sign: [F.lit(sign).cast("bigint").alias("_m_rows")]
+    )
+    early = events.where(F.col("_at") < first)
+    keys = [tuple(r) for r in early.groupBy("route", "_leaves").count().collect()]
+    assert len(keys) > 18 and all(n == 1 for _, _, n in keys)
+    assert early.where("_leaves IS NULL").agg(F.sum("_m_rows")).first()[0] == past.where(F.col("_at") < first).count()
+    assert events.where(F.col("_at") >= first).count() < 3000
+
+
+def micros_of(spark, day):
+    return spark.range(1).select(micros(F.lit(day).cast("timestamp_ntz"))).first()[0]
+
+
+def test_squeezed_columns_are_as_the_expression_makes_them(spark):
+    texts = ["", " ", "a  b", "\ta", "a\nb\r", " a b ", "a\x0bb\f", "a\u00a0 b", "007", "00", "0.0", "12.00", "ops_/  x&y", "Rail/Switches", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = normalize_categories(df.select(*[F.col("t").alias(c) for c in NORMALIZERS], "t"))
+    for name, rule in NORMALIZERS.items():
+        assert got.where(~F.col(name).eqNullSafe(rule(F.col("t")))).count() == 0
+    keys = [r[0] for r in df.select(incident_key(F.col("t"))).collect()]
+    assert keys[-3:] == ["OPS X AND Y", "RAIL SWITCHES", None]
