@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from priorline.contract import HISTORY_FEATURES
 from priorline.functions.calendar import micros
 from priorline.functions.text import NORMALIZERS, incident_key, normalize_categories
-from priorline.operators.history import _past_events, add_history_features, with_history
+from priorline.operators.history import FEATURES, _past_events, add_history_features, with_history
 from priorline.operators.lookup import look_up_history
 from priorline.operators.prefix import sums_before
 from priorline.operators.slices import cut_times, with_slices
@@ -246,3 +246,14 @@ def test_squeezed_columns_are_as_the_expression_makes_them(spark):
         assert got.where(~F.col(name).eqNullSafe(rule(F.col("t")))).count() == 0
     keys = [r[0] for r in df.select(incident_key(F.col("t"))).collect()]
     assert keys[-3:] == ["OPS X AND Y", "RAIL SWITCHES", None]
+
+
+def test_a_slice_has_the_carry_of_keys_that_are_only_asked_there(spark):
+    ts = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("id").cast("int"))
+    incident = F.when(F.col("id") < 30, "early").otherwise("late")
+    others = [F.lit("x").alias(c) for c in ("mode", "route", "direction", "location")]
+    past = spark.range(200).select(ts.alias("ts"), *others, incident.alias("incident"), F.lit(7.0).alias("min_delay"))
+    asked = past.where("ts = '2024-05-30'").withColumn("incident", F.lit("early"))
+    features = [f for f in FEATURES if f.name == "prior_incident_mean_delay"]
+    got = with_history(asked, features, history=past, cell_rows=10).collect()
+    assert [row["prior_incident_mean_delay"] for row in got] == [7.0]
