@@ -42,12 +42,19 @@ NUMBER_WORDS = dict(
 OPEN, CLOSE, MAYBE = "\ue000", "\ue001", "\ue002"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 NUMBER_WORD = "(?:" + "|".join(NUMBER_WORDS) + ")"
+#: The same words by their first letter, and the first two letters: most places of a text are left at these.
+BY_LETTER = "(?:" + "|".join(
+    f"{letter}(?:{'|'.join(w[1:] for w in NUMBER_WORDS if w[0] == letter)})" for letter in sorted({w[0] for w in NUMBER_WORDS})
+) + ")"
+BEGIN = "".join(f"[{''.join(sorted({w[k] for w in NUMBER_WORDS}))}]" for k in (0, 1))
 #: A run of number words, such as twenty-five or three hundred.
-SPELLED = rf"(?i)(?<![\p{{L}}\p{{M}}\p{{Nd}}]){NUMBER_WORD}(?:[ -]{NUMBER_WORD})*(?![\p{{L}}\p{{M}}\p{{Nd}}])"
+SPELLED = rf"(?i)(?={BEGIN})(?<![\p{{L}}\p{{M}}\p{{Nd}}]){BY_LETTER}(?:[ -]{BY_LETTER})*(?![\p{{L}}\p{{M}}\p{{Nd}}])"
 UNIT = rf"(?<=[\p{{Nd}}{CLOSE}] ?)(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{Nd}])"
 NAME = rf"(?<=[\p{{Ll}}\p{{Nd}},;{CLOSE}] )\p{{Lu}}[\p{{L}}\p{{M}}]*"
-CAPITAL = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}{OPEN}])\p{{Lu}}[\p{{L}}\p{{M}}]*"
-TOKEN = rf"[{OPEN}{MAYBE}][^{CLOSE}]*{CLOSE}|[\p{{L}}\p{{M}}\p{{Nd}}]+"
+#: The three slots. Names and units stand after one of a few characters (or the half of one): looked at first.
+SLOT = rf"{NUMBER}|(?<=[ \p{{Nd}}\p{{Cs}}{CLOSE}])(?:(?=\p{{Lu}}){NAME}|{UNIT})"
+CAPITAL = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{Nd}}{OPEN}])\p{{Lu}}[\p{{L}}\p{{M}}]*"
+TOKEN = rf"[\p{{L}}\p{{M}}\p{{Nd}}]+|[{OPEN}{MAYBE}][^{CLOSE}]*{CLOSE}"
 
 
 def raw_tokens(text: Column, both: bool = False) -> Column:
@@ -58,7 +65,7 @@ def raw_tokens(text: Column, both: bool = False) -> Column:
     marked = text.rlike(f"[{OPEN}{CLOSE}{MAYBE}]")
     plain = F.when(marked, F.translate(text, OPEN + CLOSE + MAYBE, "   ")).otherwise(text)
     spelled = F.regexp_replace(plain, SPELLED, f"{OPEN}$0{CLOSE}")
-    slotted = F.regexp_replace(spelled, f"{NAME}|{NUMBER}|{UNIT}", f"{OPEN}$0{CLOSE}")
+    slotted = F.regexp_replace(spelled, SLOT, f"{OPEN}$0{CLOSE}")
     if both:
         slotted = F.regexp_replace(slotted, CAPITAL, f"{MAYBE}$0{CLOSE}")
     return F.regexp_extract_all(F.lower(slotted), F.lit(TOKEN), F.lit(0))
@@ -98,32 +105,28 @@ def templates(tokens: Column, names: bool = False) -> Column:
     return F.transform(tokens, of_token)
 
 
-def window_hashes(size: int) -> Column:
-    """Structs (place, word, name): the hashes of each window's two readings; none for shorter texts."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
-    hashed = F.transform(
-        starts,
-        lambda i: F.struct(
-            (i - 1).alias("place"), F.xxhash64(F.slice("words", i, size)).alias("word"), F.xxhash64(F.slice("names", i, size)).alias("name")
-        ),
-    )
-    return F.when(F.size("words") >= size, hashed).otherwise(
-        F.array().cast("array<struct<place:int,word:long,name:long>>")
-    )
+def window_hash(tokens: str, size: int) -> Column:
+    """Hash of the window that begins at ``place``, the same as that of an array of its tokens."""
+    return F.xxhash64(*[F.get(F.col(tokens), F.col("place") + k) for k in range(size)])
 
 
 def windows(rows: DataFrame, keys: tuple[str, ...], place: str, sizes: list[int]) -> DataFrame:
     """(keys, place, window hash) for each window, of any of the sizes, of rows (keys, text).
 
-    A window whose readings as words and as names differ has a row for each.
+    A window whose readings as words and as names differ has a row for each. Places become rows before
+    windows are hashed, so the hashes are columns in compiled code rather than parts of a lambda.
     """
     tokens = rows.select(*keys, raw_tokens(F.col("text"), both=True).alias("tokens"))
     read = tokens.select(*keys, templates(F.col("tokens")).alias("words"), templates(F.col("tokens"), True).alias("names"))
-    found = read.select(*keys, F.explode(F.concat(*[window_hashes(size) for size in sizes])).alias("found"))
-    readings = F.when(F.col("found.word") == F.col("found.name"), F.array("found.word")).otherwise(
-        F.array("found.word", "found.name")
-    )
-    return found.select(*keys, F.col("found.place").alias(place), F.explode(readings).alias("window"))
+    begins = F.slice("words", 1, F.greatest(F.size("words") - min(sizes) + 1, F.lit(0)))
+    at = read.select(*keys, "words", "names", F.posexplode(begins).alias("place", "first"))
+    readings = []
+    for size in sizes:
+        word, name = window_hash("words", size), window_hash("names", size)
+        whole = F.col("place") + size <= F.size("words")
+        readings += [F.when(whole, word), F.when(whole & (word != name), name)]
+    found = at.select(*keys, F.col("place").alias(place), F.explode(F.array(*readings)).alias("window"))
+    return found.where("window IS NOT NULL")
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:

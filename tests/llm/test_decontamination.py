@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from priorline.llm.decontamination import UNITS, leaks, raw_tokens, without_leaks
+from priorline.llm.decontamination import UNITS, leaks, raw_tokens, templates, windows, without_leaks
 
 QUESTIONS = [
     (1, "Alice buys 12 apples and Bob buys 7 apples. How many more apples than Bob does Alice have after the market closes today?"),
@@ -139,3 +139,19 @@ def test_verbatim_copies_are_found(frame):
     assert sorted(found) == [(1, 1), (2, 1), (3, 2), (4, 1), (5, 3), (6, 1), (9, 2)]
     assert found[2, 1].n_matched == found[2, 1].n_windows == found[1, 1].n_matched == 19
     assert found[3, 2].n_matched == found[3, 2].n_windows
+
+
+def test_windows_become_rows_in_compiled_code(frame):
+    texts = [(1, 1, "One two three, Alice and Bob ran 3.5 km. Then Zoe sat"), (2, 2, "Too short"), (3, 3, "")]
+    found = windows(frame(texts, "doc_id long, text_key long, text string"), ("doc_id", "text_key"), "at", [3, 5])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate " in line]
+    assert generates and all("*(" in line for line in generates)
+    read = frame(texts, "doc_id long, text_key long, text string").select("doc_id", raw_tokens(F.col("text"), both=True).alias("t"))
+    expected = []
+    for row in read.select("doc_id", templates(F.col("t")).alias("words"), templates(F.col("t"), True).alias("names")).collect():
+        for size in (3, 5):
+            for at in range(len(row.words) - size + 1):
+                expected += [(row.doc_id, at, list(x)) for x in {tuple(row.words[at : at + size]), tuple(row.names[at : at + size])}]
+    hashed = frame(expected, "doc_id long, at int, window array<long>").withColumn("window", F.xxhash64("window"))
+    assert sorted(map(tuple, found.select("doc_id", "at", "window").collect())) == sorted(map(tuple, hashed.collect()))
