@@ -41,6 +41,9 @@ THRESHOLD = 0.8
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 #: A token's cell is cut into blocks of about so many lines.
 CELL_LINES = 20_000
+#: Index rows go out many at a time, in so many buckets of cells for each shuffle partition.
+INDEX_ROWS, BUCKETS = 50_000, 32
+INDEX_COLUMNS = ("cell", "packed", "d0", "m0", "m1")
 #: Lines of up to so many tokens have a smaller parity map.
 SHORT = 64
 #: Texts handled at a time, by characters; a longer text is read in pieces of whole lines. A batch has fewer
@@ -143,7 +146,7 @@ def lines_and_counts(rows: DataFrame, min_words: int) -> DataFrame:
             d0, d1 = lines.digests()
             new = fresh(d0, remembered)
             of_lines = pa.array(lines.text)
-            np.add.at(counts, (lines.tokens[new[lines.owner]] % np.uint64(COUNTERS)).astype(np.int64), 1)
+            np.add.at(counts, (lines.tokens[new[lines.owner]] % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(d0)), pa.array(signed(d1)),
@@ -198,16 +201,30 @@ def rarity_table(counted: DataFrame) -> np.ndarray:
 
 
 def prefix_index(rows: DataFrame, rarity: np.ndarray, threshold: float, min_words: int) -> DataFrame:
-    """(cell, packed, d0, m0, m1): a row for each prefix token of each line that another line may share.
+    """(bucket, rows): index rows of a bucket of cells, as the bytes of an array of ``INDEX_COLUMNS`` lines.
 
-    packed holds the line's size, the token's place in the order, and the side of its block, so that
-    sorting by it sorts by size.
+    An index row stands for a prefix token of a line that another line may share. packed holds the line's
+    size, the token's place in the order, and the side of its block. m0 and m1 are its parity map.
     """
-    shared_table = rows.sparkSession.sparkContext.broadcast(rarity)
+    spark = rows.sparkSession
+    shared_table = spark.sparkContext.broadcast(rarity)
+    buckets = np.uint64(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        index = np.concatenate(held, axis=1)
+        bucket = index[0].view(np.uint64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        index, bucket = index[:, order], bucket[order]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        blocks = [index[:, a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(bucket)])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "rows"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared_table.value
         remembered = np.zeros(REMEMBERED, dtype=np.uint64)
+        held: list[np.ndarray] = []
         for _, lines in line_batches(batches, min_words):
             d0, _ = lines.digests()
             tokens, owner, sizes = lines.tokens, lines.owner, lines.sizes
@@ -239,26 +256,43 @@ def prefix_index(rows: DataFrame, rarity: np.ndarray, threshold: float, min_word
             side = np.where(own == other, 2, (own == high).astype(np.int64))
             cell = mixed(ranked[at] + mixed(low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64), 4), 5)
             packed = sizes[who].astype(np.int64) << 32 | place[at] << 2 | side
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(cell)), pa.array(packed), *(pa.array(signed(x[who])) for x in (d0, m0, m1))],
-                names=["cell", "packed", "d0", "m0", "m1"],
-            )
+            held.append(np.stack([signed(cell), packed, *(signed(x[who]) for x in (d0, m0, m1))]))
+            if sum(part.shape[1] for part in held) >= INDEX_ROWS:
+                yield dealt(held)
+                held = []
+        if sum(part.shape[1] for part in held):
+            yield dealt(held)
 
-    return rows.mapInArrow(run, "cell long, packed long, d0 long, m0 long, m1 long")
+    return rows.mapInArrow(run, "bucket int, rows binary")
+
+
+def by_cell_and_size(cells: np.ndarray, size: np.ndarray, d0: np.ndarray) -> np.ndarray:
+    """An order by cell, then size, in which rows of one digest (mostly) stand side by side."""
+    order = np.argsort(cells)
+    new = np.append(True, cells[order][1:] != cells[order][:-1])
+    number = np.empty(len(cells), dtype=np.uint64)
+    number[order] = np.cumsum(new)
+    if number[order[-1]] >= 1 << 24 or size.max() >= 1 << 16:
+        return np.lexsort((d0, size, cells))
+    return np.argsort(number << np.uint64(40) | size.astype(np.uint64) << np.uint64(24) | d0.view(np.uint64) >> np.uint64(40))
 
 
 def candidate_links(index: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links among digests that the filters leave, one for each row that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_cells(batches):
-            columns = {name: rows.column(name).to_numpy() for name in rows.column_names}
-            cells, d0 = columns["cell"], columns["d0"]
-            order = np.lexsort((d0, columns["packed"], cells))
-            cells, d0 = cells[order], d0[order]
-            order = order[np.append(True, (cells[1:] != cells[:-1]) | (d0[1:] != d0[:-1]))]
-            cells, d0, packed = columns["cell"][order], columns["d0"][order], columns["packed"][order]
-            m0, m1 = (columns[m][order].view(np.uint64) for m in ("m0", "m1"))
+        for rows in whole_cells(batches, "bucket", alone=True):
+            parts = [np.frombuffer(part.as_py(), dtype=np.int64).reshape(len(INDEX_COLUMNS), -1) for part in rows.column("rows")]
+            index = np.concatenate(parts, axis=1)
+            index = index[:, by_cell_and_size(index[0], index[1] >> 32, index[2])]
+            # A digest that was indexed twice in a cell would meet itself; a cell with one row has no pair.
+            new = np.append(True, (index[0, 1:] != index[0, :-1]) | (index[2, 1:] != index[2, :-1]))
+            cells = index[0, new]
+            met = cells[1:] == cells[:-1]
+            cells, packed, d0, m0, m1 = index[:, new][:, np.append(False, met) | np.append(met, False)]
+            if not len(cells):
+                continue
+            m0, m1 = m0.view(np.uint64), m1.view(np.uint64)
             size, place, side = packed >> 32, (packed >> 2) & ((1 << 30) - 1), packed & 3
 
             def plausible(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -279,8 +313,8 @@ def candidate_links(index: DataFrame, threshold: float) -> DataFrame:
                 )
 
     spark = index.sparkSession
-    dealt = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
-    return dealt.sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    dealt = index.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 def token_sets(rows: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:

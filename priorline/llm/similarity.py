@@ -113,13 +113,14 @@ def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def whole_cells(
-    batches: Iterator[pa.RecordBatch], column: str = "cell", at_once: int = BYTES_AT_ONCE
+    batches: Iterator[pa.RecordBatch], column: str = "cell", at_once: int = BYTES_AT_ONCE, alone: bool = False
 ) -> Iterator[pa.Table]:
-    """Tables that hold whole cells, from batches sorted by cell; cells with one row are left out.
+    """Tables that hold whole cells, from batches sorted by cell; cells with one row are left out unless ``alone``.
 
     A table takes cells until they have ``at_once`` bytes, so its size follows the cells and not the
     batches, which are cut by their number of rows.
     """
+    taken = (lambda rows, _: iter([rows])) if alone else shared
     held: list[pa.RecordBatch] = []
     weight = 0
     for batch in batches:
@@ -141,13 +142,13 @@ def whole_cells(
                 if len(starts) == 1:
                     break
                 stop = int(starts[1])
-            yield from shared(pa.Table.from_batches([*held, batch.slice(at, stop - at)]), column)
+            yield from taken(pa.Table.from_batches([*held, batch.slice(at, stop - at)]), column)
             held, weight, at = [], 0, stop
             starts = starts[starts >= at]
         held.append(batch.slice(at))
         weight += int(before[-1] - before[at])
     if held:
-        yield from shared(pa.Table.from_batches(held), column)
+        yield from taken(pa.Table.from_batches(held), column)
 
 
 def shared(rows: pa.Table, column: str) -> Iterator[pa.Table]:
@@ -301,7 +302,8 @@ def similar_rows(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray,
     first = np.empty(len(values), dtype=np.int64)
     count = np.empty(len(values), dtype=np.int64)
     first[order] = new[run]
-    count[order] = np.diff(np.append(new, len(values)))[run]
+    # Holders stand in order, so each meets those before it: a pair is counted once.
+    count[order] = np.arange(len(values)) - new[run]
     starts = np.cumsum(sizes) - sizes
     heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     lengths = np.diff(np.append(heads, len(cell)))
@@ -311,10 +313,12 @@ def similar_rows(rows: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray,
     for end in np.flatnonzero(np.append(np.diff(np.cumsum(work) // PAIRS_AT_ONCE) > 0, True)).tolist():
         part = slice(starts[done], starts[end] + sizes[end])
         counts = count[part]
+        done = end + 1
+        if not counts.any():
+            continue
         at = np.repeat(first[part] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         i, j, common = shared_counts(np.repeat(owner[part], counts), holders[at], cell_starts, cell_sizes)
         near = enough(common, sizes[i] + sizes[j], threshold)
         near &= (i != j) & ((side[i] < 0) | (side[i] != side[j]))
         if near.any():
-            yield i[near], j[near]
-        done = end + 1
+            yield np.append(i[near], j[near]), np.append(j[near], i[near])

@@ -184,3 +184,18 @@ def test_components(spark):
     assert found == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert np.array_equal(module.joined_labels(np.arange(4), np.array([0, 2]), np.array([1, 1])), [0, 0, 0, 3])
+
+
+def test_index_rows_travel_in_buckets(frame):
+    docs = frame(corpus(1)).coalesce(1)
+    rarity = np.full(module.COUNTERS, 16, dtype=np.uint8)
+    found = module.prefix_index(module.documents_of(docs), rarity, 0.8, 5).collect()
+    # A bucket has one row for many index rows; each of these is there, and in the bucket of its cell.
+    assert len({row.bucket for row in found}) == len(found)
+    buckets = module.BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = [(row.bucket, np.frombuffer(row.rows, dtype=np.int64).reshape(5, -1)) for row in found]
+    assert all((part[0].view(np.uint64) % np.uint64(buckets) == bucket).all() for bucket, part in index)
+    sets = {frozenset(re.findall(r"\w+", line.lower())) for _, text in corpus(1) for line in (text or "").split("\n") if len(re.findall(r"\w+", line)) >= 5}
+    # A line that a batch holds twice is indexed twice.
+    rows = {tuple(row) for _, part in index for row in part.T.tolist()}
+    assert len(rows) == sum(len(x) - -(-4 * len(x) // 5) + 1 for x in sets)
