@@ -81,3 +81,38 @@ def test_margins_are_the_same_when_written(rows, prepared, monkeypatch):
     want = models._trees(prepared, rows, config, False).transform(table).agg(F.sum("_raw")).first()[0]
     monkeypatch.setattr(boosting, "WRITTEN_EVERY", 2)
     assert models._trees(prepared, rows, config, False).transform(table).agg(F.sum("_raw")).first()[0] == pytest.approx(want)
+
+
+def test_features_are_drawn_as_spark_hashes(spark):
+    found = spark.range(50).select(F.xxhash64(F.lit(42), F.lit(7), F.lit(3), F.col("id").cast("int"))).collect()
+    assert boosting._hashed([42, 7, 3, np.arange(50)]).tolist() == [r[0] for r in found]
+
+
+@pytest.mark.parametrize("classes", [False, True])
+def test_one_job_for_all_rounds_grows_the_same_trees(rows, prepared, monkeypatch, classes):
+    """With draws and weights, in several tasks that send few cells at a time."""
+    labelled = rows.withColumns(
+        {"_label": (F.col("y") > 3.5).cast("double") if classes else F.col("y"), "_weight": 1 + F.col("hour") % 3}
+    )
+    # Without the mode: of its two values either one gives the same split.
+    layout = boosting.Layout(["x_hour"], ["i_route"], [500])
+    held = prepared.transform(labelled).withColumn("_row", F.monotonically_increasing_id()).persist()
+    layout.thresholds = boosting.thresholds(held, layout.numbers)
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 1000)
+    monkeypatch.setattr(boosting, "CELLS_AT_ONCE", 900)
+    draws = (layout, classes, 2, 0.3, 3, 0.8, 0.7, 11)
+    one, other = boosting.at_once(held, *draws), boosting.level_by_level(held, *draws)
+    shape = lambda trees: [[(n.feature, n.bin, n.left, n.right) for n in tree] for tree in trees]
+    assert shape(one) == shape(other) and max(len(tree) for tree in one) > 5
+    for mine, theirs in zip(one, other):
+        assert np.allclose([[*n.sums, n.gain] for n in mine], [[*n.sums, n.gain] for n in theirs], rtol=1e-6, atol=1e-6)
+    held.unpersist()
+
+
+def test_rounds_need_no_jobs_of_their_own(spark, rows, prepared):
+    """Fails with a job for each level: 30 rounds of depth 4 had more than a hundred."""
+    group = "rounds-of-one-job"
+    spark.sparkContext.setJobGroup(group, group)
+    models._trees(prepared, rows, models.TreeConfig(rounds=30, depth=4), False)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 20

@@ -2,6 +2,8 @@
 
 import types
 
+import pytest
+
 from checks import cases
 from priorline.plans import models
 
@@ -14,3 +16,27 @@ def test_a_made_table_is_not_made_again(spark, monkeypatch):
     monkeypatch.setattr(models, "run_calibration", lambda df, *_: types.SimpleNamespace(risks={}))
     monkeypatch.setattr(models, "fit_regressor", lambda df, *_, **__: "fitted")
     assert cases.artifact(spark, "nowhere", made).regressor == "fitted"
+
+
+class Asked(Exception):
+    """What a fit was asked for."""
+
+
+@pytest.mark.parametrize(
+    "name, whole", [("log_target", (400, 0.05, 6))]
+)
+def test_these_queries_fit_whole_models(spark, monkeypatch, name, whole):
+    lines = [("train", "1998-03-01", "bus", 5.0, 1), ("train", "1999-03-01", "bus", 70.0, 2), ("train", "1998-05-01", "streetcar", 50.0, 3)]
+    made = spark.createDataFrame(lines, "split string, day string, mode string, min_delay double, hour int")
+    made = made.selectExpr("split", "CAST(day AS TIMESTAMP_NTZ) AS ts", "mode", "min_delay", "hour")
+    monkeypatch.setattr(cases, "model_table", lambda *_: made)
+    monkeypatch.setattr(models, "preprocessing", lambda *_: [])
+
+    def fitted(prepared, rows, config, classes):
+        raise Asked(config.rounds, config.step, config.depth)
+
+    monkeypatch.setattr(models, "_trees", fitted)
+    monkeypatch.setattr(models, "feature_projection", lambda columns: (["mode", "hour"], ["mode"], ["hour"]))
+    with pytest.raises(Asked) as asked:
+        cases.CASES[name][0](spark, "nowhere")
+    assert asked.value.args == whole
