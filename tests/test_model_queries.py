@@ -23,7 +23,7 @@ class Asked(Exception):
 
 
 @pytest.mark.parametrize(
-    "name, whole", [("log_target", (400, 0.05, 6)), ("mode_specific", (400, 0.05, 6))]
+    "name, whole", [("log_target", (400, 0.05, 6)), ("mode_specific", (400, 0.05, 6)), ("risk_calibrated", (400, 0.05, 5))]
 )
 def test_these_queries_fit_whole_models(spark, monkeypatch, name, whole):
     lines = [("train", "1998-03-01", "bus", 5.0, 1), ("train", "1999-03-01", "bus", 70.0, 2), ("train", "1998-05-01", "streetcar", 50.0, 3)]
